@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import byte_bpe, token_files
+from . import byte_bpe, language, quality, token_files
 from .tables import Workspace, load
 
 TOKENIZERS = "/opt/tokenizers"
@@ -30,14 +31,28 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, folder)
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = language.held_out(4, 2)
+    scored = quality.classify(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"), ~held)
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     return byte_bpe.round_trip(docs, _tokenizer_file("byte_bpe_50k.tiktoken"), _pattern(), digests=True)
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = load(spark, sf_dir, "documents"), language.held_out(5, 0)
+    found = language.identify(docs, language.train(docs, ~held))
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_files": op3_token_files,
+    "op4_quality": op4_quality,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_language": op9_language,
 }
 
 ORACLES: dict[str, str] = {}

@@ -62,6 +62,7 @@ class Words:
     end: np.ndarray
     data: np.ndarray  # the bytes themselves
     rows: slice  # the documents' rows in the column
+    bounds: np.ndarray  # byte positions of the documents, one more than documents
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
@@ -97,7 +98,7 @@ def _split(data: np.ndarray, at: np.ndarray, lower: bool, rows: slice) -> Words:
     n = len(data)
     if not n:
         none = np.zeros(0, np.int64)
-        return Words(np.zeros(len(at), np.int64), none.astype(np.uint64), none, none, data, rows)
+        return Words(np.zeros(len(at), np.int64), none.astype(np.uint64), none, none, data, rows, at)
     if lower:
         data = _LOWER[data]
     inside = ~_SPACE[data]
@@ -112,7 +113,7 @@ def _split(data: np.ndarray, at: np.ndarray, lower: bool, rows: slice) -> Words:
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(_BYTE_BASE, n), out=sums[1:])
     value = (sums[end] - sums[start]) * powers(inverse(_BYTE_BASE), n)[start]
     value += (end - start).astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
-    return Words(np.searchsorted(start, at), mix(value), start, end, data, rows)
+    return Words(np.searchsorted(start, at), mix(value), start, end, data, rows, at)
 
 
 def windows(words: np.ndarray, size: int, which: int = 0) -> np.ndarray:
