@@ -6,15 +6,17 @@ the text may be cut there and the parts encoded alone.  Texts with any other use
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
-#: A space next to white space or at either end; \s here covers more characters than the pattern's, never fewer.
-_UNSAFE = re.compile(r"\s |^ | $| \s")
-_KEEP = 400_000
+_KEEP = 200_000
 _LONG = 256
 
 
+def _alone(part: str) -> bool:
+    """Whether the spaces around a part stand alone; isspace() covers more characters than the pattern's, never fewer."""
+    return bool(part) and not part[0].isspace() and not part[-1].isspace()
+
+
 class ChunkEncoder:
     """Keeps the ids' bytes of short parts, within bounds.
 
@@ -23,34 +25,45 @@ class ChunkEncoder:
 
     def __init__(self, whole: Callable[[list[str]], list[bytes]], spaced: Callable[[list[str]], list[bytes]], keep: int = _KEEP):
         self.whole, self.spaced, self.keep = whole, spaced, keep
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes | None] = {}  # None: the text needs to be encoded whole
+
+    def _learn(self, rests: list[list[str]]) -> list[str]:
+        used = set().union(*rests)
+        new = list(used.difference(self.known))
+        if len(self.known) + len(new) > self.keep:  # what is in use again stays
+            self.known = {x: self.known[x] for x in used.intersection(self.known)}
+        good = [x for x in new if _alone(x)]
+        if len(good) < len(new):
+            self.known.update((x, None) for x in new if not _alone(x))
+        self.known.update(zip(good, self.spaced([" " + x for x in good]), strict=True))
+        return [x for x in new if len(x) > _LONG]
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text, for texts of a few megabytes together; null counts as empty."""
         heads: list[str] = []
         rests: list[list[str]] = []
         for text in texts:
-            if not text or _UNSAFE.search(text):
-                heads.append(text or "")
-                rests.append([])
-            else:
-                first, *rest = text.split(" ")
-                heads.append(first)
-                rests.append(rest)
-        new = list(set().union(*rests).difference(self.known))
-        if len(self.known) + len(new) > self.keep:
-            self.known.clear()
-            new = list(set().union(*rests))
-        self.known.update(zip(new, self.spaced([" " + x for x in new]), strict=True))
+            head, *rest = text.split(" ") if text else [""]
+            if rest and not _alone(head):
+                head, rest = text, []
+            heads.append(head)
+            rests.append(rest)
+        drop = self._learn(rests)
         look = self.known.__getitem__
-        out = [head + b"".join(map(look, rest)) for head, rest in zip(self.whole(heads), rests, strict=True)]
-        for x in new:
-            if len(x) > _LONG:
-                del self.known[x]
+        bodies: list[bytes] = []
+        for i, rest in enumerate(rests):
+            try:
+                bodies.append(b"".join(map(look, rest)))
+            except TypeError:
+                heads[i] = texts[i]
+                bodies.append(b"")
+        out = [a + b for a, b in zip(self.whole(heads), bodies, strict=True)]
+        for x in drop:
+            del self.known[x]
         return out
 
 
-def groups(texts: list[str | None], chars: int = 4_000_000) -> list[slice]:
+def groups(texts: list[str | None], chars: int = 2_000_000) -> list[slice]:
     """Runs of texts with about so many characters together."""
     out, begin, total = [], 0, 0
     for i, text in enumerate(texts):

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     # Batches to Python are bounded by bytes, since texts may be long.
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

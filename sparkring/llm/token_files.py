@@ -39,21 +39,27 @@ def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
     ranks = np.ascontiguousarray(ranks, dtype="<u4")
     n = len(ranks)
     length = np.ones(n, dtype=np.uint8)
-    for limit in (1 << 8, 1 << 16, 1 << 24):
-        length += ranks >= limit
+    widest = _widest(int(ranks.max(initial=0)))
+    for k in range(1, widest):
+        length += ranks >= np.uint32(1 << 8 * k)
     codes = np.zeros(-(-n // 4) * 4, dtype=np.uint8)
     codes[:n] = length - 1
-    control = codes.reshape(-1, 4) @ np.array([1, 4, 16, 64], dtype=np.uint8)
-    used = np.arange(4, dtype=np.uint8) < length[:, None]
-    return control.astype(np.uint8).tobytes(), ranks.view(np.uint8).reshape(n, 4)[used].tobytes()
+    control = codes[0::4] | codes[1::4] << 2 | codes[2::4] << 4 | codes[3::4] << 6
+    used = np.arange(widest, dtype=np.uint8) < length[:, None]
+    return control.tobytes(), ranks.view(np.uint8).reshape(n, 4)[:, :widest][used].tobytes()
+
+
+def _widest(top: int) -> int:
+    return max(1, -(-top.bit_length() // 8))
 
 
 def unpack(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
     """Ranks back, by table lookup of the control bytes.  `data` may be longer than the codes."""
     length = _LENGTHS[control].reshape(-1)[:n]
-    used = np.arange(4, dtype=np.uint8) < length[:, None]
+    widest = int(length.max(initial=1))
+    used = np.arange(widest, dtype=np.uint8) < length[:, None]
     out = np.zeros((n, 4), dtype=np.uint8)
-    out[used] = data[: int(length.sum(dtype=np.int64))]
+    out[:, :widest][used] = data[: int(length.sum(dtype=np.int64))]
     return out.view("<u4").reshape(n)
 
 
@@ -78,8 +84,9 @@ def _tokenizer(path: str) -> Callable[[list[str | None]], list[bytes]]:
 
     def parts(xs: list[str]) -> list[bytes]:
         out: list[bytes] = []
-        for i in range(0, len(xs), 4096):
-            ids = np.array(tokenizer.encode("".join(xs[i : i + 4096]), add_special_tokens=False).ids, dtype="<u4")
+        joined = ["".join(xs[i : i + 256]) for i in range(0, len(xs), 256)]
+        for e in tokenizer.encode_batch_fast(joined, add_special_tokens=False):
+            ids = np.array(e.ids, dtype="<u4")
             at = np.append(np.flatnonzero(spaced[ids]), len(ids)) * 4
             raw = ids.tobytes()
             out += [raw[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
