@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,22 +15,29 @@ SCHEMA = "key string, counts binary"
 CHUNK = 1 << 14
 
 
+def dump(counts: np.ndarray) -> bytes:
+    narrow = "<u4" if counts.min() >= 0 and counts.max() < 1 << 32 else "<i8"
+    return narrow[1:].encode() + zlib.compress(np.ascontiguousarray(counts, dtype=narrow).tobytes(), 1)
+
+
+def parse(raw: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(raw[2:]), dtype="<" + raw[:2].decode()).astype(np.int64)
+
+
 def rows(name: str, counts: np.ndarray) -> pa.RecordBatch:
     """A task's counters, cut in chunks; chunks of zeros are left out."""
-    counts = counts.astype("<i8")
     cuts = [(f"{name}/{i // CHUNK:06d}", counts[i : i + CHUNK]) for i in range(0, len(counts), CHUNK)]
-    cuts = [(k, c.tobytes()) for k, c in cuts if c.any()]
+    cuts = [(k, dump(c)) for k, c in cuts if c.any()]
     return pa.RecordBatch.from_arrays([pa.array([k for k, _ in cuts], pa.string()), pa.array([c for _, c in cuts], pa.binary())], names=["key", "counts"])
 
 
 def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[str, np.ndarray] = {}
     for batch in batches:
-        for key, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            new = np.frombuffer(raw.as_buffer(), dtype="<i8")
-            total[key] = total[key] + new if key in total else new.copy()
+        for key, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            total[key] = total[key] + parse(raw) if key in total else parse(raw)
     if total:
-        yield pa.RecordBatch.from_arrays([pa.array(total), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["key", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(total), pa.array([dump(x) for x in total.values()], pa.binary())], names=["key", "counts"])
 
 
 def collect(parts: DataFrame, sizes: dict[str, int]) -> dict[str, np.ndarray]:
@@ -40,6 +48,6 @@ def collect(parts: DataFrame, sizes: dict[str, int]) -> dict[str, np.ndarray]:
     out = {name: np.zeros(size, dtype=np.int64) for name, size in sizes.items()}
     for r in parts.repartition(tables.partitions(parts.sparkSession), "key").mapInArrow(_sum, SCHEMA).collect():
         name, _, i = r.key.rpartition("/")
-        counts = np.frombuffer(bytes(r.counts), dtype="<i8")
+        counts = parse(bytes(r.counts))
         out[name][int(i) * CHUNK : int(i) * CHUNK + len(counts)] = counts
     return out

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, html_text, language, quality, token_files, topk
+from . import byte_bpe, html_text, jaccard, language, quality, repeats, token_files, topk
 from .tables import Workspace, load
 
 TOKENIZERS = "/opt/tokenizers"
@@ -29,6 +29,10 @@ def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(load(spark, sf_dir, "pages"))
 
 
+def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove(load(spark, sf_dir, "documents"), window=35, digest=True)
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = Workspace(spark, "token-files").root
     token_files.write(load(spark, sf_dir, "documents"), folder, _tokenizer_file("byte_bpe_50k.json"))
@@ -45,6 +49,10 @@ def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(load(spark, sf_dir, "documents"), size=4, percent=85)
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     return byte_bpe.round_trip(docs, _tokenizer_file("byte_bpe_50k.tiktoken"), _pattern(), digests=True)
@@ -58,9 +66,11 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": op1_html_text,
+    "op2_repeats": op2_repeats,
     "op3_token_files": op3_token_files,
     "op4_quality": op4_quality,
     "op6_topk": op6_topk,
+    "op7_jaccard": op7_jaccard,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_language": op9_language,
 }
