@@ -1,7 +1,7 @@
 """Exact top-k search by inner product: columnar branch and bound over quantised vectors.
 
 Candidates lie in vertical layout, one row for each dimension.  Scores are accumulated a block of dimensions at a time;
-after each block the surviving (query, candidate) pairs are compacted to those whose score so far plus the most that
+after each block the survivors are compacted to the (query, candidate) pairs whose score so far plus the most that
 the remaining dimensions can add (the product of the remaining norms) still reaches the query's k-th best score.
 """
 
@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 
 BLOCK_DIMS = 16
 QUERY_BLOCK = 4096
-_CANDIDATES = 1024
+#: Above this share of surviving pairs, columns are added up whole.
+DENSE = 0.02
+_CANDIDATES = 512
 
 
 def quantise(column: pa.Array, scale: int) -> tuple[np.ndarray, np.ndarray]:
@@ -66,24 +68,39 @@ class Search:
             self._add(ids[i : i + _CANDIDATES], vectors[i : i + _CANDIDATES])
 
     def _add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        columns, tails = np.ascontiguousarray(vectors.T), _tails(vectors)
-        query = candidate = score = None
-        for b, at in enumerate(range(0, len(columns), BLOCK_DIMS)):
-            dims = slice(at, at + BLOCK_DIMS)
-            if query is None:  # all pairs are alive: one product
-                full = self.vectors[:, dims] @ columns[dims]
-                alive = full + np.outer(self.tails[b], tails[b]) >= self.floor[:, None] - 1e-6
-                query, candidate = np.nonzero(alive)
-                score = full[query, candidate]
-                own = self.ids[query] != ids[candidate]
-                query, candidate, score = query[own], candidate[own], score[own]
-                continue
+        tails = _tails(vectors)
+        columns = np.ascontiguousarray(vectors.T, dtype=self.kind(vectors))
+        queries, floor = self.vectors.astype(columns.dtype, copy=False), (self.floor - 1)[:, None]
+        starts = list(range(0, len(columns), BLOCK_DIMS))
+        score, here = np.zeros((len(queries), len(ids)), dtype=columns.dtype), np.arange(len(ids))
+        # While many pairs are alive, whole columns are added up, and those that no query wants any more are dropped.
+        while starts:
+            at = starts.pop(0)
+            score += queries[:, at : at + BLOCK_DIMS] @ columns[at : at + BLOCK_DIMS, here]
+            b = at // BLOCK_DIMS
+            alive = score + np.outer(self.tails[b], tails[b][here]) >= floor
+            if np.count_nonzero(alive) < DENSE * alive.size:
+                break
+            wanted = alive.any(axis=0)
+            if np.count_nonzero(wanted) < 0.8 * len(here):
+                here, score, alive = here[wanted], score[:, wanted], alive[:, wanted]
+        query, place = np.nonzero(alive)
+        candidate, total = here[place], score[query, place].astype(np.float64)
+        own = self.ids[query] != ids[candidate]
+        query, candidate, total = query[own], candidate[own], total[own]
+        for at in starts:
             for d in range(at, min(at + BLOCK_DIMS, len(columns))):
-                score += self.vectors[query, d] * columns[d, candidate]
-            alive = score + self.tails[b][query] * tails[b][candidate] >= self.floor[query] - 1e-6
-            query, candidate, score = query[alive], candidate[alive], score[alive]
-        alive = score >= self.floor[query]
-        self._keep(query[alive], ids[candidate[alive]], score[alive])
+                total += self.vectors[query, d] * columns[d, candidate]
+            b = at // BLOCK_DIMS
+            left = total + self.tails[b][query] * tails[b][candidate] >= self.floor[query] - 1
+            query, candidate, total = query[left], candidate[left], total[left]
+        left = total >= self.floor[query]
+        self._keep(query[left], ids[candidate[left]], total[left])
+
+    def kind(self, vectors: np.ndarray) -> type:
+        """Single precision where it holds all sums of these integers exactly."""
+        most = max(float(np.abs(x).max(initial=0)) for x in (self.vectors, vectors))
+        return np.float32 if most * most * vectors.shape[1] < 2**24 else np.float64
 
     def _keep(self, query: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
         query, ids, score = (np.concatenate(x) for x in zip(self.found, (query, ids, score), strict=True))
