@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import tables
-from .chunks import ChunkEncoder, groups
+from .chunks import ChunkEncoder, gather, groups
 
 #: Bytes 0..255 are the characters U+0100..U+01FF of the model's pieces.
 _SHIFT = {b: 0x100 + b for b in range(256)}
@@ -77,8 +77,11 @@ class Codec:
         self.ranks = {p: struct.pack("<I", r) for r, p in enumerate(self.pieces)}
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model(self.pieces))
         self.find = regex.compile(pattern).findall
+        self.size = np.array([len(p) for p in self.pieces], dtype=np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.flat = np.frombuffer(b"".join(self.pieces), dtype=np.uint8)
         self.known: dict[str, bytes] = {}
-        self.encode = ChunkEncoder(self._encode, self._encode)
+        self.encode = ChunkEncoder(self._encode, self._encode, keep=400_000)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         find = self.find
@@ -112,8 +115,11 @@ class Codec:
                 del self.known[x]
         return out
 
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
+    def decode(self, ids: np.ndarray, begin: np.ndarray) -> list[bytes]:
+        """The bytes of each run of ids; begin: where the runs begin, and the end."""
+        data, at = gather(self.flat, self.start, self.size, ids.astype(np.int64))
+        raw, at = data.tobytes(), at[begin].tolist()
+        return [raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
 _kept: dict[tuple[str, str], Codec] = {}
@@ -132,10 +138,12 @@ def _run(path: str, pattern: str, digests: bool) -> Callable:
         own = codec(path, pattern)
         sha = lambda x: hashlib.sha256(x).hexdigest()
         for batch in batches:
-            keys, texts = batch.column(0), batch.column(1).to_pylist()
+            keys, texts = batch.column(0), batch.column(1)
             for piece in groups(texts):
-                ids = own.encode(texts[piece])
-                back = [own.decode(x) for x in ids]
+                flat, begin = own.encode(texts[piece])
+                raw = flat.tobytes()
+                ids = [raw[4 * a : 4 * b] for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
+                back = own.decode(flat, begin)
                 columns = [keys.slice(piece.start, len(ids)), pa.array([len(x) // 4 for x in ids], pa.int64())]
                 if digests:
                     columns += [pa.array(map(sha, ids), pa.string()), pa.array(map(sha, back), pa.string())]

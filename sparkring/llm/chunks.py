@@ -1,15 +1,22 @@
-"""Encoding of texts by pieces that a tokenizer never merges across, each distinct piece encoded once.
+"""Encoding of texts by parts that a tokenizer never merges across, each distinct part encoded once.
 
 A space between two characters that are not white space always begins a pre-token of the byte-level BPE pattern, so
 the text may be cut there and the parts encoded alone.  Texts with any other use of the space are handed over whole.
+Parts are told apart by Arrow's dictionary encoding, and the ids of all texts are gathered from those of the distinct
+parts in one step.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-_KEEP = 200_000
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+_KEEP = 800_000
 _LONG = 256
+_MARKS = ".,;:!?%*#$&\"()[]"
 
 
 def _alone(part: str) -> bool:
@@ -17,6 +24,15 @@ def _alone(part: str) -> bool:
     return bool(part) and not part[0].isspace() and not part[-1].isspace()
 
 
+def gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs flat[start:start + size] of the entries `which`, one after another, and where each begins."""
+    count = size[which]
+    begin = np.append(0, np.cumsum(count))
+    at = np.repeat(start[which] - begin[:-1], count)
+    at += np.arange(begin[-1])
+    return flat[at], begin
+
+
 class ChunkEncoder:
     """Keeps the ids' bytes of short parts, within bounds.
 
@@ -27,50 +43,71 @@ class ChunkEncoder:
         self.whole, self.spaced, self.keep = whole, spaced, keep
         self.known: dict[str, bytes | None] = {}  # None: the text needs to be encoded whole
 
-    def _learn(self, rests: list[list[str]]) -> list[str]:
-        used = set().union(*rests)
-        new = list(used.difference(self.known))
-        if len(self.known) + len(new) > self.keep:  # what is in use again stays
-            self.known = {x: self.known[x] for x in used.intersection(self.known)}
-        good = [x for x in new if _alone(x)]
-        if len(good) < len(new):
-            self.known.update((x, None) for x in new if not _alone(x))
-        self.known.update(zip(good, self.spaced([" " + x for x in good]), strict=True))
-        return [x for x in new if len(x) > _LONG]
-
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text, for texts of a few megabytes together; null counts as empty."""
-        heads: list[str] = []
-        rests: list[list[str]] = []
-        for text in texts:
-            head, *rest = text.split(" ") if text else [""]
-            if rest and not _alone(head):
-                head, rest = text, []
-            heads.append(head)
-            rests.append(rest)
-        drop = self._learn(rests)
-        look = self.known.__getitem__
-        bodies: list[bytes] = []
-        for i, rest in enumerate(rests):
-            try:
-                bodies.append(b"".join(map(look, rest)))
-            except TypeError:
-                heads[i] = texts[i]
-                bodies.append(b"")
-        out = [a + b for a, b in zip(self.whole(heads), bodies, strict=True)]
-        for x in drop:
-            del self.known[x]
+    def _look(self, parts: list[str]) -> list[bytes | None]:
+        get = self.known.get
+        found = [get(x, b"?") for x in parts]  # b"?": not known, since ids take four bytes each
+        at = [k for k, x in enumerate(found) if x == b"?"]
+        if len(self.known) + len(at) > self.keep:  # what is in use again stays
+            self.known = {x: y for x, y in zip(parts, found, strict=True) if y != b"?"}
+        for k, ids in zip(at, self._new([parts[k] for k in at]), strict=True):
+            found[k] = ids
+            if len(parts[k]) <= _LONG:
+                self.known[parts[k]] = ids
+        return found
+
+    def _new(self, parts: list[str]) -> list[bytes | None]:
+        """Ids of parts that are not known.  Marks after a letter or number are a pre-token of their own."""
+        cores, tails = [], []
+        for x in parts:
+            core = x.rstrip(_MARKS)
+            if len(core) == len(x) or not core or not core[-1].isalnum():
+                core = x
+            cores.append(core)
+            tails.append(x[len(core) :])
+        known = self.known
+        good = [x for x in set(cores).difference(known) if _alone(x)]
+        own = dict(zip(good, self.spaced([" " + x for x in good]), strict=True))
+        ends = list(set(tails))
+        end = dict(zip(ends, self.whole(ends), strict=True))
+        out: list[bytes | None] = []
+        for core, tail in zip(cores, tails, strict=True):
+            ids = own.get(core) or known.get(core)
+            out.append(ids + end[tail] if ids and tail else ids)
         return out
 
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and where each text's begin; null counts as empty."""
+        texts = texts.fill_null("")
+        split = pc.split_pattern(texts, " ")
+        first = split.offsets.to_numpy().astype(np.int64)
+        first -= first[0]
+        coded = split.flatten().dictionary_encode()
+        if isinstance(coded, pa.ChunkedArray):
+            coded = coded.combine_chunks()
+        which, parts = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        found = self._look(parts)
+        bad = np.fromiter((x is None for x in found), dtype=bool, count=len(found))
+        # A text is cut if its parts allow it; its first part has no space before it and is encoded on its own.
+        unsafe = np.logical_or.reduceat(bad[which], first[:-1]) & (np.diff(first) > 1) if len(which) else np.zeros(len(texts), bool)
+        use = np.repeat(~unsafe, np.diff(first))
+        use[first[:-1]] = True
+        heads = [parts[k] for k in which[first[:-1]].tolist()]
+        for k in np.flatnonzero(unsafe).tolist():
+            heads[k] = texts[k].as_py()
+        which[first[:-1]] = len(parts) + np.arange(len(texts))
+        found = [x or b"" for x in found] + self.whole(heads)
+        size = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+        flat = np.frombuffer(b"".join(found), dtype="<u4")
+        ids, begin = gather(flat, np.cumsum(size) - size, size, which[use])
+        return ids, begin[np.append(0, np.cumsum(use))[first]]
+
 
-def groups(texts: list[str | None], chars: int = 2_000_000) -> list[slice]:
-    """Runs of texts with about so many characters together."""
-    out, begin, total = [], 0, 0
-    for i, text in enumerate(texts):
-        total += len(text) if text else 0
-        if total >= chars:
-            out.append(slice(begin, i + 1))
-            begin, total = i + 1, 0
-    if begin < len(texts):
-        out.append(slice(begin, len(texts)))
-    return out
+def groups(texts: pa.Array, size: int = 8_000_000) -> Iterator[slice]:
+    """Runs of texts with about so many bytes together."""
+    total = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    begin = 0
+    while begin < len(texts):
+        end = int(np.searchsorted(total, (total[begin - 1] if begin else 0) + size)) + 1
+        end = min(max(end, begin + 1), len(texts))
+        yield slice(begin, end)
+        begin = end

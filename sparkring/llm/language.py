@@ -58,10 +58,10 @@ def _count(langs: list[str]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(code) * BUCKETS, dtype=np.int64)
         for batch in batches:
-            texts, own = batch.column(0).to_pylist(), [code[x] for x in batch.column(1).to_pylist()]
-            for piece in groups(texts):
-                at, first = grams([x or "" for x in texts[piece]])
-                lang = np.repeat(np.array(own[piece], dtype=np.int64), np.diff(first))
+            own = np.array([code[x] for x in batch.column(1).to_pylist()], dtype=np.int64)
+            for piece in groups(batch.column(0), 2_000_000):
+                at, first = grams(batch.column(0)[piece].to_pylist())
+                lang = np.repeat(own[piece], np.diff(first))
                 total += np.bincount(lang * BUCKETS + at, minlength=len(total))
         yield fold.rows("grams", total)
 
@@ -110,11 +110,11 @@ def _predict(model, digests: tuple[str, ...]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model.value
         for batch in batches:
-            texts = batch.column("text").to_pylist()
+            texts = batch.column("text")
             langs: list[str] = []
             scores: list[float] = []
-            for piece in groups(texts):
-                a, b = own.predict(texts[piece])
+            for piece in groups(texts, 2_000_000):
+                a, b = own.predict(texts[piece].to_pylist())
                 langs += a
                 scores += b
             kept = [batch.column(x) for x in digests]

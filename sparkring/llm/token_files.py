@@ -68,7 +68,7 @@ def data_bytes(control: np.ndarray, n: int) -> int:
     return int(_TOTAL[control].sum()) - (-n % 4)
 
 
-def _tokenizer(path: str) -> Callable[[list[str | None]], list[bytes]]:
+def _tokenizer(path: str) -> ChunkEncoder:
     from array import array
 
     from tokenizers import Tokenizer
@@ -95,10 +95,10 @@ def _tokenizer(path: str) -> Callable[[list[str | None]], list[bytes]]:
     return ChunkEncoder(whole, parts)
 
 
-_kept: dict[str, Callable] = {}
+_kept: dict[str, ChunkEncoder] = {}
 
 
-def encoder(path: str) -> Callable[[list[str | None]], list[bytes]]:
+def encoder(path: str) -> ChunkEncoder:
     """The encoder of a tokenizers file, one for each worker process."""
     import os
 
@@ -117,11 +117,12 @@ def _blocks(path: str, end_id: int, wide: bool, shard_tokens: int) -> Callable:
 
         encode, part, block = encoder(path), TaskContext.get().partitionId(), 0
         docs: list[int] = []
-        coded: list[np.ndarray] = []
+        coded: list[np.ndarray] = []  # each document's ids, and the end id
+        end = np.array([end_id], dtype=dtype)
         held = 0
 
         def row() -> pa.RecordBatch:
-            sizes = np.array([len(x) for x in coded], dtype="<u8")
+            sizes = np.array([len(x) + 1 for x in coded[::2]], dtype="<u8")
             return pa.RecordBatch.from_pydict(
                 {
                     "part": pa.array([part], pa.int64()),
@@ -135,13 +136,15 @@ def _blocks(path: str, end_id: int, wide: bool, shard_tokens: int) -> Callable:
             )
 
         for batch in batches:
-            keys, column = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            keys, column = batch.column(0).to_pylist(), batch.column(1)
             for piece in groups(column):
-                for key, raw in zip(keys[piece], encode(column[piece]), strict=True):
-                    ids = np.frombuffer(raw, dtype="<u4")
+                ids, begin = encode(column[piece])
+                ids = ids.astype(dtype)
+                for key, a, b in zip(keys[piece], begin[:-1].tolist(), begin[1:].tolist(), strict=True):
                     docs.append(key)
-                    coded.append(np.append(ids, np.uint32(end_id)).astype(dtype))
-                    held += len(coded[-1])
+                    coded.append(ids[a:b])
+                    coded.append(end)
+                    held += b - a + 1
                     if held >= shard_tokens:
                         yield row()
                         docs, coded, held, block = [], [], 0, block + 1
