@@ -19,6 +19,9 @@ _CHUNK_BYTES = 1 << 20
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Everything in ASCII but letters and digits.
+_MARKS = np.arange(256) < 128
+_MARKS[[*range(48, 58), *range(65, 91), *range(97, 123)]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -81,8 +84,11 @@ def _string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return at, raw
 
 
-def split(column: pa.Array, lower: bool = False) -> Iterator[Words]:
-    """The words of a column of texts, a few documents (about a megabyte) at a time; null counts as empty."""
+def split(column: pa.Array, lower: bool = False, marks: bool = True) -> Iterator[Words]:
+    """The words of a column of texts, a few documents (about a megabyte) at a time; null counts as empty.
+
+    Without `marks`, ASCII characters other than letters and digits part words as white space does.
+    """
     if not len(column):
         return
     at, raw = _string_buffers(column)
@@ -90,18 +96,18 @@ def split(column: pa.Array, lower: bool = False) -> Iterator[Words]:
     while row < len(at) - 1:
         stop = max(row + 1, int(np.searchsorted(at, at[row] + _CHUNK_BYTES, side="right")) - 1)
         stop = min(stop, len(at) - 1)
-        yield _split(raw[at[row] : at[stop]], at[row : stop + 1] - at[row], lower, slice(row, stop))
+        yield _split(raw[at[row] : at[stop]], at[row : stop + 1] - at[row], lower, slice(row, stop), _SPACE if marks else _MARKS)
         row = stop
 
 
-def _split(data: np.ndarray, at: np.ndarray, lower: bool, rows: slice) -> Words:
+def _split(data: np.ndarray, at: np.ndarray, lower: bool, rows: slice, between: np.ndarray) -> Words:
     n = len(data)
     if not n:
         none = np.zeros(0, np.int64)
         return Words(np.zeros(len(at), np.int64), none.astype(np.uint64), none, none, data, rows, at)
     if lower:
         data = _LOWER[data]
-    inside = ~_SPACE[data]
+    inside = ~between[data]
     edge = np.zeros(n + 1, dtype=bool)  # document boundaries
     edge[at] = True
     begins = inside.copy()
