@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, html_text, jaccard, language, quality, repeats, token_files, topk
+from . import byte_bpe, decontaminate, html_text, jaccard, language, quality, repeats, secrets, token_files, topk
 from .tables import Workspace, load
 
 TOKENIZERS = "/opt/tokenizers"
@@ -45,6 +45,11 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = secrets.train(secrets.labelled_findings(spark))
+    return secrets.scan(load(spark, sf_dir, "documents"), model).drop("row")
+
+
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -73,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_repeats": op2_repeats,
     "op3_token_files": op3_token_files,
     "op4_quality": op4_quality,
+    "op5_secrets": op5_secrets,
     "op6_topk": op6_topk,
     "op7_jaccard": op7_jaccard,
     "op8_byte_bpe": op8_byte_bpe,
