@@ -1,7 +1,8 @@
 """Encoding of texts by parts that a tokenizer never merges across, each distinct part encoded once.
 
 A space between two characters that are not white space always begins a pre-token of the byte-level BPE pattern, so
-the text may be cut there and the parts encoded alone.  Texts with any other use of the space are handed over whole.
+the text may be cut there and the parts encoded alone; so does a line feed between such characters, which is a
+pre-token of its own.  Texts with any other use of the two are handed over whole.
 Parts are told apart by Arrow's dictionary encoding, and the ids of all texts are gathered from those of the distinct
 parts in one step.
 """
@@ -14,14 +15,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-_KEEP = 800_000
+_KEEP = 400_000
 _LONG = 256
 _MARKS = ".,;:!?%*#$&\"()[]"
 
 
 def _alone(part: str) -> bool:
     """Whether the spaces around a part stand alone; isspace() covers more characters than the pattern's, never fewer."""
-    return bool(part) and not part[0].isspace() and not part[-1].isspace()
+    body = part[1:] if part[:1] == "\n" else part
+    return bool(body) and not body[0].isspace() and not body[-1].isspace()
 
 
 def gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -36,7 +38,7 @@ def gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray, which: np.ndar
 class ChunkEncoder:
     """Keeps the ids' bytes of short parts, within bounds.
 
-    `whole` encodes each of some texts; `spaced` encodes distinct parts of which each begins with its only space.
+    `whole` encodes each of some texts; `spaced` encodes distinct parts, each with a space or line feed at its begin alone.
     """
 
     def __init__(self, whole: Callable[[list[str]], list[bytes]], spaced: Callable[[list[str]], list[bytes]], keep: int = _KEEP):
@@ -66,7 +68,7 @@ class ChunkEncoder:
             tails.append(x[len(core) :])
         known = self.known
         good = [x for x in set(cores).difference(known) if _alone(x)]
-        own = dict(zip(good, self.spaced([" " + x for x in good]), strict=True))
+        own = dict(zip(good, self.spaced([x if x[0] == "\n" else " " + x for x in good]), strict=True))
         ends = list(set(tails))
         end = dict(zip(ends, self.whole(ends), strict=True))
         out: list[bytes | None] = []
@@ -78,7 +80,7 @@ class ChunkEncoder:
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and where each text's begin; null counts as empty."""
         texts = texts.fill_null("")
-        split = pc.split_pattern(texts, " ")
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
         first = split.offsets.to_numpy().astype(np.int64)
         first -= first[0]
         coded = split.flatten().dictionary_encode()
@@ -102,7 +104,7 @@ class ChunkEncoder:
         return ids, begin[np.append(0, np.cumsum(use))[first]]
 
 
-def groups(texts: pa.Array, size: int = 8_000_000) -> Iterator[slice]:
+def groups(texts: pa.Array, size: int = 6_000_000) -> Iterator[slice]:
     """Runs of texts with about so many bytes together."""
     total = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
     begin = 0

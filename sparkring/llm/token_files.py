@@ -45,8 +45,16 @@ def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
     codes = np.zeros(-(-n // 4) * 4, dtype=np.uint8)
     codes[:n] = length - 1
     control = codes[0::4] | codes[1::4] << 2 | codes[2::4] << 4 | codes[3::4] << 6
-    used = np.arange(widest, dtype=np.uint8) < length[:, None]
-    return control.tobytes(), ranks.view(np.uint8).reshape(n, 4)[:, :widest][used].tobytes()
+    raw = (ranks.astype("<u2") if widest <= 2 else ranks).view(np.uint8)
+    return control.tobytes(), raw[_used(length, 2 if widest <= 2 else 4)].tobytes()
+
+
+def _used(length: np.ndarray, width: int) -> np.ndarray:
+    """Which bytes of numbers of a width are part of their codes."""
+    used = np.ones(len(length) * width, dtype=bool)
+    for k in range(1, width):
+        used[k::width] = length > k
+    return used
 
 
 def _widest(top: int) -> int:
@@ -56,11 +64,10 @@ def _widest(top: int) -> int:
 def unpack(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
     """Ranks back, by table lookup of the control bytes.  `data` may be longer than the codes."""
     length = _LENGTHS[control].reshape(-1)[:n]
-    widest = int(length.max(initial=1))
-    used = np.arange(widest, dtype=np.uint8) < length[:, None]
-    out = np.zeros((n, 4), dtype=np.uint8)
-    out[:, :widest][used] = data[: int(length.sum(dtype=np.int64))]
-    return out.view("<u4").reshape(n)
+    width = 2 if int(length.max(initial=1)) <= 2 else 4
+    out = np.zeros(n * width, dtype=np.uint8)
+    out[_used(length, width)] = data[: int(length.sum(dtype=np.int64))]
+    return out.view(f"<u{width}").astype(np.uint32)
 
 
 def data_bytes(control: np.ndarray, n: int) -> int:
@@ -75,9 +82,9 @@ def _tokenizer(path: str) -> ChunkEncoder:
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
-    spaced = np.zeros(tokenizer.get_vocab_size() + 1, dtype=bool)  # the token begins with a space
+    spaced = np.zeros(tokenizer.get_vocab_size() + 1, dtype=bool)  # the token begins with a space or line feed
     for piece, i in tokenizer.get_vocab().items():
-        spaced[i] = piece[:1] == "Ġ"
+        spaced[i] = piece[:1] in ("Ġ", "Ċ")
 
     def whole(xs: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(xs, add_special_tokens=False)]
@@ -122,6 +129,7 @@ def _blocks(path: str, end_id: int, wide: bool, shard_tokens: int) -> Callable:
         held = 0
 
         def row() -> pa.RecordBatch:
+            all_ids = np.concatenate(coded)
             sizes = np.array([len(x) + 1 for x in coded[::2]], dtype="<u8")
             return pa.RecordBatch.from_pydict(
                 {
@@ -131,11 +139,13 @@ def _blocks(path: str, end_id: int, wide: bool, shard_tokens: int) -> Callable:
                     "n_tokens": pa.array([int(sizes.sum())], pa.int64()),
                     "docs": [np.array(docs, dtype="<u8" if not docs or min(docs) >= 0 else "<i8").tobytes()],
                     "sizes": [sizes.tobytes()],
-                    "ids": [np.concatenate(coded).tobytes()],
+                    "ids": [all_ids.tobytes()],
+                    "counts": [np.bincount(all_ids).astype("<u4").tobytes()],
                 }
             )
 
         for batch in batches:
+            pa.default_memory_pool().release_unused()
             keys, column = batch.column(0).to_pylist(), batch.column(1)
             for piece in groups(column):
                 ids, begin = encode(column[piece])
@@ -154,24 +164,19 @@ def _blocks(path: str, end_id: int, wide: bool, shard_tokens: int) -> Callable:
     return run
 
 
-_BLOCKS = "part long, block long, n_docs long, n_tokens long, docs binary, sizes binary, ids binary"
+_BLOCKS = "part long, block long, n_docs long, n_tokens long, docs binary, sizes binary, ids binary, counts binary"
 
 
-def _counts(wide: bool) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, dtype=np.int64)
-        for batch in batches:
-            for raw in batch.column(0):
-                new = np.bincount(np.frombuffer(raw.as_buffer(), dtype="<u4" if wide else "<u2"))
-                if len(new) > len(total):
-                    new[: len(total)] += total
-                    total = new
-                else:
-                    total[: len(new)] += new
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["id", "n"])
-
-    return run
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(0, dtype=np.int64)
+    for batch in batches:
+        for raw in batch.column(0):
+            new = np.frombuffer(raw.as_buffer(), dtype="<u4").astype(np.int64)
+            short, long = sorted((total, new), key=len)
+            long[: len(short)] += short
+            total = long
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["id", "n"])
 
 
 def _packed(order: np.ndarray, wide: bool) -> Callable:
@@ -206,7 +211,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, shard_t
     blocks = work.put(ordered.mapInArrow(_blocks(tokenizer, end_id, wide, shard_tokens), _BLOCKS), "blocks")
 
     # At most one row for each id of the vocabulary.
-    counts = blocks.select("ids").mapInArrow(_counts(wide), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    counts = blocks.select("counts").mapInArrow(_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     order = counts.sort_values(["n", "id"], ascending=[False, True])["id"].to_numpy(dtype=np.int64)
     # One row for each partition of the writing job.
     parts = blocks.groupBy("part").agg(F.sum("n_tokens").alias("n")).toPandas().sort_values("part")
@@ -217,7 +222,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, shard_t
     within = totals.alias("a").join(totals.alias("b"), (F.col("a.part") == F.col("b.part")) & (F.col("b.block") < F.col("a.block")), "left")
     within = within.groupBy("a.part", "a.block").agg(F.coalesce(F.sum("b.n_tokens"), F.lit(0)).alias("inside"))
     starts = within.join(F.broadcast(before), "part").select("part", "block", (F.col("before") + F.col("inside")).alias("start"))
-    coded = blocks.join(F.broadcast(starts), ["part", "block"]).mapInArrow(_packed(order, wide), "shard string, body binary")
+    coded = blocks.drop("counts").join(F.broadcast(starts), ["part", "block"]).mapInArrow(_packed(order, wide), "shard string, body binary")
     coded.select("shard", F.col("body").cast("string").alias("value")).write.mode("overwrite").partitionBy("shard").text(f"{folder}/shards")
     table = spark.createDataFrame([(bytearray(order.astype("<u4").tobytes()),)], "body binary").select(F.col("body").cast("string").alias("value"))
     table.coalesce(1).write.mode("overwrite").text(f"{folder}/ranks")
