@@ -11,6 +11,7 @@ repeated until the expected recall at the largest distance reaches the target.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -204,6 +205,37 @@ def _find(shared) -> Callable:
     return run
 
 
+def _without(shared) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = shared.value
+        for batch in batches:
+            keep = np.ones(batch.num_rows, dtype=bool)
+            for w in words.split(batch.column("text"), lower=True, marks=False):
+                keep[[w.rows.start + x[0] for x in items.matches(w)]] = False
+            yield batch.filter(pa.array(keep))
+
+    return run
+
+
+def _blocks(benchmark: DataFrame, share: float, recall: float) -> Iterator:
+    """Broadcasts of the items, a bounded block at a time."""
+    spark = benchmark.sparkSession
+    items = tables.texts(benchmark, "item_id").where("text is not null")
+    size = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    blocks = max(1, -(-size // BLOCK_BYTES))
+    count = repetitions(share, recall)
+    for b in range(blocks):
+        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()
+        yield spark.sparkContext.broadcast(Items([r["item_id"] for r in own], [r["text"] for r in own], share, count))
+
+
+def without(docs: DataFrame, benchmark: DataFrame, share: float = 0.2, recall: float = 0.99) -> DataFrame:
+    """The rows of `docs`, with all their columns, that hold no passage of the benchmark (see `passages`)."""
+    for block in _blocks(benchmark, share, recall):
+        docs = docs.mapInArrow(_without(block), docs.schema)
+    return docs
+
+
 def passages(docs: DataFrame, benchmark: DataFrame, share: float = 0.2, recall: float = 0.99) -> DataFrame:
     """One row for each document and benchmark item of which it holds a passage: the nearest one, the first of equals.
 
@@ -214,15 +246,5 @@ def passages(docs: DataFrame, benchmark: DataFrame, share: float = 0.2, recall:
 
     The items go in blocks of bounded size, each in one pass over all documents, without a shuffle.
     """
-    spark = docs.sparkSession
-    items = tables.texts(benchmark, "item_id").where("text is not null")
-    size = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    blocks = max(1, -(-size // BLOCK_BYTES))
-    count = repetitions(share, recall)
-    out = None
-    for b in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()
-        block = Items([r["item_id"] for r in own], [r["text"] for r in own], share, count)
-        found = tables.texts(docs).mapInArrow(_find(spark.sparkContext.broadcast(block)), _SCHEMA)
-        out = found if out is None else out.unionByName(found)
-    return out
+    found = [tables.texts(docs).mapInArrow(_find(block), _SCHEMA) for block in _blocks(benchmark, share, recall)]
+    return reduce(DataFrame.unionByName, found)

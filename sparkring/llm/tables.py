@@ -9,9 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    # Batches to Python are bounded by bytes, since texts may be long.
+def bound_batches(spark: SparkSession) -> None:
+    """Batches to Python are bounded by bytes, since texts may be long."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
+def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
