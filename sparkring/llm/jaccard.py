@@ -307,7 +307,8 @@ class Join:
         """Links (u, v) among the pairs (x, y); x should be the rarer one of a hub's pairs."""
         pairs = self.work.put(pairs.select("x", "y").distinct(), f"pairs-{name}")
         ids = pairs.select(F.col("x").alias("doc_id")).unionByName(pairs.select(F.col("y").alias("doc_id"))).distinct()
-        sets = self.work.put(self.docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets(self.size), "doc long, own binary").distinct(), f"sets-{name}")
+        # The ids grow with the input, so this join is planned alike at every size: both sides dealt out by key.
+        sets = self.work.put(self.docs.join(ids.hint("merge"), "doc_id", "left_semi").mapInArrow(_sets(self.size), "doc long, own binary").distinct(), f"sets-{name}")
         asked = pairs.join(sets, pairs["y"] == sets["doc"]).select("x", "y", "own")
         own = sets.join(pairs.select("x").distinct(), sets["doc"] == F.col("x"), "left_semi").select(F.col("doc").alias("x"), F.lit(None).cast("long").alias("y"), "own")
         rows = own.unionByName(asked).repartition(tables.partitions(self.spark), "x").sortWithinPartitions("x", F.col("y").asc_nulls_first())
@@ -320,7 +321,7 @@ class Join:
         shared = self.spark.sparkContext.broadcast(sketch)  # 16 MB, whatever the input
         reps = found.select(F.col("doc").alias("rep")).distinct()
         made = self.docs.mapInArrow(_prefixes(shared, self.size, self.percent), _PREFIX)
-        prefixes = self.work.put(made.join(reps, made["doc"] == reps["rep"], "left_semi"), "prefixes", codec="lz4")
+        prefixes = self.work.put(made.join(reps.hint("merge"), made["doc"] == reps["rep"], "left_semi"), "prefixes", codec="lz4")
 
         posted = prefixes.select("doc", "n", "matches", "cold", F.posexplode("tokens").alias("at", "token"))
         cold = posted.where("at < cold").select("token", "doc", "n", "matches", "at")
