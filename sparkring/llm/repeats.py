@@ -181,6 +181,8 @@ def _with_hits(work: tables.Workspace, rows: DataFrame, found: DataFrame, level:
     own = found.select("doc_id", "row", F.explode(F.array_distinct("hashes")).alias("h")).join(repeated, "h", "left_semi")
     # One list for each document; rows that are wholly alike (doc_id and text) share one.
     hits = own.groupBy("doc_id", "row").agg(F.collect_set("h").alias("hits")).withColumnRenamed("doc_id", "id")
+    # Hits grow with the input, so this join is planned alike at every size: both sides dealt out by key.
+    hits = hits.hint("merge")
     return rows.join(hits, (rows["row"] == hits["row"]) & rows["doc_id"].eqNullSafe(hits["id"])).drop(hits["row"]).drop("id")
 
 
@@ -253,7 +255,7 @@ def remove(docs: DataFrame, window: int = 35, digest: bool = False) -> DataFrame
     if found is None:
         spans = rows.withColumns({"starts": F.lit(None).cast("array<int>"), "lengths": F.lit(None).cast("array<int>")})
     else:
-        own = found.select(F.col("doc_id").alias("id"), F.col("row").alias("own_row"), "starts", "lengths").dropDuplicates(["id", "own_row"])
+        own = found.select(F.col("doc_id").alias("id"), F.col("row").alias("own_row"), "starts", "lengths").dropDuplicates(["id", "own_row"]).hint("merge")
         spans = rows.join(own, (F.col("row") == F.col("own_row")) & F.col("doc_id").eqNullSafe(F.col("id")), "left")
     schema = f"doc_id long, n_words long, n_removed long, {'kept_sha256' if digest else 'kept'} string"
     return spans.select("doc_id", "text", "starts", "lengths").mapInArrow(_kept(digest), schema)

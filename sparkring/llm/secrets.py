@@ -189,6 +189,7 @@ def redact(docs: DataFrame, found: DataFrame, mark: str = "[SECRET]") -> DataFra
     Findings belong to all rows of their doc_id and text.  Other columns and rows stay as they are.
     """
     spans = found.groupBy(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).agg(F.sort_array(F.collect_set(F.struct("start", "length"))).alias("_spans"))
+    spans = spans.hint("merge")  # findings grow with the input
     joined = docs.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col("text")) == F.col("_row")), "left")
     step = lambda a, s: F.struct(
         (s["start"] + s["length"]).alias("at"),
