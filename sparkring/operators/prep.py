@@ -15,7 +15,8 @@ def rebase(edges: DataFrame, by: int = 1) -> DataFrame:
 
 def transpose(edges: DataFrame) -> DataFrame:
     """A swap of columns; no data moves."""
-    return edges.withColumnsRenamed({"src": "dst", "dst": "src"}).select(*edges.columns)
+    swap = {"src": "dst", "dst": "src"}
+    return edges.select(*(F.col(swap.get(c, c)).alias(c) for c in edges.columns))
 
 
 def symmetrize(edges: DataFrame) -> DataFrame:
