@@ -17,6 +17,8 @@ import pyarrow.compute as pc
 
 _KEEP = 400_000
 _LONG = 256
+_ALNUM = np.zeros(256, dtype=bool)
+_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
 _MARKS = ".,;:!?%*#$&\"()[]"
 
 
@@ -35,6 +37,34 @@ def gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray, which: np.ndar
     return flat[at], begin
 
 
+def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets (64-bit) and bytes of a string array without nulls."""
+    wide = pa.types.is_large_string(texts.type)
+    _, offsets, data = texts.buffers()
+    at = np.frombuffer(offsets, dtype=np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    return at, np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+
+
+def _strings(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
+    data, at = gather(flat, start, size, np.arange(len(start)))
+    return pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(at), pa.py_buffer(data))
+
+
+def _cores(parts: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """Each part as a core and the marks at its end, which are a pre-token of their own after a letter or number."""
+    cores = pc.utf8_rtrim(parts, _MARKS)
+    at, flat = _bytes(parts)
+    size = np.diff(_bytes(cores)[0])
+    whole = np.diff(at)
+    last = flat[np.maximum(at[:-1] + size - 1, 0)] if len(flat) else np.zeros(len(size), np.uint8)
+    marked = (size < whole) & (size > 0)
+    for k in np.flatnonzero(marked & (last >= 0x80)).tolist():
+        marked[k] = cores[k].as_py()[-1].isalnum()
+    marked &= (last >= 0x80) | _ALNUM[last]
+    size = np.where(marked, size, whole)
+    return _strings(flat, at[:-1], size), _strings(flat, at[:-1] + size, whole - size)
+
+
 class ChunkEncoder:
     """Keeps the ids' bytes of short parts, within bounds.
 
@@ -51,57 +81,47 @@ class ChunkEncoder:
         at = [k for k, x in enumerate(found) if x == b"?"]
         if len(self.known) + len(at) > self.keep:  # what is in use again stays
             self.known = {x: y for x, y in zip(parts, found, strict=True) if y != b"?"}
-        for k, ids in zip(at, self._new([parts[k] for k in at]), strict=True):
-            found[k] = ids
+        good = [k for k in at if _alone(parts[k])]
+        ids = dict.fromkeys(at)
+        ids.update(zip(good, self.spaced([x if x[0] == "\n" else " " + x for x in map(parts.__getitem__, good)]), strict=True))
+        for k, own in ids.items():
+            found[k] = own
             if len(parts[k]) <= _LONG:
-                self.known[parts[k]] = ids
+                self.known[parts[k]] = own
         return found
 
-    def _new(self, parts: list[str]) -> list[bytes | None]:
-        """Ids of parts that are not known.  Marks after a letter or number are a pre-token of their own."""
-        cores, tails = [], []
-        for x in parts:
-            core = x.rstrip(_MARKS)
-            if len(core) == len(x) or not core or not core[-1].isalnum():
-                core = x
-            cores.append(core)
-            tails.append(x[len(core) :])
-        known = self.known
-        good = [x for x in set(cores).difference(known) if _alone(x)]
-        own = dict(zip(good, self.spaced([x if x[0] == "\n" else " " + x for x in good]), strict=True))
-        ends = list(set(tails))
-        end = dict(zip(ends, self.whole(ends), strict=True))
-        out: list[bytes | None] = []
-        for core, tail in zip(cores, tails, strict=True):
-            ids = own.get(core) or known.get(core)
-            out.append(ids + end[tail] if ids and tail else ids)
-        return out
-
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and where each text's begin; null counts as empty."""
         texts = texts.fill_null("")
+        if not len(texts):
+            return np.zeros(0, "<u4"), np.zeros(1, np.int64)
         split = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
         first = split.offsets.to_numpy().astype(np.int64)
         first -= first[0]
         coded = split.flatten().dictionary_encode()
-        if isinstance(coded, pa.ChunkedArray):
-            coded = coded.combine_chunks()
-        which, parts = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
-        found = self._look(parts)
+        which, distinct = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+        cores, marks = (x.dictionary_encode() for x in _cores(distinct))
+        core, mark = (x.indices.to_numpy().astype(np.int64) for x in (cores, marks))
+        found = self._look(cores.dictionary.to_pylist())
         bad = np.fromiter((x is None for x in found), dtype=bool, count=len(found))
         # A text is cut if its parts allow it; its first part has no space before it and is encoded on its own.
-        unsafe = np.logical_or.reduceat(bad[which], first[:-1]) & (np.diff(first) > 1) if len(which) else np.zeros(len(texts), bool)
+        unsafe = np.logical_or.reduceat(bad[core][which], first[:-1]) & (np.diff(first) > 1)
         use = np.repeat(~unsafe, np.diff(first))
         use[first[:-1]] = True
-        heads = [parts[k] for k in which[first[:-1]].tolist()]
+        heads = distinct.take(pa.array(which[first[:-1]])).to_pylist()
         for k in np.flatnonzero(unsafe).tolist():
             heads[k] = texts[k].as_py()
-        which[first[:-1]] = len(parts) + np.arange(len(texts))
-        found = [x or b"" for x in found] + self.whole(heads)
-        size = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
-        flat = np.frombuffer(b"".join(found), dtype="<u4")
-        ids, begin = gather(flat, np.cumsum(size) - size, size, which[use])
-        return ids, begin[np.append(0, np.cumsum(use))[first]]
+        # Entries to gather: the cores, the marks, nothing, and the heads; two for each part.
+        ends = self.whole(marks.dictionary.to_pylist())
+        entries = [x or b"" for x in found] + ends + [b""] + self.whole(heads)
+        pairs = np.empty((len(which), 2), dtype=np.int64)
+        pairs[:, 0], pairs[:, 1] = core[which], mark[which] + len(found)
+        pairs[first[:-1], 0] = len(found) + len(ends) + 1 + np.arange(len(texts))
+        pairs[first[:-1], 1] = len(found) + len(ends)
+        size = np.fromiter(map(len, entries), dtype=np.int64, count=len(entries)) // 4
+        flat = np.frombuffer(b"".join(entries), dtype="<u4")
+        ids, begin = gather(flat, np.cumsum(size) - size, size, pairs[use].reshape(-1))
+        return ids, begin[2 * np.append(0, np.cumsum(use))[first]]
 
 
 def groups(texts: pa.Array, size: int = 6_000_000) -> Iterator[slice]:
