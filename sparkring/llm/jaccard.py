@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.components import contract as components
 from . import fold, tables, words
-from .components import components
 
 SKETCH = 1 << 22
 MOST_MATCHES = 4
