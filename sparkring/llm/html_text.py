@@ -49,7 +49,7 @@ _OUT_WORDS = {
 @dataclass
 class Line:
     text: str
-    weight: int  # 0 inside links and outside the article
+    weight: int  # characters but spaces, 0 inside links and outside the article
     out: bool
     article: bool
 
@@ -96,7 +96,7 @@ class _Page:
             text = " ".join(html.unescape("".join(self.parts)).split())
             if text:
                 out = self.level == 2 or self.level == 1 and not self.heading
-                weight = 0 if out else max(0, len(text) - self.linked)
+                weight = 0 if out else max(0, len(text) - text.count(" ") - self.linked)
                 self.lines.append(Line(text, weight, out, bool(self.stack) and self.stack[-1][2]))
             self.parts, self.linked = [], 0
 

@@ -101,13 +101,9 @@ def _features() -> dict[str, Column]:
     }
 
 
-FEATURES = tuple(_features())
-
-
 def with_features(rows: DataFrame) -> DataFrame:
-    named = rows.select("*", *(F.coalesce(c.cast("double"), F.lit(0.0)).alias(f"f_{k}") for k, c in _features().items()))
-    out = VectorAssembler(inputCols=[f"f_{k}" for k in FEATURES], outputCol="features").transform(named)
-    return out.drop(*(f"f_{k}" for k in FEATURES))
+    own = {f"f_{k}": F.coalesce(c.cast("double"), F.lit(0.0)) for k, c in _features().items()}
+    return VectorAssembler(inputCols=list(own), outputCol="features").transform(rows.withColumns(own)).drop(*own)
 
 
 def labelled_findings(spark: SparkSession, rows: int = 2400) -> DataFrame:
@@ -198,5 +194,5 @@ def redact(docs: DataFrame, found: DataFrame, mark: str = "[SECRET]") -> DataFra
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     done = F.aggregate("_spans", begin, step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
     text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(done)
-    out = [text.alias(c) if c == "text" else F.length(text).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return joined.select(*out)
+    out = [F.col("_text").alias(c) if c == "text" else F.length("_text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+    return joined.withColumn("_text", text).select(*out)  # in two steps: a new `text` would be taken inside the expression
