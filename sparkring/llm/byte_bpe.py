@@ -81,13 +81,13 @@ class Codec:
         self.start = np.cumsum(self.size) - self.size
         self.flat = np.frombuffer(b"".join(self.pieces), dtype=np.uint8)
         self.known: dict[str, bytes] = {}
-        self.encode = ChunkEncoder(self._encode, self._encode, keep=400_000)
+        self.encode = ChunkEncoder(self._encode, self._encode, keep=150_000)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         find = self.find
         parts = [find(x) for x in texts]
         new = list(set().union(*parts).difference(self.known))
-        if len(self.known) + len(new) > 300_000:
+        if len(self.known) + len(new) > 100_000:
             self.known.clear()
             new = list(set().union(*parts))
         rest: list[tuple[str, str]] = []

@@ -15,6 +15,7 @@ from .chunks import groups
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
 UNDETERMINED = "und"
+GROUP = 500_000  # bytes of text whose n-grams are held at a time
 #: The model is broadcast: buckets x languages x 4 bytes; more languages than this are refused.
 MAX_LANGUAGES = 256
 
@@ -59,7 +60,7 @@ def _count(langs: list[str]) -> Callable:
         total = np.zeros(len(code) * BUCKETS, dtype=np.int64)
         for batch in batches:
             own = np.array([code[x] for x in batch.column(1).to_pylist()], dtype=np.int64)
-            for piece in groups(batch.column(0), 2_000_000):
+            for piece in groups(batch.column(0), GROUP):
                 at, first = grams(batch.column(0)[piece].to_pylist())
                 lang = np.repeat(own[piece], np.diff(first))
                 total += np.bincount(lang * BUCKETS + at, minlength=len(total))
@@ -110,10 +111,11 @@ def _predict(model, digests: tuple[str, ...]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model.value
         for batch in batches:
+            pa.default_memory_pool().release_unused()
             texts = batch.column("text")
             langs: list[str] = []
             scores: list[float] = []
-            for piece in groups(texts, 2_000_000):
+            for piece in groups(texts, GROUP):
                 a, b = own.predict(texts[piece].to_pylist())
                 langs += a
                 scores += b
