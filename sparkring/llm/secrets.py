@@ -17,10 +17,11 @@ from pyspark.sql import functions as F
 
 _NAMES = "password|passwd|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|private[_-]?key|client[_-]?secret|credential|bearer"
 _RUN = "A-Za-z0-9+/_\\-"
-#: A value assigned to a secret's name, or a run of 16 or more characters with a digit among them.
+_PREFIXES = "AKIA|ASIA|gh[pousr]_|sk_live_|sk-|xox[abps]-|AIza|glpat-|eyJ"
+#: A value assigned to a secret's name, a run of 16 or more characters with a digit, or one that begins as known keys do.
 CANDIDATE = (
     f"(?i:(?<![a-z0-9])(?:{_NAMES})s?[\"']?\\s{{0,3}}(?:[:=]|=>|\\s(?=\\S{{0,200}}[0-9]))\\s{{0,3}}[\"']?[^\\s\"',;<>(){{}}]{{8,}}+)"
-    f"|(?<![{_RUN}])(?=[A-Za-z+/_\\-]*+[0-9])[{_RUN}]{{16,}}+={{0,2}}"
+    f"|(?<![{_RUN}])(?:(?=[A-Za-z+/_\\-]*+[0-9])|(?={_PREFIXES}))[{_RUN}]{{16,}}+={{0,2}}"
 )
 _VALUE = f"^(?i:(?:{_NAMES})s?[\"']?\\s{{0,3}}(?:[:=]|=>|\\s)\\s{{0,3}}[\"']?)"
 #: Words that mark an identifier rather than a random value.
@@ -88,7 +89,7 @@ def _features() -> dict[str, Column]:
         "hex": has("^[0-9a-fA-F]+$"),
         "only_digits": has("^[0-9+\\-]+$"),
         "uuid": has("^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-"),
-        "prefixed": has("^(?:AKIA|ASIA|gh[pousr]_|sk_live_|sk-|xox[abps]-|AIza|glpat-|eyJ)"),
+        "prefixed": has(f"^(?:{_PREFIXES})"),
         "stand_in": has("(?i)example|xxxx|your|changeme|dummy|sample|placeholder|12345|abcdef|00000|test"),
         "slashes": count("/"),
         "named": has(f"(?:{_NAMES})", left),
