@@ -4,7 +4,7 @@ Every window of the full length chooses, at each level, the smallest hash among
 (its anchor), so equal windows choose equal anchors.  A window whose anchor occurs only once is unique and is dropped;
 those left are looked at again at twice the length, and at last at the full length itself, until no candidates survive
 or the full length has been checked.  Only a level's anchors are shuffled, about 2 / (window - length + 2) of the words.
-The full length is checked with two independent 64-bit hashes.
+The full length is checked by two 64-bit hashes together.
 """
 
 from __future__ import annotations
@@ -19,8 +19,6 @@ from pyspark.sql import functions as F
 
 from . import tables, words
 
-_MAX = np.uint64((1 << 64) - 1)
-
 
 def slide(x: np.ndarray, n: int, best: np.ufunc) -> np.ndarray:
     """best() over every n consecutive values, by doubling."""
@@ -32,31 +30,31 @@ def slide(x: np.ndarray, n: int, best: np.ufunc) -> np.ndarray:
     return out
 
 
-def _alive_values(hashed: np.ndarray, first: np.ndarray, length: int, window: int, which: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the sub-windows, each window's anchor, and which windows lie within a unit (documents or regions)."""
-    sub = words.windows(hashed, length, which)
-    anchor = slide(np.minimum(sub, _MAX - np.uint64(1)), window - length + 1, np.minimum) if len(hashed) >= window else np.zeros(0, np.uint64)
-    return np.minimum(sub, _MAX - np.uint64(1)), anchor, words.window_mask(first, window)
+def _alive_values(hashed: np.ndarray, first: np.ndarray, length: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the sub-windows (never 0), each window's anchor, and which windows lie within a unit (document or region)."""
+    sub = np.maximum(words.windows(hashed, length), np.uint64(1))
+    anchor = slide(sub, window - length + 1, np.minimum) if len(hashed) >= window else np.zeros(0, np.uint64)
+    return sub, anchor, words.window_mask(first, window)
 
 
-def anchors(hashed: np.ndarray, first: np.ndarray, length: int, window: int, which: int) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of every place that is the anchor of some window, and each unit's first one."""
-    sub, anchor, inside = _alive_values(hashed, first, length, window, which)
+def anchors(hashed: np.ndarray, first: np.ndarray, length: int, window: int) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
+    """The hash of every place that is the anchor of some window, a second one at full length, and each unit's first place."""
+    sub, anchor, inside = _alive_values(hashed, first, length, window)
+    exact = length == window
     if not inside.any():
-        return np.zeros(0, np.uint64), np.zeros(len(first), np.int64)
+        none = np.zeros(0, np.uint64)
+        return none, none if exact else None, np.zeros(len(first), np.int64)
     # A place is chosen if the largest anchor of the windows around it is its own hash; 0 stands for no window.
     reach = window - length
     padded = np.zeros(len(anchor) + 2 * reach, dtype=np.uint64)
-    padded[reach : reach + len(anchor)] = np.where(inside, np.maximum(anchor, np.uint64(1)), np.uint64(0))
-    chosen = slide(padded, reach + 1, np.maximum) == np.maximum(sub, np.uint64(1))
-    at = np.flatnonzero(chosen)
-    return np.maximum(sub[at], np.uint64(1)), np.searchsorted(at, first)
+    padded[reach : reach + len(anchor)] = np.where(inside, anchor, np.uint64(0))
+    at = np.flatnonzero(slide(padded, reach + 1, np.maximum) == sub)
+    return sub[at], words.windows(hashed, length, 1)[at] if exact else None, np.searchsorted(at, first)
 
 
-def surviving(hashed: np.ndarray, first: np.ndarray, hits: list[np.ndarray], unit_row: np.ndarray, length: int, window: int, which: int) -> np.ndarray:
+def surviving(hashed: np.ndarray, first: np.ndarray, hits: list[np.ndarray], unit_row: np.ndarray, length: int, window: int) -> np.ndarray:
     """Which windows have an anchor among the hits of their row."""
-    _, anchor, inside = _alive_values(hashed, first, length, window, which)
-    anchor = np.maximum(anchor, np.uint64(1))
+    _, anchor, inside = _alive_values(hashed, first, length, window)
     alive = np.zeros(len(anchor), dtype=bool)
     for unit in range(len(first) - 1):
         own = hits[unit_row[unit]]
@@ -73,24 +71,30 @@ def _regions(alive: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2] + window - 1
 
 
-# Rows between the jobs: a document (doc_id, row) with its regions' starts, lengths and word hashes.
-_KEY = "doc_id long, row long"
-_REGIONS = f"{_KEY}, starts array<int>, lengths array<int>, words binary"
-_ANCHORS = f"{_KEY}, hashes array<long>"
+# Rows between the jobs: a text (its MD5) with its regions' starts, lengths and word hashes.
+_REGIONS = "key binary, starts array<int>, lengths array<int>, words binary"
+#: At the full length, `more` is a second hash of each place; before, it is null.
+_ANCHORS = "key binary, hashes array<long>, more array<long>"
 
 
 def _lists(values: np.ndarray, first: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(values)).cast(pa.list_(kind))
 
 
+def _anchor_rows(keys: list[pa.Array], names: list[str], hashed: np.ndarray, first: np.ndarray, rows: np.ndarray, length: int, window: int) -> pa.RecordBatch:
+    """Anchors of units, listed by row: `rows` holds each row's first unit, and one more."""
+    found, more, begin = anchors(hashed, first, length, window)
+    begin = begin[rows]
+    second = _lists(more.view(np.int64), begin, pa.int64()) if more is not None else pa.nulls(len(rows) - 1, pa.list_(pa.int64()))
+    return pa.RecordBatch.from_arrays([*keys, _lists(found.view(np.int64), begin, pa.int64()), second], names=[*names, "hashes", "more"])
+
+
 def _document_anchors(length: int, window: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for w in words.split(batch.column("text")):
-                found, first = anchors(w.hash, w.first, length, window, 0)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id")[w.rows], batch.column("row")[w.rows], _lists(found.view(np.int64), first, pa.int64())], names=["doc_id", "row", "hashes"]
-                )
+                keys = [batch.column(k)[w.rows] for k in ("doc_id", "key")]
+                yield _anchor_rows(keys, ["doc_id", "key"], w.hash, w.first, np.arange(len(w.first)), length, window)
 
     return run
 
@@ -104,15 +108,12 @@ def _units(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     return hashed, np.append(0, np.cumsum(flat)), row, batch.column("starts").flatten().to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _region_anchors(length: int, window: int, which: int) -> Callable:
+def _region_anchors(length: int, window: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            hashed, first, row, _ = _units(batch)
-            found, at = anchors(hashed, first, length, window, which)
-            begin = at[np.searchsorted(row, np.arange(batch.num_rows + 1))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), _lists(found.view(np.int64), begin, pa.int64())], names=["doc_id", "row", "hashes"])
+            if batch.num_rows:
+                hashed, first, row, _ = _units(batch)
+                yield _anchor_rows([batch.column("key")], ["key"], hashed, first, np.searchsorted(row, np.arange(batch.num_rows + 1)), length, window)
 
     return run
 
@@ -121,13 +122,12 @@ def _rows(batch: pa.RecordBatch, kept: list[tuple[int, np.ndarray, np.ndarray, l
     at = pa.array([k for k, *_ in kept], pa.int64())
     return pa.RecordBatch.from_arrays(
         [
-            batch.column("doc_id").take(at),
-            batch.column("row").take(at),
+            batch.column("key").take(at),
             pa.array([s.tolist() for _, s, _, _ in kept], pa.list_(pa.int32())),
             pa.array([n.tolist() for _, _, n, _ in kept], pa.list_(pa.int32())),
             pa.array([b"".join(x.tobytes() for x in parts) for *_, parts in kept], pa.binary()),
         ],
-        names=["doc_id", "row", "starts", "lengths", "words"],
+        names=["key", "starts", "lengths", "words"],
     )
 
 
@@ -157,76 +157,87 @@ def _document_regions(length: int, window: int) -> Callable:
             for w in words.split(batch.column("text")):
                 part = batch.slice(w.rows.start, w.rows.stop - w.rows.start)
                 n = part.num_rows
-                alive = surviving(w.hash, w.first, hits[w.rows], np.arange(n), length, window, 0)
+                alive = surviving(w.hash, w.first, hits[w.rows], np.arange(n), length, window)
                 yield _cut(part, w.hash, w.first, np.arange(n), np.zeros(n, np.int64), alive, window)
 
     return run
 
 
-def _region_regions(length: int, window: int, which: int) -> Callable:
+def _region_regions(length: int, window: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             hashed, first, row, offset = _units(batch)
-            alive = surviving(hashed, first, _hits(batch), row, length, window, which)
+            alive = surviving(hashed, first, _hits(batch), row, length, window)
             yield _cut(batch, hashed, first, row, offset, alive, window)
 
     return run
 
 
-def _with_hits(work: tables.Workspace, rows: DataFrame, found: DataFrame, level: str) -> DataFrame:
-    """Rows of the documents that hold an anchor which occurs more than once, with those anchors."""
-    repeated = work.put(found.select(F.explode("hashes").alias("h")).groupBy("h").count().where("count > 1").select("h"), f"repeated-{level}")
-    own = found.select("doc_id", "row", F.explode(F.array_distinct("hashes")).alias("h")).join(repeated, "h", "left_semi")
-    # One list for each document; rows that are wholly alike (doc_id and text) share one.
-    hits = own.groupBy("doc_id", "row").agg(F.collect_set("h").alias("hits")).withColumnRenamed("doc_id", "id")
-    # Hits grow with the input, so this join is planned alike at every size: both sides dealt out by key.
-    hits = hits.hint("merge")
-    return rows.join(hits, (rows["row"] == hits["row"]) & rows["doc_id"].eqNullSafe(hits["id"])).drop(hits["row"]).drop("id")
+def _hit_lists(work: tables.Workspace, found: DataFrame, exact: bool, level: int) -> DataFrame:
+    """The texts that hold an anchor which occurs more than once, with those anchors."""
+    places = F.arrays_zip("hashes", "more") if exact else F.transform("hashes", lambda x: F.struct(x.alias("hashes")))
+    each = ["h.hashes", "h.more"] if exact else ["h.hashes"]
+    columns = [x.removeprefix("h.") for x in each]
+    counted = found.select(F.explode(places).alias("h")).select(*each).groupBy(*columns).count()
+    repeated = work.put(counted.where("count > 1").select(*columns), f"repeated-{level}")
+    own = found.select("key", F.explode(F.array_distinct(places)).alias("h")).select("key", *each).join(repeated, columns, "left_semi")
+    # Hits grow with the input, so joins with them are planned alike at every size: both sides dealt out by key.
+    return own.groupBy("key").agg(F.collect_set("hashes").alias("hits")).hint("merge")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return tables.texts(docs).withColumn("row", F.xxhash64("text"))
+    return tables.texts(docs).withColumn("key", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
 
 
-def levels(window: int, start: int = 9) -> list[tuple[int, int]]:
-    """(length, hash) of each level: about `start` words, doubled up to the window, which is checked by both hashes."""
-    length, out = window, [(window, 1), (window, 0)]
-    while length > start:
-        length = -(-length // 2)
-        out.append((length, 0))
+def levels(window: int, start: int = 9) -> list[int]:
+    """The length of each level: about `start` words, doubled up to the window."""
+    out = [window]
+    while out[-1] > start:
+        out.append(-(-out[-1] // 2))
     return out[::-1]
 
 
-def repeated_regions(docs: DataFrame, window: int, work: tables.Workspace) -> DataFrame | None:
-    """Word ranges (starts, lengths) of each document that repeated windows cover; None if nothing repeats."""
+def repeated_regions(docs: DataFrame, window: int, work: tables.Workspace) -> DataFrame:
+    """(key, copies, starts, lengths) of the texts with a repeated window: how often the whole text occurs, and the word
+    ranges that windows cover which occur in another text, or twice in this one (null: none).
+
+    Each text goes through the levels once, however many rows bear it: with two, all of its windows repeat anyway.
+    """
     rows, regions = _keyed(docs), None
-    for k, (length, which) in enumerate(levels(window)):
-        if regions is None:
-            found = rows.mapInArrow(_document_anchors(length, window), _ANCHORS)
-        else:
-            found = regions.mapInArrow(_region_anchors(length, window, which), _ANCHORS)
-        found = work.put(found.where(F.size("hashes") > 0), f"anchors-{k}")
+    for k, length in enumerate(levels(window)):
+        exact = length == window
         if regions is None:
-            cut = _with_hits(work, rows, found, str(k)).select("doc_id", "row", "text", "hits").mapInArrow(_document_regions(length, window), _REGIONS)
+            schema = f"doc_id long, {_ANCHORS}"
+            found = work.put(rows.mapInArrow(_document_anchors(length, window), schema).where(F.size("hashes") > 0), "anchors-all")
+            copies = work.put(found.groupBy("key").agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep")), "copies")
+            one = found.join(copies.withColumnRenamed("key", "k").hint("merge"), (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
+            found = work.put(one.select("key", "hashes", "more"), f"anchors-{k}")
+            work.drop("anchors-all")
+            hits = _hit_lists(work, found, exact, k).join(copies, "key").select(F.col("key").alias("k"), "rep", "hits").hint("merge")
+            joined = rows.join(hits, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("rep")))
+            cut = joined.select("key", "text", "hits").mapInArrow(_document_regions(length, window), _REGIONS)
         else:
-            cut = _with_hits(work, regions, found, str(k)).mapInArrow(_region_regions(length, window, which), _REGIONS)
-        regions = work.put(cut, f"regions-{k}")
+            found = work.put(regions.mapInArrow(_region_anchors(length, window), _ANCHORS), f"anchors-{k}")
+            cut = regions.join(_hit_lists(work, found, exact, k), "key").mapInArrow(_region_regions(length, window), _REGIONS)
+        regions = work.put(cut.select("key", "starts", "lengths") if exact else cut, f"regions-{k}")
         work.drop(f"anchors-{k}", f"repeated-{k}", *([f"regions-{k - 1}"] if k else []))
-        if regions.isEmpty():
-            return None
-    return regions
+        if not exact and regions.isEmpty():
+            break  # no candidates survive
+    return copies.where("copies > 1").select("key", "copies").join(regions.select("key", "starts", "lengths").dropDuplicates(["key"]), "key", "full_outer")
 
 
-def _kept(digest: bool) -> Callable:
+def _kept(digest: bool, window: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total, removed, kept = [], [], []
-            for text, starts, lengths in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+            for text, copies, starts, lengths in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 4)), strict=True):
                 own = text.encode().split() if text else []
                 total.append(len(own))
-                if starts:
+                if copies and len(own) >= window:
+                    own = []
+                elif starts:
                     out = bytearray(len(own))
                     for a, n in zip(starts, lengths, strict=True):
                         out[a : a + n] = b"\x01" * n
@@ -251,11 +262,7 @@ def remove(docs: DataFrame, window: int = 35, digest: bool = False) -> DataFrame
     """
     work = tables.Workspace(docs.sparkSession, "repeats")
     rows = _keyed(docs)
-    found = repeated_regions(docs, window, work)
-    if found is None:
-        spans = rows.withColumns({"starts": F.lit(None).cast("array<int>"), "lengths": F.lit(None).cast("array<int>")})
-    else:
-        own = found.select(F.col("doc_id").alias("id"), F.col("row").alias("own_row"), "starts", "lengths").dropDuplicates(["id", "own_row"]).hint("merge")
-        spans = rows.join(own, (F.col("row") == F.col("own_row")) & F.col("doc_id").eqNullSafe(F.col("id")), "left")
+    own = repeated_regions(docs, window, work).withColumnRenamed("key", "k").hint("merge")
+    spans = rows.join(own, F.col("key") == F.col("k"), "left").select("doc_id", "text", "copies", "starts", "lengths")
     schema = f"doc_id long, n_words long, n_removed long, {'kept_sha256' if digest else 'kept'} string"
-    return spans.select("doc_id", "text", "starts", "lengths").mapInArrow(_kept(digest), schema)
+    return spans.mapInArrow(_kept(digest, window), schema)
