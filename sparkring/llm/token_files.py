@@ -126,7 +126,7 @@ def _blocks(path: str, end_id: int, wide: bool, shard_tokens: int) -> Callable:
         docs: list[int] = []
         coded: list[np.ndarray] = []  # each document's ids, and the end id
         end = np.array([end_id], dtype=dtype)
-        held = 0
+        held = inside = 0  # tokens of this block, and of the partition's earlier ones
 
         def row() -> pa.RecordBatch:
             all_ids = np.concatenate(coded)
@@ -135,6 +135,7 @@ def _blocks(path: str, end_id: int, wide: bool, shard_tokens: int) -> Callable:
                 {
                     "part": pa.array([part], pa.int64()),
                     "block": pa.array([block], pa.int64()),
+                    "inside": pa.array([inside], pa.int64()),
                     "n_docs": pa.array([len(docs)], pa.int64()),
                     "n_tokens": pa.array([int(sizes.sum())], pa.int64()),
                     "docs": [np.array(docs, dtype="<u8" if not docs or min(docs) >= 0 else "<i8").tobytes()],
@@ -157,14 +158,14 @@ def _blocks(path: str, end_id: int, wide: bool, shard_tokens: int) -> Callable:
                     held += b - a + 1
                     if held >= shard_tokens:
                         yield row()
-                        docs, coded, held, block = [], [], 0, block + 1
+                        docs, coded, held, inside, block = [], [], 0, inside + held, block + 1
         if docs:
             yield row()
 
     return run
 
 
-_BLOCKS = "part long, block long, n_docs long, n_tokens long, docs binary, sizes binary, ids binary, counts binary"
+_BLOCKS = "part long, block long, inside long, n_docs long, n_tokens long, docs binary, sizes binary, ids binary, counts binary"
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +180,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["id", "n"])
 
 
-def _packed(order: np.ndarray, wide: bool) -> Callable:
+def _packed(order: np.ndarray, wide: bool, before: dict[int, int]) -> Callable:
     rank = np.zeros(int(order.max(initial=0)) + 1, dtype=np.uint32)
     rank[order] = np.arange(len(order), dtype=np.uint32)
 
@@ -188,17 +189,16 @@ def _packed(order: np.ndarray, wide: bool) -> Callable:
             for r in batch.to_pylist():
                 ids = np.frombuffer(r["ids"], dtype="<u4" if wide else "<u2")
                 control, data = pack(rank[ids])
-                body = b"".join((struct.pack(_HEAD, MAGIC, 1, r["n_docs"], r["n_tokens"], r["start"]), r["docs"], r["sizes"], control, data))
+                body = b"".join((struct.pack(_HEAD, MAGIC, 1, r["n_docs"], r["n_tokens"], before[r["part"]] + r["inside"]), r["docs"], r["sizes"], control, data))
                 yield pa.RecordBatch.from_pydict({"shard": [f"{r['part']:08d}-{r['block']:08d}"], "body": pa.array([body], pa.binary())})
 
     return run
 
 
-def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, shard_tokens: int = 2_000_000) -> DataFrame:
-    """Tokenise documents and write shard files and the rank table into `folder`; returns nothing but the totals by shard.
+def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, shard_tokens: int = 2_000_000) -> None:
+    """Tokenise documents and write shard files and the rank table into `folder`.
 
-    doc_id null: such rows come first, as id 0 would, and are left out, since a file needs an id.  Text null or empty:
-    the end id alone.  Repeated doc_ids: all are written, in any order among themselves.  An empty table: no shard.
+    Rows without a doc_id are left out, since the files are ordered by it.  Text null or empty: the end id alone.  Repeated doc_ids: all are written, in any order among themselves.  An empty table: no shard.
     Columns other than doc_id and text are not read.  `shard_tokens` bounds the memory of a writing or reading task,
     but for one document that is longer.
     """
@@ -215,19 +215,12 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, shard_t
     order = counts.sort_values(["n", "id"], ascending=[False, True])["id"].to_numpy(dtype=np.int64)
     # One row for each partition of the writing job.
     parts = blocks.groupBy("part").agg(F.sum("n_tokens").alias("n")).toPandas().sort_values("part")
-    before = spark.createDataFrame(
-        list(zip(parts["part"].tolist(), (parts["n"].cumsum() - parts["n"]).tolist(), strict=True)), "part long, before long"
-    )
-    totals = blocks.select("part", "block", "n_docs", "n_tokens")
-    within = totals.alias("a").join(totals.alias("b"), (F.col("a.part") == F.col("b.part")) & (F.col("b.block") < F.col("a.block")), "left")
-    within = within.groupBy("a.part", "a.block").agg(F.coalesce(F.sum("b.n_tokens"), F.lit(0)).alias("inside"))
-    starts = within.join(F.broadcast(before), "part").select("part", "block", (F.col("before") + F.col("inside")).alias("start"))
-    coded = blocks.drop("counts").join(F.broadcast(starts), ["part", "block"]).mapInArrow(_packed(order, wide), "shard string, body binary")
+    before = dict(zip(parts["part"].tolist(), (parts["n"].cumsum() - parts["n"]).tolist(), strict=True))
+    coded = blocks.drop("counts").mapInArrow(_packed(order, wide, before), "shard string, body binary")
     coded.select("shard", F.col("body").cast("string").alias("value")).write.mode("overwrite").partitionBy("shard").text(f"{folder}/shards")
     table = spark.createDataFrame([(bytearray(order.astype("<u4").tobytes()),)], "body binary").select(F.col("body").cast("string").alias("value"))
     table.coalesce(1).write.mode("overwrite").text(f"{folder}/ranks")
     work.drop("blocks")
-    return totals
 
 
 def _unpacked(order: np.ndarray) -> Callable:
