@@ -18,6 +18,7 @@ def bfs(edges: DataFrame, source: int = 0, max_rounds: int = MAX_ROUNDS) -> tupl
     """
     spark = edges.sparkSession
     work = Workspace(spark, "bfs")
+    edges = work.put(edges.select("src", "dst"), "edges")  # every round reads them
     frontier = spark.createDataFrame([(int(source),)], "v long")
     visited = work.put(frontier.withColumn("level", F.lit(0)), "level-0")
     parts, counts = [visited], []
@@ -43,7 +44,7 @@ def sssp(edges: DataFrame, source: int = 0, max_rounds: int = MAX_ROUNDS) -> tup
     has_weight = "weight" in edges.columns
     length = F.col("weight") if has_weight else F.lit(1).cast("long")
     kind = "double" if has_weight else "long"
-    lengths = edges.select("src", "dst", length.cast(kind).alias("weight"))
+    lengths = work.put(edges.select("src", "dst", length.cast(kind).alias("weight")), "edges")  # every round reads them
     dist = spark.createDataFrame([(int(source),)], "v long").withColumn("val", F.lit(0).cast(kind))
     frontier = dist
     rounds = 0

@@ -6,16 +6,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import linalg, prep
+from ..workspace import Workspace
 
 
 def oriented(edges: DataFrame) -> DataFrame:
-    """Each edge once, from the end of smaller degree (ties by id), so that no vertex keeps many out-edges."""
+    """Each edge once, from the end of smaller degree (ties by id), so that no vertex keeps many out-edges.
+
+    The result is written to the shared folder, since the joins that follow read it several times.
+    """
+    work = Workspace(edges.sparkSession, "triangles")
+    edges = work.put(edges.select("src", "dst"), "edges")
     degree = prep.out_degree(edges)
     half = edges.where("src < dst")
     du, dv = (degree.select(F.col("v").alias(k), F.col("degree").alias(f"d_{k}")) for k in ("src", "dst"))
     known = half.join(du, "src").join(dv, "dst")
     forward = F.col("d_src") <= F.col("d_dst")
-    return known.select(F.when(forward, F.col("src")).otherwise(F.col("dst")).alias("src"), F.when(forward, F.col("dst")).otherwise(F.col("src")).alias("dst"))
+    up = known.select(F.when(forward, F.col("src")).otherwise(F.col("dst")).alias("src"), F.when(forward, F.col("dst")).otherwise(F.col("src")).alias("dst"))
+    out = work.put(up, "oriented")
+    work.drop("edges")
+    return out
 
 
 def count(edges: DataFrame) -> DataFrame:
@@ -26,7 +35,8 @@ def count(edges: DataFrame) -> DataFrame:
 
 def count_packed(edges: DataFrame, width: int = 64) -> DataFrame:
     """The same by AND and population count of packed rows: the masked sum of L times its transpose at L's places."""
-    lower = prep.tril(prep.drop_loops(edges))
+    work = Workspace(edges.sparkSession, "triangles")
+    lower = work.put(prep.tril(prep.drop_loops(edges)).select("src", "dst"), "lower")
     return linalg.mxm_masked_sum_packed(lower, prep.transpose(lower), lower, width).select(F.col("total").alias("triangles"))
 
 
