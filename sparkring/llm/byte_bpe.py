@@ -139,7 +139,8 @@ def _run(path: str, pattern: str, digests: bool) -> Callable:
         sha = lambda x: hashlib.sha256(x).hexdigest()
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1)
-            for piece in groups(texts):
+            pa.default_memory_pool().release_unused()
+            for piece in groups(texts, 3_000_000):
                 flat, begin = own.encode(texts[piece])
                 raw = flat.tobytes()
                 ids = [raw[4 * a : 4 * b] for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]

@@ -73,7 +73,7 @@ def _first(size: int) -> Callable:
         total = np.zeros(SKETCH, dtype=np.uint32)
         for batch in batches:
             for rows, value, first in shingle_sets(batch.column(1), size):
-                total += np.bincount(_bucket(value), minlength=SKETCH).astype(np.uint32)
+                np.add.at(total, _bucket(value), np.uint32(1))
                 d1, d2 = _digests(value, first)
                 n = len(first) - 1
                 yield pa.RecordBatch.from_arrays(
@@ -108,7 +108,7 @@ def choose(counts: np.ndarray, n: int, percent: int) -> int:
 def _prefixes(shared, size: int, percent: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = shared.value
-        usual = int(np.median(sketch))
+        usual = int(np.partition(sketch, len(sketch) // 2)[len(sketch) // 2])
         for batch in batches:
             keys = batch.column(0).to_pylist()
             for rows, value, first in shingle_sets(batch.column(1), size):

@@ -15,7 +15,7 @@ import pyarrow as pa
 
 _BYTE_BASE = 0x9E3779B97F4A7C15 | 1
 _WORD_BASES = (0xC2B2AE3D27D4EB4F | 1, 0xD6E8FEB86659FD93 | 1)
-_CHUNK_BYTES = 1 << 20
+_CHUNK_BYTES = 1 << 19
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -29,10 +29,10 @@ _powers: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; kept, and grown by doubling."""
+    """base**0 .. base**(n-1) modulo 2**64; kept, up to the longest text so far."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        size = max(n, 1 << 16, 2 * (0 if have is None else len(have)) if n < 1 << 22 else 0)
+        size = -(-n // (1 << 16)) << 16
         have = np.full(size, base % (1 << 64), dtype=np.uint64)
         have[0] = 1
         np.cumprod(have, out=have)
@@ -85,12 +85,13 @@ def _string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def split(column: pa.Array, lower: bool = False, marks: bool = True) -> Iterator[Words]:
-    """The words of a column of texts, a few documents (about a megabyte) at a time; null counts as empty.
+    """The words of a column of texts, a few documents (about half a megabyte) at a time; null counts as empty.
 
     Without `marks`, ASCII characters other than letters and digits part words as white space does.
     """
     if not len(column):
         return
+    pa.default_memory_pool().release_unused()
     at, raw = _string_buffers(column)
     row = 0
     while row < len(at) - 1:
