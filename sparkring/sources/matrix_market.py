@@ -112,6 +112,15 @@ def read_edges(spark: SparkSession, path: str, directed: int = 0, drop_self_loop
     return prep.clean(raw, directed=not mirror, drop_self_loops=drop_self_loops)
 
 
+def cached(spark: SparkSession, path: str, cache: str, directed: int = 0, drop_self_loops: bool = True) -> DataFrame:
+    """Clean edges by way of a Parquet copy, which is made if it is not there (its name tells how they were cleaned)."""
+    folder = f"{cache.rstrip('/')}/{path.rstrip('/').rsplit('/', 1)[-1]}.{directed}.{'nl' if drop_self_loops else 'l'}.parquet"
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        read_edges(spark, path, directed, drop_self_loops).write.mode("overwrite").parquet(folder)
+    return spark.read.schema("src long, dst long").parquet(folder)
+
+
 def write(edges: DataFrame, path: str, rows: int, cols: int, field: str = "pattern", comment: str = "") -> None:
     """A general coordinate matrix: one folder of part files, of which the first has the header.
 

@@ -81,6 +81,28 @@ def test_writer(spark, tmp_path):
         matrix_market.write(e, str(tmp_path / "x"), 3, 3, field="complex")
 
 
+def test_cache(spark, tmp_path):
+    path = put(tmp_path / "g.mtx", "%%MatrixMarket matrix coordinate pattern general\n3 3 2\n1 2\n2 3\n")
+    first = rows(matrix_market.cached(spark, path, str(tmp_path / "kept"), directed=2))
+    Path(path).unlink()
+    assert first == rows(matrix_market.cached(spark, path, str(tmp_path / "kept"), directed=2)) == [(0, 1), (1, 0), (1, 2), (2, 1)]
+
+
+def test_command_line(spark, tmp_path):
+    from sparkring.__main__ import run
+
+    # A triangle with a tail and a vertex alone, undirected.
+    path = put(tmp_path / "g.mtx", "%%MatrixMarket matrix coordinate pattern symmetric\n5 5 5\n2 1\n3 1\n3 2\n4 3\n5 5\n")
+    lines = lambda command, **k: "\n".join(run(spark, command, path, **k))
+    assert "4 reached in 3 rounds" in lines("bfs", width=4) and "round 1: 2 new" in lines("bfs", cache=str(tmp_path / "kept"))
+    assert "4 reached, farthest 2, 3 rounds" in lines("sssp")
+    assert "2 components, 0 errors" in lines("cc") and "1 triangles" in lines("tc", width=8)
+    assert "10 rounds" in lines("pr") and "0 entries differ" in lines("bmv", most=2)
+    assert "sum 7, by pairs 7, at the triangle's places" in lines("bmm", width=64)
+    with pytest.raises(ValueError):
+        lines("other")
+
+
 def test_dense_files(spark, tmp_path):
     m = dense.generate(spark, 32)
     dense.write(m, str(tmp_path / "m"))
