@@ -9,6 +9,7 @@ from ..operators import linalg, vector
 from ..workspace import Workspace
 
 MAX_ROUNDS = 10_000
+MAX_PARTS = 16
 
 
 def bfs(edges: DataFrame, source: int = 0, max_rounds: int = MAX_ROUNDS) -> tuple[DataFrame, list[int]]:
@@ -21,16 +22,20 @@ def bfs(edges: DataFrame, source: int = 0, max_rounds: int = MAX_ROUNDS) -> tupl
     edges = work.put(edges.select("src", "dst"), "edges")  # every round reads them
     frontier = spark.createDataFrame([(int(source),)], "v long")
     visited = work.put(frontier.withColumn("level", F.lit(0)), "level-0")
-    parts, counts = [visited], []
+    parts, counts = ["level-0"], []
     for depth in range(1, max_rounds + 1):
         new = linalg.mxv_bool(edges, frontier, mask=visited.select("v"))
         new = work.put(new.withColumn("level", F.lit(depth)), f"level-{depth}")
         counts.append(new.count())
         if not counts[-1]:
             break
-        parts.append(new)
+        parts.append(f"level-{depth}")
         frontier = new.select("v")
         visited = visited.unionByName(new)
+        if len(parts) == MAX_PARTS:  # many rounds: one table again, so that plans stay short
+            visited = work.put(visited, f"visited-{depth}")
+            work.drop(*(x for x in parts if x != f"level-{depth}"))
+            parts = [f"visited-{depth}"]
     return visited, counts
 
 

@@ -258,6 +258,12 @@ def test_search(spark, seed, n, m):
     assert len(counts) == 1 and set(r["level"] for r in some.collect()) <= {0, 1}
 
 
+def test_long_search(spark, monkeypatch):
+    monkeypatch.setattr(search, "MAX_PARTS", 4)
+    found, counts = search.bfs(edges_of(spark, {(i, i + 1) for i in range(11)}), 0)
+    assert pairs_of(found) == {(i, i) for i in range(12)} and counts == [1] * 11 + [0]
+
+
 def test_weighted_paths(spark):
     e = spark.createDataFrame([(0, 1, 5.0), (0, 2, 1.0), (2, 1, 1.5), (1, 3, 1.0), (5, 0, 1.0)], "src long, dst long, weight double")
     assert pairs_of(search.sssp(e, 0)[0]) == {(0, 0.0), (1, 2.5), (2, 1.0), (3, 3.5)}
