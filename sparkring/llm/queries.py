@@ -86,7 +86,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontaminate": op10_decontaminate,
 }
 
+_WORDS = r"regexp_extract_all(coalesce({}, ''), '[^\x20\x09-\x0D]+')"
+
 ORACLES: dict[str, str] = {
+    "op2_repeats": f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format("text")} AS w FROM documents),
+        p AS (SELECT r, i, md5(array_to_string(w[i : i + 34], ' ')) AS s FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
+        m AS (SELECT DISTINCT r, i + k AS j FROM (SELECT r, i FROM p QUALIFY count(*) OVER (PARTITION BY s) > 1), range(35) t(k)),
+        x AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j FROM d)
+        SELECT d.doc_id, CAST(count(x.j) AS BIGINT) AS n_words, CAST(count(m.j) AS BIGINT) AS n_removed,
+            sha256(coalesce(string_agg(x.word, ' ' ORDER BY x.j) FILTER (m.j IS NULL), '')) AS kept_sha256
+        FROM d LEFT JOIN x ON x.r = d.r LEFT JOIN m ON m.r = x.r AND m.j = x.j GROUP BY d.r, d.doc_id
+    """,
+    "op7_jaccard": f"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, {_WORDS.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+        s AS MATERIALIZED (SELECT DISTINCT doc_id, md5(array_to_string(w[i : i + 3], ' ')) AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) AS i FROM d WHERE len(w) > 0)),
+        n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        l AS MATERIALIZED (SELECT x, y FROM c JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * shared >= 85 * (a.n + b.n - shared)),
+        r(v, root) AS (SELECT doc_id, doc_id FROM d UNION SELECT e.y, r.root FROM r JOIN (SELECT x, y FROM l UNION ALL SELECT y, x FROM l) e ON e.x = r.v)
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(r.root) AS component_id
+        FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN r ON r.v = d.doc_id GROUP BY 1, 2
+    """,
     "op6_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e
