@@ -141,23 +141,23 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, scale: int = 64, qu
 
     Ties go to the smaller vec_id; fewer candidates than k: all.  Rows with a null vec_id, and vectors that are null,
     empty or not finite, take no part; vectors of different sizes are an error.  Repeated rows are candidates each, but
-    a query's own vec_id never answers it, and a query's repeated rows answer once.  Other columns are not read.
+    a query's own vec_id never answers it, and a query's repeated rows ask once (with the smallest of their vectors).  Other columns are not read.
 
     Queries go in blocks of about `query_block`, each broadcast with its bounds (at most a few megabytes) in one pass
     over the candidates, so a task sends at most k rows for each query of the block.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where("vec_id is not null")
-    asked = rows.where(queries)
+    whole = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & (F.size("embedding") > 0)
+    asked = rows.where(queries).where(whole).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))  # a hot id is one query
     blocks = max(1, -(-asked.count() // query_block))
     out = []
     for b in range(blocks):
         own = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).toArrow()
         found, at = quantise(own.column("embedding"), scale)
-        ids, first = np.unique(own.column("vec_id").to_numpy()[at], return_index=True)
+        ids = own.column("vec_id").to_numpy()[at]
         if not len(ids):
             continue
-        found = found[first]
         shared = spark.sparkContext.broadcast((ids, found, _seed(ids, found, k)))
         out.append(rows.mapInArrow(_scan(shared, scale, k), "query_id long, vec_id long, score long"))
     if not out:
