@@ -177,12 +177,13 @@ def _region_regions(length: int, window: int) -> Callable:
 
 def _hit_lists(work: tables.Workspace, found: DataFrame, exact: bool, level: int) -> DataFrame:
     """The texts that hold an anchor which occurs more than once, with those anchors."""
-    places = F.arrays_zip("hashes", "more") if exact else F.transform("hashes", lambda x: F.struct(x.alias("hashes")))
-    each = ["h.hashes", "h.more"] if exact else ["h.hashes"]
-    columns = [x.removeprefix("h.") for x in each]
-    counted = found.select(F.explode(places).alias("h")).select(*each).groupBy(*columns).count()
-    repeated = work.put(counted.where("count > 1").select(*columns), f"repeated-{level}")
-    own = found.select("key", F.explode(F.array_distinct(places)).alias("h")).select("key", *each).join(repeated, columns, "left_semi")
+    columns = ["hashes", "more"] if exact else ["hashes"]
+    if exact:
+        each = found.select("key", F.inline(F.arrays_zip("hashes", "more")))
+    else:
+        each = found.select("key", F.explode("hashes").alias("hashes"))
+    repeated = work.put(each.groupBy(*columns).count().where("count > 1").select(*columns), f"repeated-{level}")
+    own = each.join(repeated, columns, "left_semi")
     # Hits grow with the input, so joins with them are planned alike at every size: both sides dealt out by key.
     return own.groupBy("key").agg(F.collect_set("hashes").alias("hits")).hint("merge")
 
