@@ -15,8 +15,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-_KEEP = 400_000
+_KEEP = 300_000
 _LONG = 256
+_STEP = 1 << 16
 _ALNUM = np.zeros(256, dtype=bool)
 _ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
 _MARKS = ".,;:!?%*#$&\"()[]"
@@ -30,11 +31,15 @@ def _alone(part: str) -> bool:
 
 def gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The runs flat[start:start + size] of the entries `which`, one after another, and where each begins."""
-    count = size[which]
-    begin = np.append(0, np.cumsum(count))
-    at = np.repeat(start[which] - begin[:-1], count)
-    at += np.arange(begin[-1])
-    return flat[at], begin
+    begin = np.append(0, np.cumsum(size[which]))
+    out = np.empty(begin[-1], dtype=flat.dtype)
+    for i in range(0, len(which), _STEP):  # a cache's worth of places at a time
+        own = which[i : i + _STEP]
+        low, high = begin[i], begin[i + len(own)]
+        at = np.repeat(start[own] - (begin[i : i + len(own)] - low), size[own])
+        at += np.arange(high - low)
+        out[low:high] = flat[at]
+    return out, begin
 
 
 def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -99,9 +104,10 @@ class ChunkEncoder:
         first = split.offsets.to_numpy().astype(np.int64)
         first -= first[0]
         coded = split.flatten().dictionary_encode()
-        which, distinct = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+        which, distinct = coded.indices.to_numpy().copy(), coded.dictionary
+        del split, coded
         cores, marks = (x.dictionary_encode() for x in _cores(distinct))
-        core, mark = (x.indices.to_numpy().astype(np.int64) for x in (cores, marks))
+        core, mark = (x.indices.to_numpy() for x in (cores, marks))
         found = self._look(cores.dictionary.to_pylist())
         bad = np.fromiter((x is None for x in found), dtype=bool, count=len(found))
         # A text is cut if its parts allow it; its first part has no space before it and is encoded on its own.
@@ -114,7 +120,7 @@ class ChunkEncoder:
         # Entries to gather: the cores, the marks, nothing, and the heads; two for each part.
         ends = self.whole(marks.dictionary.to_pylist())
         entries = [x or b"" for x in found] + ends + [b""] + self.whole(heads)
-        pairs = np.empty((len(which), 2), dtype=np.int64)
+        pairs = np.empty((len(which), 2), dtype=np.int32)
         pairs[:, 0], pairs[:, 1] = core[which], mark[which] + len(found)
         pairs[first[:-1], 0] = len(found) + len(ends) + 1 + np.arange(len(texts))
         pairs[first[:-1], 1] = len(found) + len(ends)
@@ -124,7 +130,7 @@ class ChunkEncoder:
         return ids, begin[2 * np.append(0, np.cumsum(use))[first]]
 
 
-def groups(texts: pa.Array, size: int = 6_000_000) -> Iterator[slice]:
+def groups(texts: pa.Array, size: int = 4_000_000) -> Iterator[slice]:
     """Runs of texts with about so many bytes together."""
     total = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
     begin = 0
