@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -108,12 +109,24 @@ def _units(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     return hashed, np.append(0, np.cumsum(flat)), row, batch.column("starts").flatten().to_numpy(zero_copy_only=False).astype(np.int64)
 
 
+def _slices(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Rows of regions whose words take about so many bytes together."""
+    for batch in batches:
+        pa.default_memory_pool().release_unused()
+        total = np.cumsum(pc.binary_length(batch.column("words")).to_numpy(zero_copy_only=False)) if batch.num_rows else np.zeros(0, np.int64)
+        begin = 0
+        while begin < batch.num_rows:
+            end = int(np.searchsorted(total, (total[begin - 1] if begin else 0) + most, side="right"))
+            end = max(end, begin + 1)
+            yield batch.slice(begin, end - begin)
+            begin = end
+
+
 def _region_anchors(length: int, window: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                hashed, first, row, _ = _units(batch)
-                yield _anchor_rows([batch.column("key")], ["key"], hashed, first, np.searchsorted(row, np.arange(batch.num_rows + 1)), length, window)
+        for batch in _slices(batches):
+            hashed, first, row, _ = _units(batch)
+            yield _anchor_rows([batch.column("key")], ["key"], hashed, first, np.searchsorted(row, np.arange(batch.num_rows + 1)), length, window)
 
     return run
 
@@ -165,9 +178,7 @@ def _document_regions(length: int, window: int) -> Callable:
 
 def _region_regions(length: int, window: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _slices(batches):
             hashed, first, row, offset = _units(batch)
             alive = surviving(hashed, first, _hits(batch), row, length, window)
             yield _cut(batch, hashed, first, row, offset, alive, window)

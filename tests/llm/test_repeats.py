@@ -91,3 +91,22 @@ def test_empty_table(spark):
     assert repeats.remove(spark.createDataFrame([], "doc_id long, text string"), 35, digest=True).collect() == []
     plain = repeats.remove(spark.createDataFrame([(1, "a b a b")], "doc_id long, text string"), 2)
     assert [tuple(r) for r in plain.collect()] == [(1, 4, 4, "")]
+
+
+def test_slices_of_regions():
+    lengths = [[3], [], [2, 4], [1]]
+    hashed = np.arange(10, dtype=np.uint64)
+    cuts, at = [], 0
+    for own in lengths:
+        cuts.append(hashed[at : at + sum(own)].tobytes())
+        at += sum(own)
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([b"a", b"b", b"c", b"d"]), pa.array([[5] * len(x) for x in lengths], pa.list_(pa.int32())), pa.array(lengths, pa.list_(pa.int32())), pa.array(cuts, pa.binary())],
+        names=["key", "starts", "lengths", "words"],
+    )
+    for most in (1, 30, 1000):
+        parts = list(repeats._slices(iter([batch, batch.slice(0, 0)]), most))
+        assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch]))
+        units = [repeats._units(x) for x in parts]
+        assert np.concatenate([u[0] for u in units]).tolist() == hashed.tolist()
+        assert [int(n) for u in units for n in np.diff(u[1])] == [3, 2, 4, 1]
