@@ -242,6 +242,16 @@ _register(
     ),
     f"WITH e AS ({_COPART} AND a.l_quantity >= 45 AND b.l_quantity >= 45) SELECT a.src, b.dst, sum(CAST(a.src % 7 AS DOUBLE) * CAST(b.dst % 5 AS DOUBLE)) AS val FROM e a JOIN e b ON a.dst = b.src GROUP BY 1, 2",
 )
+# The three products above take lines of a least quantity; these take the whole graph.
+_register("bmm_numeric_whole", lambda s, d: linalg.mxm(_lower(s, d), prep.transpose(_lower(s, d))), _L + "SELECT a.src, b.src AS dst, count(*) AS val FROM l a JOIN l b ON a.dst = b.dst GROUP BY 1, 2")
+_register("bmm_bool_whole", lambda s, d: linalg.mxm_bool(graphs.copart(s, d), graphs.copart(s, d)), _E + "SELECT DISTINCT a.src, b.dst FROM e a JOIN e b ON a.dst = b.src")
+_register(
+    "bmm_weighted_whole",
+    lambda s, d: linalg.mxm_weighted(
+        graphs.copart(s, d).withColumn("weight", (F.col("src") % 7).cast("double")), graphs.copart(s, d).withColumn("weight", (F.col("dst") % 5).cast("double"))
+    ),
+    _E + "SELECT a.src, b.dst, sum(CAST(a.src % 7 AS DOUBLE) * CAST(b.dst % 5 AS DOUBLE)) AS val FROM e a JOIN e b ON a.dst = b.src GROUP BY 1, 2",
+)
 _register(
     "bmm_symbolic",
     lambda s, d: linalg.mxm_symbolic(_lower(s, d), prep.transpose(_lower(s, d)), 32),

@@ -167,3 +167,22 @@ def test_library_does_not_import_llm():
         if "llm" not in path.parts:
             assert "llm" not in path.read_text(), path
     assert importlib.import_module("sparkring.queries").QUERIES
+
+
+def test_products_of_the_whole_graph(spark, tmp_path):
+    from collections import Counter
+
+    from sparkring.queries import QUERIES
+
+    lines = [(o, (o * 7 + k * k * 3) % 12, float(1 + (o + k) % 24)) for o in range(14) for k in range(3)]  # no quantity reaches 25
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    e = {(a, b) for o, a, _ in lines for o2, b, _ in lines if o == o2 and a != b}
+    paths = [(i, j, k) for i, j in e for j2, k in e if j == j2]
+    numeric = Counter((i, k) for i, j in e if j <= i for k, j2 in e if j2 <= k and j == j2)
+    weighted = Counter()
+    for i, _, k in paths:
+        weighted[i, k] += (i % 7) * (k % 5)
+    got = {x: QUERIES[f"bmm_{x}_whole"](spark, str(tmp_path)) for x in ("numeric", "bool", "weighted")}
+    assert rows(got["numeric"]) == sorted((*k, v) for k, v in numeric.items()) and numeric
+    assert rows(got["bool"]) == sorted({(i, k) for i, _, k in paths})
+    assert rows(got["weighted"]) == sorted((*k, float(v)) for k, v in weighted.items())
