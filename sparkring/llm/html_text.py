@@ -3,8 +3,9 @@
 A page is stripped to lines, one for each block element.  A line weighs as much as its text outside links, and nothing
 inside menus, headers, footers, sidebars, notices, adverts, forms and reader comments, which also part the lines before
 and after them.  Weights are summed over a sliding window of lines; where the sum rises from nothing is a surge point,
-where it falls back to nothing a dive point, and the text between them is a region.  Regions of the page's article are
-kept, or without one those whose window sum reaches a threshold, or else the heaviest.
+where it falls back to nothing a dive point, and the text between them is a region.  Where the page marks articles, regions
+inside them are kept, and every line of an article that has text outside links; else the regions whose window sum reaches
+a threshold, or else the heaviest.
 """
 
 from __future__ import annotations
@@ -51,7 +52,7 @@ class Line:
     text: str
     weight: int  # characters but spaces, 0 inside links and outside the article
     out: bool
-    article: bool
+    article: int  # number of the article, negative for <main> outside one, 0 for none
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -78,8 +79,8 @@ class _Page:
         self.lines: list[Line] = []
         self.parts: list[str] = []
         self.linked = 0
-        self.stack: list[tuple[str, int, bool]] = []  # tag, how far it is out (2: all, 1: all but headings), article
-        self.links = self.heading = 0
+        self.stack: list[tuple[str, int, int]] = []  # tag, how far it is out (2: all, 1: all but headings), article
+        self.links = self.heading = self.articles = 0
 
     @property
     def level(self) -> int:
@@ -97,21 +98,24 @@ class _Page:
             if text:
                 out = self.level == 2 or self.level == 1 and not self.heading
                 weight = 0 if out else max(0, len(text) - text.count(" ") - self.linked)
-                self.lines.append(Line(text, weight, out, bool(self.stack) and self.stack[-1][2]))
+                self.lines.append(Line(text, weight, out, self.stack[-1][2] if self.stack else 0))
             self.parts, self.linked = [], 0
 
     def gap(self) -> None:
-        self.lines += [Line("", 0, True, False)] * WINDOW
+        self.lines += [Line("", 0, True, 0)] * WINDOW
 
     def push(self, tag: str, raw: str) -> None:
-        level, article = (self.stack[-1][1], self.stack[-1][2]) if self.stack else (0, False)
+        level, article = (self.stack[-1][1], self.stack[-1][2]) if self.stack else (0, 0)
         if level < 2 and (tag in _OUT_TAGS or _marked(tag, raw)):
             level = 2
         elif level < 1 and tag == "header":
             level = 1 if article else 2
         if level > self.level:
             self.gap()
-        self.stack.append((tag, level, article or tag in ("article", "main")))
+        if tag == "article" and article <= 0 or tag == "main" and not article:
+            self.articles += 1
+            article = self.articles if tag == "article" else -self.articles
+        self.stack.append((tag, level, article))
 
     def pop(self, tag: str) -> None:
         at = next((i for i in range(len(self.stack) - 1, -1, -1) if self.stack[i][0] == tag), -1)
@@ -195,9 +199,12 @@ def blocks(page: str | None, window: int = WINDOW, surge: int = SURGE) -> list[s
     regions = [(a, b) for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)]
     if not regions:
         return []
-    marked = [(a, b) for a, b in regions if any(x.article and x.weight for x in found[a:b])]
+    marked = {x.article for x in found if x.article and x.weight}
     if marked:
-        kept = [x for a, b in marked for x in found[a:b] if x.article]
+        within = np.zeros(n, dtype=bool)
+        for a, b in regions:
+            within[a:b] = any(x.article and x.weight for x in found[a:b])
+        kept = [x for x, own in zip(found, within.tolist(), strict=True) if x.article in marked or x.article and own]
     else:
         full = [(a, b) for a, b in regions if int(ahead[a:b].max()) >= surge]
         full = full or [max(regions, key=lambda r: int(weight[r[0] : r[1]].sum()))]

@@ -94,6 +94,17 @@ def test_advert_inside_the_article():
     assert html_text.main_text(page) == TEXT
 
 
+@pytest.mark.parametrize("tag", ["article", "main"])
+def test_links_inside_an_article(tag):
+    links = "".join(f"<li><a href={i}>Link {i}</a></li>" for i in range(7))
+    body = f"<h1><a href=x>Title</a></h1><p>Text.</p><ul>{links[: 3 * len(links) // 7]}</ul><p>More.</p><ul>{links}</ul><p>End.</p><p><a href=y>Last</a></p>"
+    want = ["Title", "Text.", *(f"Link {i}" for i in range(3)), "More.", *(f"Link {i}" for i in range(7)), "End.", "Last"]
+    page = f"<body>{AROUND[0]}<div><a href=/>Home</a></div><{tag}>{body}</{tag}><article><a href=z>Other</a></article>{AROUND[-1]}</body>"
+    assert html_text.main_text(page) == "\n\n".join(want)
+    inner = f"<main><ul>{links}</ul><article>{body}</article><ul>{links}</ul></main>"
+    assert html_text.main_text(inner) == "\n\n".join(want)
+
+
 def test_pages_without_an_article():
     body = "".join(f"<p>{'Words of a longer paragraph ' * 6}{i}.</p>" for i in range(4))
     menu = "<div><a href=1>One</a> <a href=2>Two</a></div>" * 5
