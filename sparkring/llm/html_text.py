@@ -4,14 +4,15 @@ A page is stripped to lines, one for each block element.  A line weighs as much
 inside menus, headers, footers, sidebars, notices, adverts, forms and reader comments, which also part the lines before
 and after them.  Weights are summed over a sliding window of lines; where the sum rises from nothing is a surge point,
 where it falls back to nothing a dive point, and the text between them is a region.  Where the page marks articles, regions
-inside them are kept, and every line of an article that has text outside links; else the regions whose window sum reaches
-a threshold, or else the heaviest.
+inside them are kept, and every line of an article that has text outside links; else regions that only left-out elements
+part inside one container are joined, and those whose window sum reaches a threshold are kept, or else the heaviest.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,6 +35,8 @@ _CONTAINERS = {
     "tfoot", "fieldset", "figure", "blockquote", "details", "dialog", "menu", "center", "td", "th", "tr", "li", "dd", "dt",
 }
 _BLOCKS = _CONTAINERS - {"td", "th"} | {"p", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "hr", "address", "figcaption", "caption", "summary", "legend", "option", "hgroup"}
+#: Containers that bound what belongs together; the others only structure the text.
+_BOXES = {"div", "article", "main", "td", "th", "fieldset"}
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _OUT_TAGS = {"nav", "footer", "aside", "form", "menu", "dialog", "button"}
 _OUT_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar"}
@@ -53,6 +56,7 @@ class Line:
     weight: int  # characters but spaces, 0 inside links and outside the article
     out: bool
     article: int  # number of the article, negative for <main> outside one, 0 for none
+    boxes: tuple[int, ...] = ()  # numbers of the boxes around it, outermost first
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -79,8 +83,8 @@ class _Page:
         self.lines: list[Line] = []
         self.parts: list[str] = []
         self.linked = 0
-        self.stack: list[tuple[str, int, int]] = []  # tag, how far it is out (2: all, 1: all but headings), article
-        self.links = self.heading = self.articles = 0
+        self.stack: list[tuple[str, int, int, tuple[int, ...]]] = []  # tag, how far it is out (2: all, 1: all but headings), article, boxes
+        self.links = self.heading = self.articles = self.boxes = 0
 
     @property
     def level(self) -> int:
@@ -98,14 +102,14 @@ class _Page:
             if text:
                 out = self.level == 2 or self.level == 1 and not self.heading
                 weight = 0 if out else max(0, len(text) - text.count(" ") - self.linked)
-                self.lines.append(Line(text, weight, out, self.stack[-1][2] if self.stack else 0))
+                self.lines.append(Line(text, weight, out, *(self.stack[-1][2:] if self.stack else (0, ()))))
             self.parts, self.linked = [], 0
 
     def gap(self) -> None:
         self.lines += [Line("", 0, True, 0)] * WINDOW
 
     def push(self, tag: str, raw: str) -> None:
-        level, article = (self.stack[-1][1], self.stack[-1][2]) if self.stack else (0, 0)
+        level, article, boxes = self.stack[-1][1:] if self.stack else (0, 0, ())
         if level < 2 and (tag in _OUT_TAGS or _marked(tag, raw)):
             level = 2
         elif level < 1 and tag == "header":
@@ -115,7 +119,10 @@ class _Page:
         if tag == "article" and article <= 0 or tag == "main" and not article:
             self.articles += 1
             article = self.articles if tag == "article" else -self.articles
-        self.stack.append((tag, level, article))
+        if tag in _BOXES:
+            self.boxes += 1
+            boxes = (*boxes, self.boxes)
+        self.stack.append((tag, level, article, boxes))
 
     def pop(self, tag: str) -> None:
         at = next((i for i in range(len(self.stack) - 1, -1, -1) if self.stack[i][0] == tag), -1)
@@ -181,6 +188,33 @@ def lines(page: str) -> list[Line]:
     return own.lines
 
 
+def _joined(found: list[Line], regions: list[tuple[int, int]], window: int) -> list[tuple[int, int]]:
+    """Regions, those made one that are parted by left-out elements and less than a window of links, inside one box."""
+    held = Counter(b for x in found if x.text and not x.out for b in x.boxes)
+
+    def own(x: Line) -> tuple[int, ...]:  # a box that holds one line is a paragraph
+        boxes = x.boxes
+        while len(boxes) > 1 and held[boxes[-1]] == 1:
+            boxes = boxes[:-1]
+        return boxes
+
+    out: list[tuple[int, int]] = []
+    for a, b in regions:
+        if out and sum(not x.out for x in found[out[-1][1] : a]) < window:
+            one, two = found[out[-1][1] - 1], found[a]
+            inner = {x.boxes[-1] for x in (one, two) if x.boxes}
+            if one.boxes == two.boxes or own(one) == own(two) or inner & set(one.boxes) & set(two.boxes):
+                out[-1] = (out[-1][0], b)
+                continue
+        out.append((a, b))
+    return out
+
+
+def _heaviest(weights: list[int], window: int) -> int:
+    """The largest sum of a window."""
+    return max(sum(weights[i : i + window]) for i in range(max(1, len(weights) - window + 1)))
+
+
 def blocks(page: str | None, window: int = WINDOW, surge: int = SURGE) -> list[str]:
     """The main text's blocks in page order."""
     if not page:
@@ -206,7 +240,8 @@ def blocks(page: str | None, window: int = WINDOW, surge: int = SURGE) -> list[s
             within[a:b] = any(x.article and x.weight for x in found[a:b])
         kept = [x for x, own in zip(found, within.tolist(), strict=True) if x.article in marked or x.article and own]
     else:
-        full = [(a, b) for a, b in regions if int(ahead[a:b].max()) >= surge]
+        regions = _joined(found, regions, window)
+        full = [(a, b) for a, b in regions if _heaviest([x.weight for x in found[a:b] if not x.out], window) >= surge]
         full = full or [max(regions, key=lambda r: int(weight[r[0] : r[1]].sum()))]
         kept = [x for a, b in full for x in found[a:b]]
     return [x.text for x in kept if x.text and not x.out]

@@ -115,6 +115,18 @@ def test_pages_without_an_article():
     assert html_text.main_text("<p>a<br>b&nbsp;c <unclosed") == "a b c <unclosed"
 
 
+def test_adverts_without_an_article():
+    long, ad, legal = f"<p>{'Words of a longer paragraph ' * 6}.</p>", "<div class=ad>Buy now, it is cheap and good</div>", "<p>Short text</p><p>of the site</p>"
+    text = f"{'Words of a longer paragraph ' * 6}."
+    page = f"<body><div><h1>Head</h1>{long}{ad}<h2>Part</h2><p>Short.</p>{ad}<p><a href=x>Link</a></p>{ad}<div>Short closing sentence.</div></div></body>"
+    assert html_text.main_text(page) == f"Head\n\n{text}\n\nPart\n\nShort.\n\nLink\n\nShort closing sentence."
+    assert html_text.main_text(f"<body><p>First.</p>{ad}{long}</body>") == f"First.\n\n{text}"
+    assert html_text.main_text(f"<body><div><div>{long}</div>{ad}<div>Short.</div></div></body>") == f"{text}\n\nShort."
+    assert html_text.main_text(f"<body><div><section>{long}</section>{ad}<section><h2>Part</h2><p>Short.</p></section></div></body>") == f"{text}\n\nPart\n\nShort."
+    assert html_text.main_text(f"<body><div>{long}{long}</div>{ad}<div>{legal}</div></body>") == f"{text}\n\n{text}"
+    assert html_text.main_text(f"<div><p>One.</p>{ad}<p>Two.</p></div>") == "One.\n\nTwo."
+
+
 def test_pages(spark):
     rows = [(1, "u", f"<html><body>{ARTICLE}</body></html>", "x"), (None, None, None, "x"), (2, "u", "", "x"), (2, "u", "", "x"), (3, "v", ARTICLE * 300, "x")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
