@@ -200,6 +200,13 @@ _register(
     lambda s, d: linalg.mxv_bool(graphs.copart(s, d), _set(s, d).where("v < 30"), mask=graphs.parts(s, d).where("v % 2 = 0")),
     _E + f"SELECT DISTINCT dst AS v FROM e JOIN {_X} x ON src = x.v WHERE x.v < 30 AND dst % 2 <> 0",
 )
+# The two above begin with ids below 30; these with the whole set.
+_register("bmv_or_whole", lambda s, d: linalg.mxv_bool(graphs.copart(s, d), _set(s, d)), _E + f"SELECT DISTINCT dst AS v FROM e JOIN {_X} x ON src = x.v")
+_register(
+    "bmv_or_masked_whole",
+    lambda s, d: linalg.mxv_bool(graphs.copart(s, d), _set(s, d), mask=graphs.parts(s, d).where("v % 2 = 0")),
+    _E + f"SELECT DISTINCT dst AS v FROM e JOIN {_X} x ON src = x.v WHERE dst % 2 <> 0",
+)
 _register(
     "mxv_minplus",
     lambda s, d: linalg.mxv(graphs.copart(s, d), _a(s, d), semiring.MIN_PLUS),
