@@ -1,8 +1,9 @@
 """Vectorised word and word-window hashing over Arrow string columns.
 
 A word is a run of bytes other than space, tab, line feed, vertical tab, form feed and carriage return
-(``[^\\x20\\x09-\\x0D]+``).  Words are hashed with a polynomial over their bytes that is evaluated for a whole
-batch by prefix sums modulo 2**64; windows of words are hashed the same way over the word hashes.
+(``[^\\x20\\x09-\\x0D]+``).  Words are hashed eight bytes at a time, each step mixed, so that no arithmetic structure of
+a word survives; words of more than 64 bytes by XXH3.  Windows of words are hashed by doubling: a window's hash is made of
+those of its two halves, in order and mixed again.
 """
 
 from __future__ import annotations
@@ -12,9 +13,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-
-_BYTE_BASE = 0x9E3779B97F4A7C15 | 1
-_WORD_BASES = (0xC2B2AE3D27D4EB4F | 1, 0xD6E8FEB86659FD93 | 1)
+import xxhash
+
+#: Odd multipliers and salts of the hashes; the second of each serves windows' second hash.
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_WINDOW_STEPS = (np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93))
+_SECOND = np.uint64(0xE7037ED1A0B428DB)
+#: Words of more bytes than this are hashed one by one.
+_LONG_WORD = 64
 _CHUNK_BYTES = 1 << 19
 
 _SPACE = np.zeros(256, dtype=bool)
@@ -24,25 +30,8 @@ _MARKS = np.arange(256) < 128
 _MARKS[[*range(48, 58), *range(65, 91), *range(97, 123)]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-
-_powers: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; kept, up to the longest text so far."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = -(-n // (1 << 16)) << 16
-        have = np.full(size, base % (1 << 64), dtype=np.uint64)
-        have[0] = 1
-        np.cumprod(have, out=have)
-        _powers[base] = have
-    return have[:n]
-
-
-def inverse(base: int) -> int:
-    return pow(base, -1, 1 << 64)
-
+#: For a number of bytes up to 8, the mask that keeps so many.
+_KEPT = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser."""
@@ -116,11 +105,40 @@ def _split(data: np.ndarray, at: np.ndarray, lower: bool, rows: slice, between:
     ends = inside.copy()
     ends[:-1] &= ~inside[1:] | edge[1:n]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(_BYTE_BASE, n), out=sums[1:])
-    value = (sums[end] - sums[start]) * powers(inverse(_BYTE_BASE), n)[start]
-    value += (end - start).astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
-    return Words(np.searchsorted(start, at), mix(value), start, end, data, rows, at)
+    return Words(np.searchsorted(start, at), _hashed(data, start, end), start, end, data, rows, at)
+
+
+def _hashed(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each run of bytes."""
+    size = end - start
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, dtype="<u8", buffer=padded, strides=(1,))  # the eight bytes from each place on
+    value = size.astype(np.uint64) * _STEP
+    rows, at, left = np.arange(len(size)), start, size
+    long = size > _LONG_WORD
+    if long.any():
+        rows = np.flatnonzero(~long)
+        at, left = start[rows], size[rows]
+    while len(rows):
+        lane = eight[at] & _KEPT[np.minimum(left, 8)]
+        value[rows] = mix(value[rows] * _STEP + lane)
+        more = left > 8
+        rows, at, left = rows[more], at[more] + 8, left[more] - 8
+    if long.any():
+        raw = memoryview(padded)
+        for k in np.flatnonzero(long).tolist():
+            value[k] = xxhash.xxh3_64_intdigest(raw[start[k] : end[k]])
+    return value
+
+
+def _paired(left: np.ndarray, right: np.ndarray, step: np.uint64) -> np.ndarray:
+    """Hashes of pairs, in order."""
+    out = left * step
+    out += right
+    out ^= out >> np.uint64(29)
+    out *= _STEP
+    out ^= out >> np.uint64(32)
+    return out
 
 
 def windows(words: np.ndarray, size: int, which: int = 0) -> np.ndarray:
@@ -128,11 +146,17 @@ def windows(words: np.ndarray, size: int, which: int = 0) -> np.ndarray:
     n = len(words) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    base = _WORD_BASES[which]
-    sums = np.zeros(len(words) + 1, dtype=np.uint64)
-    source = words if not which else mix(words ^ np.uint64(0xE7037ED1A0B428DB))
-    np.cumsum(source * powers(base, len(words)), out=sums[1:])
-    return mix((sums[size:] - sums[:-size]) * powers(inverse(base), n) + np.uint64(size))
+    step = _WINDOW_STEPS[which]
+    part = mix(words ^ _SECOND) if which else words
+    done, out, have = 0, None, 1  # `part`: hashes of `have` words; `out`: of the first `done` words of each window
+    while True:
+        if size & have:
+            out = part[:n] if out is None else _paired(out, part[done : done + n], step)
+            done += have
+        if done == size:
+            return mix(out + np.uint64(size))
+        part = _paired(part[:-have], part[have:], step)
+        have *= 2
 
 
 def window_mask(first: np.ndarray, size: int) -> np.ndarray:
