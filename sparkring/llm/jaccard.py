@@ -7,12 +7,14 @@ the sketch, and a pair is verified only if it shares as many prefix shingles as
 places of the shared ones still allow the overlap.
 
 Lists of documents under one prefix shingle are paired in full while short.  Under a common shingle, documents are first
-linked through the one that has the fewest rarer shingles; only pairs that are still in different components are then
-compared, block against block, so that no link is lost and nothing is emitted for pairs that cannot change a component.
+linked through the one that has the fewest rarer shingles; only pairs that are still in different components, and of
+sizes that may link, are then compared, block against block, so that no link is lost and nothing is emitted for pairs that
+cannot change a component.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -23,10 +25,14 @@ from pyspark.sql import functions as F
 from ..plans.components import contract as components
 from . import fold, tables, words
 
-SKETCH = 1 << 22
+#: Least and most buckets of the sketch (a power of two, one for each so many bytes of text): 4 bytes each are broadcast.
+SKETCH = 1 << 22, 1 << 24
+SKETCH_BYTES = 128
 MOST_MATCHES = 4
 SHORT_LIST = 64
-COMMON = 1024  # by the sketch: such shingles are not dealt out by key at all
+#: A shingle is common, and not dealt out by key, if its bucket holds more than the usual one by all of: so many documents,
+#: one of 2**20 of all entries, and eight times the spread between buckets.  So the share counts, whatever the input's size.
+COMMON, COMMON_SHARE, COMMON_SPREAD = 1024, 20, 8
 BLOCK = 512
 
 
@@ -61,19 +67,36 @@ def _digests(value: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return out[0], out[1]
 
 
-def _bucket(value: np.ndarray) -> np.ndarray:
-    return (words.mix(value) & np.uint64(SKETCH - 1)).astype(np.int64)
+def _bucket(value: np.ndarray, buckets: int) -> np.ndarray:
+    return (words.mix(value) & np.uint64(buckets - 1)).astype(np.int64)
+
+
+def buckets_for(size: int) -> int:
+    """Buckets of the sketch for so many bytes of text."""
+    return min(SKETCH[1], max(SKETCH[0], 1 << max(0, size // SKETCH_BYTES).bit_length()))
+
+
+class Sketch:
+    """Entries in each bucket, those of a usual bucket, and from how many on a shingle is common."""
+
+    def __init__(self, counts: np.ndarray):
+        self.counts = np.minimum(counts, (1 << 31) - 1).astype(np.int32)
+        self.usual, upper = (int(x) for x in np.quantile(counts, (0.5, 0.9), method="nearest"))
+        self.common = self.usual + max(COMMON, int(counts.sum()) >> COMMON_SHARE, COMMON_SPREAD * (upper - self.usual))
+
+    def __call__(self, value: np.ndarray) -> np.ndarray:
+        return self.counts[_bucket(value, len(self.counts))].astype(np.int64)
 
 
 _FIRST = "doc_id long, n long, d1 long, d2 long, key string, counts binary"
 
 
-def _first(size: int) -> Callable:
+def _first(size: int, buckets: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SKETCH, dtype=np.uint32)
+        total = np.zeros(buckets, dtype=np.uint32)
         for batch in batches:
             for rows, value, first in shingle_sets(batch.column(1), size):
-                np.add.at(total, _bucket(value), np.uint32(1))
+                np.add.at(total, _bucket(value, buckets), np.uint32(1))
                 d1, d2 = _digests(value, first)
                 n = len(first) - 1
                 yield pa.RecordBatch.from_arrays(
@@ -108,11 +131,10 @@ def choose(counts: np.ndarray, n: int, percent: int) -> int:
 def _prefixes(shared, size: int, percent: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = shared.value
-        usual = int(np.partition(sketch, len(sketch) // 2)[len(sketch) // 2])
         for batch in batches:
             keys = batch.column(0).to_pylist()
             for rows, value, first in shingle_sets(batch.column(1), size):
-                counts = sketch[_bucket(value)].astype(np.int64)
+                counts = sketch(value)
                 doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
                 order = np.lexsort((value, counts, doc))
                 value, counts = value[order], counts[order]
@@ -120,9 +142,9 @@ def _prefixes(shared, size: int, percent: int) -> Callable:
                 for k in np.flatnonzero(np.diff(first)).tolist():
                     a, b = int(first[k]), int(first[k + 1])
                     n = b - a
-                    matches = choose(np.maximum(counts[a:b] - usual, 1), n, percent)
+                    matches = choose(np.maximum(counts[a:b] - sketch.usual, 1), n, percent)
                     end = a + min(n, n - -(-n * percent // 100) + matches)
-                    cold = int(np.searchsorted(counts[a:end] >= COMMON, True))
+                    cold = int(np.searchsorted(counts[a:end] >= sketch.common, True))
                     out.append((keys[rows.start + k], n, matches, cold, value[a:end].view(np.int64)))
                 ids, sizes, asked, cold, tokens = zip(*out, strict=True) if out else ((), (), (), (), ())
                 yield pa.RecordBatch.from_arrays(
@@ -245,7 +267,7 @@ def _blocks(percent: int) -> Callable:
     import pandas as pd
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        token, i, j = key
+        token, _, i, j = key
         left, right = rows[rows.block == i], rows[rows.block == j]
         return pd.DataFrame(compare(token, left, right, i == j, percent), columns=["x", "y"])
 
@@ -253,7 +275,10 @@ def _blocks(percent: int) -> Callable:
 
 
 def compare(token: int, left, right, same: bool, percent: int) -> list[tuple[int, int]]:
-    """Pairs whose first common shingle among the long lists is `token`, that match often enough and early enough."""
+    """Pairs whose first common shingle among the long lists is `token`, that match often enough and early enough.
+
+    Of two documents that are both guests of a band of sizes (`home` is false), the pair belongs to another band.
+    """
     column = {t: k for k, t in enumerate(sorted({t for x in right.tokens for t in x}))}
     place = np.full((len(right), len(column)), 1 << 30, dtype=np.int32)
     for r, own in enumerate(right.tokens):
@@ -264,9 +289,11 @@ def compare(token: int, left, right, same: bool, percent: int) -> list[tuple[int
     for r, own in enumerate(right.hots):
         earlier[r, [hot[t] for t in own if t in hot]] = True
     doc, comp, n, asked = (right[k].to_numpy() for k in ("doc", "comp", "n", "matches"))
+    at_home = lambda x: x.home.to_numpy() if "home" in x else np.ones(len(x), dtype=bool)
+    home = at_home(right)
     out: list[tuple[int, int]] = []
-    for x, c, m, ask, tokens, own in zip(left.doc, left.comp, left.n, left.matches, left.tokens, left.hots, strict=True):
-        ok = (comp != c) & (doc != x) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+    for x, c, m, ask, here, tokens, own in zip(left.doc, left.comp, left.n, left.matches, at_home(left), left.tokens, left.hots, strict=True):
+        ok = (comp != c) & (home | here) & (doc != x) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
         if same:
             ok &= doc > x
         before = [hot[t] for t in own if t in hot]
@@ -295,13 +322,14 @@ class Join:
         self.work = tables.Workspace(self.spark, "jaccard")
         self.all = tables.texts(docs)
 
-    def classes(self) -> tuple[DataFrame, DataFrame, np.ndarray]:
+    def classes(self) -> tuple[DataFrame, DataFrame, Sketch]:
         """Every document with its size and class digests, the classes with their smallest doc_id, and the sketch."""
-        first = self.work.put(self.all.mapInArrow(_first(self.size), _FIRST), "first")
-        sketch = fold.collect(first.where("key is not null").select("key", "counts"), {"sketch": SKETCH})["sketch"]
+        buckets = buckets_for(self.all.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+        first = self.work.put(self.all.mapInArrow(_first(self.size, buckets), _FIRST), "first")
+        sketch = fold.collect(first.where("key is not null").select("key", "counts"), {"sketch": buckets})["sketch"]
         members = first.where("key is null").select("doc_id", "n", "d1", "d2")
         found = self.work.put(members.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("doc")), "classes")
-        return members, found, np.minimum(sketch, 1 << 31).astype(np.int32)
+        return members, found, Sketch(sketch)
 
     def verified(self, pairs: DataFrame, name: str) -> DataFrame:
         """Links (u, v) among the pairs (x, y); x should be the rarer one of a hub's pairs."""
@@ -318,10 +346,12 @@ class Join:
 
     def run(self) -> DataFrame:
         members, found, sketch = self.classes()
-        shared = self.spark.sparkContext.broadcast(sketch)  # 16 MB, whatever the input
+        shared = self.spark.sparkContext.broadcast(sketch)  # 16 to 64 MB
+        del sketch
         reps = found.select(F.col("doc").alias("rep")).distinct()
         made = self.docs.mapInArrow(_prefixes(shared, self.size, self.percent), _PREFIX)
         prefixes = self.work.put(made.join(reps.hint("merge"), made["doc"] == reps["rep"], "left_semi"), "prefixes", codec="lz4")
+        shared.destroy()
 
         posted = prefixes.select("doc", "n", "matches", "cold", F.posexplode("tokens").alias("at", "token"))
         cold = posted.where("at < cold").select("token", "doc", "n", "matches", "at")
@@ -349,30 +379,37 @@ class Join:
 
     def across(self, hot: DataFrame, prefixes: DataFrame, labels: DataFrame) -> DataFrame | None:
         """Pairs under common shingles that lie in different components and may link; None if there are none."""
-        named = hot.join(labels, hot["doc"] == labels["node"], "left").select("token", "doc", F.coalesce("component", "doc").alias("comp"))
-        per = named.groupBy("token", "comp").count()
-        most = per.groupBy("token").agg(F.max(F.struct("count", "comp")).alias("m"), F.sum("count").alias("total"))
-        most = most.select("token", F.col("m.comp").alias("major"), F.col("m.count").alias("many"), (F.col("total") - F.col("m.count")).alias("few")).where("few > 0")
+        # Sets that link differ in size by the asked share at most, so a document meets those of its own band of sizes, where
+        # it is at home, and as a guest those of the band below.
+        width = max(math.log(100 / self.percent), 1e-6) * (1 + 1e-9)
+        named = hot.join(labels, hot["doc"] == labels["node"], "left").select("token", "doc", F.coalesce("component", "doc").alias("comp"), F.floor(F.log("n") / width).cast("int").alias("own"))
+        named = named.select("token", "doc", "comp", F.explode(F.array(F.col("own"), F.col("own") - 1)).alias("band"), "own").withColumn("home", F.col("own") == F.col("band"))
+        per = named.groupBy("token", "band", "comp").agg(F.count("*").alias("count"), F.max("home").alias("home"))
+        most = per.groupBy("token", "band").agg(F.max(F.struct("count", "comp")).alias("m"), F.sum("count").alias("total"), F.max("home").alias("home"))
+        few = F.col("total") - F.col("m.count")
+        most = most.where("home").select("token", "band", F.col("m.comp").alias("major"), F.col("m.count").alias("many"), few.alias("few")).where("few > 0")
         most = self.work.put(most, "unsettled")
         if most.isEmpty():
             return None
         blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
-        rows = named.join(most, "token").select(
-            "token", "doc", "comp", blocks("few").alias("nf"), blocks("many").alias("nm"), (F.col("comp") == F.col("major")).alias("big")
+        rows = named.join(most, ["token", "band"]).select(
+            "token", "band", "doc", "comp", "home", blocks("few").alias("nf"), blocks("many").alias("nm"), (F.col("comp") == F.col("major")).alias("big")
         )
         part = F.pmod(F.xxhash64("doc"), F.when(F.col("big"), F.col("nm")).otherwise(F.col("nf")))
         rows = rows.withColumn("block", (part + F.when(F.col("big"), F.col("nf")).otherwise(0)).cast("int"))
         # Blocks of the major component meet those of the others; the others meet each other as well.
         mates = F.when(F.col("big"), F.sequence(F.lit(0), F.col("nf") - 1)).otherwise(F.sequence(F.lit(0), F.col("nf") + F.col("nm") - 1))
         rows = rows.withColumn("mate", F.explode(mates))
-        rows = rows.select("token", "doc", "comp", "block", F.least("block", "mate").alias("i"), F.greatest("block", "mate").alias("j"))
+        rows = rows.select("token", "band", "doc", "comp", "home", "block", F.least("block", "mate").alias("i"), F.greatest("block", "mate").alias("j"))
         lists = hot.groupBy("doc").agg(F.sort_array(F.collect_set("token")).alias("hots"))
         about = prefixes.join(lists, "doc").select(F.col("doc").alias("id"), "n", "matches", "tokens", "hots")
         rows = rows.join(about, rows["doc"] == about["id"]).drop("id")
-        return self.work.put(rows.groupBy("token", "i", "j").applyInPandas(_blocks(self.percent), "x long, y long").distinct(), "across")
+        return self.work.put(rows.groupBy("token", "band", "i", "j").applyInPandas(_blocks(self.percent), "x long, y long").distinct(), "across")
 
     def labelled(self, members: DataFrame, found: DataFrame, labels: DataFrame) -> DataFrame:
         named = found.join(labels, found["doc"] == labels["node"], "left").select("d1", "d2", F.coalesce("component", "doc").alias("component_id"))
+        # Documents without words are in no class; their own ids spread them over the tasks.
+        members = members.withColumn("d1", F.when(F.col("n") == 0, F.xxhash64("doc_id")).otherwise(F.col("d1")))
         joined = members.join(named, ["d1", "d2"], "left")
         own = F.when(F.col("doc_id").isNull(), None).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
         return joined.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
@@ -384,7 +421,7 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     Two documents link when 100 * intersection >= percent * union of their sets of `size`-word shingles, A-Z in lower
     case.  With fewer words the whole sequence is one shingle; null and empty texts have none and link with nothing.
     Rows that share a doc_id are one document with several texts, linked if any of these are; repeated rows keep their
-    rows.  A row without a doc_id keeps its size and has no component, and links with nothing.  An empty table gives no
-    rows; columns other than doc_id and text are not read.
+    rows.  A row without a doc_id keeps its size and has no component, and links with nothing.  Very long texts are one set
+    each, held alone in a task.  An empty table gives no rows; columns other than doc_id and text are not read.
     """
     return Join(docs, size, percent).run()
