@@ -16,8 +16,8 @@ BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
 UNDETERMINED = "und"
 GROUP = 500_000  # bytes of text whose n-grams are held at a time
-#: The model is broadcast: buckets x languages x 4 bytes; more languages than this are refused.
-MAX_LANGUAGES = 256
+#: Languages are counted and scored in blocks of so many, each broadcast alone: buckets x languages x 4 bytes.
+LANGUAGES = 128
 
 
 def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -69,58 +69,110 @@ def _count(langs: list[str]) -> Callable:
     return run
 
 
-class Model:
-    """Languages in ascending order, their log priors, and log P(bucket | language) as buckets x languages."""
+class Block:
+    """Some languages in ascending order, their log priors, and log P(bucket | language) as buckets x languages."""
 
     def __init__(self, langs: list[str], prior: np.ndarray, table: np.ndarray):
         self.langs, self.prior, self.table = langs, prior, table
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    def score(self, texts: list[str]) -> np.ndarray:
         """Sparse scoring: the rows of the table for each text's n-grams are added up."""
-        langs, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
+        at, first = grams(texts)
+        return np.add.reduceat(self.table[at], first[:-1], axis=0, dtype=np.float64) + self.prior
+
+
+class Best:
+    """The best language of each text so far, its log score, and the logarithm of the sum of all."""
+
+    def __init__(self, langs: list[str | None], top: np.ndarray, total: np.ndarray):
+        self.langs, self.top, self.total = langs, top, total
+
+    @staticmethod
+    def none(n: int) -> Best:
+        return Best([None] * n, np.full(n, -np.inf), np.full(n, -np.inf))
+
+    def add(self, block: Block, texts: list[str | None]) -> None:
         use = [i for i, x in enumerate(texts) if x and any(map(str.isalpha, x))]
-        if not use or not self.langs:
-            return langs, scores
-        at, first = grams([texts[i] for i in use])
-        total = np.add.reduceat(self.table[at], first[:-1], axis=0, dtype=np.float64) + self.prior
-        best = total.argmax(axis=1)
-        share = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
-        for i, b, p in zip(use, best.tolist(), share.tolist(), strict=True):
-            langs[i], scores[i] = self.langs[b], p
-        return langs, scores
+        if not use:
+            return
+        score = block.score([texts[i] for i in use])
+        best = score.argmax(axis=1)
+        top = score[np.arange(len(use)), best]
+        total = top + np.log(np.exp(score - top[:, None]).sum(axis=1))
+        for i, b, better in zip(use, best.tolist(), (top > self.top[use]).tolist(), strict=True):
+            if better:
+                self.langs[i] = block.langs[b]
+        self.top[use], self.total[use] = np.maximum(top, self.top[use]), np.logaddexp(total, self.total[use])
+
+    def found(self) -> tuple[list[str], list[float]]:
+        known = np.isfinite(self.top)
+        share = np.exp(np.where(known, self.top, 0) - np.where(known, self.total, 0)) * known
+        return [UNDETERMINED if x is None else x for x in self.langs], np.minimum(share, 1).tolist()
+
+
+class Model:
+    """Languages in ascending order, in blocks."""
+
+    def __init__(self, blocks: list[Block]):
+        self.blocks = blocks
+
+    @property
+    def langs(self) -> list[str]:
+        return [x for b in self.blocks for x in b.langs]
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        best = Best.none(len(texts))
+        for block in self.blocks:
+            best.add(block, texts)
+        return best.found()
 
 
 def train(docs: DataFrame, use: Column, smoothing: float = 0.5) -> Model:
-    """A model from text and lang of the rows where `use` holds and lang is not null; every such row counts."""
+    """A model from text and lang of the rows where `use` holds and lang is not null; every such row counts.
+
+    Any number of languages: each block of them is counted in a pass over its own rows.
+    """
     rows = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), use.alias("use"))
     rows = rows.where("use and lang is not null and text is not null").select("text", "lang")
-    per = rows.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
-    if len(per) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    langs = sorted(r["lang"] for r in per)
-    if not langs:
-        return Model([], np.zeros(0), np.zeros((BUCKETS, 0), np.float32))
-    size = {r["lang"]: r["count"] for r in per}
-    counts = fold.collect(rows.mapInArrow(_count(langs), fold.SCHEMA), {"grams": len(langs) * BUCKETS})["grams"]
-    counts = counts.reshape(len(langs), BUCKETS).T + smoothing
-    prior = np.log(np.array([size[x] for x in langs], dtype=np.float64) / sum(size.values()))
-    return Model(langs, prior, np.ascontiguousarray(np.log(counts / counts.sum(axis=0)), dtype=np.float32))
-
-
-def _predict(model, digests: tuple[str, ...]) -> Callable:
+    size = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row a language
+    every, langs, blocks = sum(size.values()), sorted(size), []
+    for k in range(0, len(langs), LANGUAGES):
+        own = langs[k : k + LANGUAGES]
+        part = rows.where(F.col("lang").between(own[0], own[-1])) if len(langs) > LANGUAGES else rows
+        counts = fold.collect(part.mapInArrow(_count(own), fold.SCHEMA), {"grams": len(own) * BUCKETS})["grams"]
+        counts = counts.reshape(len(own), BUCKETS).T + smoothing
+        prior = np.log(np.array([size[x] for x in own], dtype=np.float64) / every)
+        blocks.append(Block(own, prior, np.ascontiguousarray(np.log(counts / counts.sum(axis=0)), dtype=np.float32)))
+    return Model(blocks)
+
+
+_SO_FAR = ("best_lang", "best_score", "best_total")
+
+
+def _predict(shared, keep: tuple[str, ...], first: bool, last: bool) -> Callable:
+    """One block's scores.  Between blocks the text goes on, with the best language so far."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = model.value
+        block = shared.value if shared else None
         for batch in batches:
             pa.default_memory_pool().release_unused()
             texts = batch.column("text")
-            langs: list[str] = []
-            scores: list[float] = []
+            langs, top, total = ([], [], []) if first else (batch.column(x).to_pylist() for x in _SO_FAR)
+            out: list[list] = [[], [], []]
             for piece in groups(texts, GROUP):
-                a, b = own.predict(texts[piece].to_pylist())
-                langs += a
-                scores += b
-            kept = [batch.column(x) for x in digests]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*digests, "lang_pred", "score"])
+                own = texts[piece].to_pylist()
+                best = Best.none(len(own)) if first else Best(langs[piece], np.array(top[piece]), np.array(total[piece]))
+                if block:
+                    best.add(block, own)
+                for x, y in zip(out, best.found() if last else (best.langs, best.top.tolist(), best.total.tolist()), strict=False):
+                    x += y
+            kept = [batch.column(x) for x in keep]
+            if last:
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(out[0], pa.string()), pa.array(out[1], pa.float64())], names=[*keep, "lang_pred", "score"])
+            else:
+                columns = [pa.array(x, t) for x, t in zip(out, (pa.string(), pa.float64(), pa.float64()), strict=True)]
+                text = [] if "text" in keep else [texts]
+                yield pa.RecordBatch.from_arrays([*kept, *text, *columns], names=[*keep, *(["text"] if text else []), *_SO_FAR])
 
     return run
 
@@ -130,12 +182,23 @@ def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
 
     Null texts, texts without a letter, and all texts where the model has no language: ``und`` with score 0.  Equal
     scores go to the first language in order.  Rows are kept as they are, repeated ones included; other columns are not
-    read, except `text`.  One pass, no shuffle; the broadcast is of fixed size for the languages.
+    read, except `text`.  Very long texts are scored whole, one at a time.  One pass, no shuffle; the broadcast is of fixed
+    size for a block of languages.  With more than one block, each has a pass of its own, and the rows are written between.
     """
+    spark = docs.sparkSession
     rows = docs.select(*keep, *([] if "text" in keep else [F.col("text").cast("string").alias("text")]))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
     fields = ", ".join(f"`{n}` {t}" for n, t in rows.select(*keep).dtypes)
-    return rows.mapInArrow(_predict(shared, keep), f"{fields}, lang_pred string, score double")
+    between = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes) + ", best_lang string, best_score double, best_total double"
+    blocks: list[Block | None] = [*model.blocks] or [None]
+    work = tables.Workspace(spark, "language") if len(blocks) > 1 else None
+    for k, block in enumerate(blocks):
+        last = k == len(blocks) - 1
+        shared = spark.sparkContext.broadcast(block) if block else None
+        rows = rows.mapInArrow(_predict(shared, keep, k == 0, last), f"{fields}, lang_pred string, score double" if last else between)
+        if not last:
+            rows = work.put(rows, f"block-{k}")
+            shared.destroy()
+    return rows
 
 
 def held_out(modulus: int, remainder: int) -> Column:
