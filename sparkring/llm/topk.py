@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import Workspace
+
 BLOCK_DIMS = 16
 QUERY_BLOCK = 4096
 #: Above this share of surviving pairs, columns are added up whole.
@@ -22,10 +24,11 @@ DENSE = 0.02
 _CANDIDATES = 512
 
 
-def quantise(column: pa.Array, scale: int) -> tuple[np.ndarray, np.ndarray]:
+def quantise(column: pa.Array, scale: int, dims: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """floor(scale * x) of the vectors that are whole and finite, as doubles, and their rows.
 
-    Vectors that are null, empty, or hold a null, NaN or infinity take no part.
+    Vectors that are null, empty, or hold a null, NaN or infinity take no part, nor those of another size than `dims`
+    (by default, the first good vector's).
     """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -34,11 +37,11 @@ def quantise(column: pa.Array, scale: int) -> tuple[np.ndarray, np.ndarray]:
     first = np.append(0, np.cumsum(size))
     bad = np.append(0, np.cumsum(~np.isfinite(flat)))
     good = (size > 0) & (bad[first[1:]] == bad[first[:-1]]) & column.is_valid().to_numpy(zero_copy_only=False)
+    if good.any():
+        good &= size == (dims or size[good.argmax()])
     rows = np.flatnonzero(good)
     if not len(rows):
         return np.zeros((0, 0)), rows
-    if len(set(size[rows].tolist())) > 1:
-        raise ValueError("vectors of different sizes")
     take = first[:-1][rows][:, None] + np.arange(size[rows[0]])
     out = np.floor(scale * flat[take])
     if out.size and float(np.abs(out).max()) ** 2 * out.shape[1] >= 2**53:
@@ -127,7 +130,7 @@ def _scan(shared, scale: int, k: int) -> Callable:
         ids, vectors, floor = shared.value
         own = Search(ids, vectors, k, floor.copy())
         for batch in batches:
-            found, rows = quantise(batch.column(1), scale)
+            found, rows = quantise(batch.column(1), scale, vectors.shape[1])
             if len(rows):
                 own.add(batch.column(0).to_numpy(zero_copy_only=False)[rows], found)
         query, candidate, score = own.found
@@ -136,32 +139,56 @@ def _scan(shared, scale: int, k: int) -> Callable:
     return run
 
 
+def _seeded(scale: int, k: int) -> Callable:
+    """A block of queries -> the same rows with the bound of each."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, column = table.column("vec_id").to_numpy(), table.column("embedding")
+        found, rows = quantise(column, scale)
+        floor = np.full(len(ids), -np.inf)
+        if len(rows):
+            floor[rows] = _seed(ids[rows], found, k)
+        return table.append_column("floor", pa.array(floor))
+
+    return run
+
+
 def search(vectors: DataFrame, queries: Column, k: int = 20, scale: int = 64, query_block: int = QUERY_BLOCK) -> DataFrame:
     """The k highest inner products of each row where `queries` holds, against every row with another vec_id.
 
     Ties go to the smaller vec_id; fewer candidates than k: all.  Rows with a null vec_id, and vectors that are null,
-    empty or not finite, take no part; vectors of different sizes are an error.  Repeated rows are candidates each, but
-    a query's own vec_id never answers it, and a query's repeated rows ask once (with the smallest of their vectors).  Other columns are not read.
-
-    Queries go in blocks of about `query_block`, each broadcast with its bounds (at most a few megabytes) in one pass
-    over the candidates, so a task sends at most k rows for each query of the block.
+    empty or not finite, take no part; vectors of another size than the query's are no candidates for it.  Components so
+    large that sums of products would not be exact are an error.  Repeated rows are candidates each, but a query's own
+    vec_id never answers it, and a query's repeated rows ask once (with the smallest of their vectors).  An empty table
+    gives no rows; other columns are not read.
+
+    Queries go in blocks of about `query_block`, which are made, and given their first bounds, on the executors and written
+    once.  Each block is then broadcast (at most a few megabytes) in one pass over the candidates, in which a task sends at
+    most k rows for each query; its answers are written and its broadcast is destroyed before the next one's.
     """
-    spark = vectors.sparkSession
+    spark, work = vectors.sparkSession, Workspace(vectors.sparkSession, "topk")
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where("vec_id is not null")
     whole = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & (F.size("embedding") > 0)
     asked = rows.where(queries).where(whole).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))  # a hot id is one query
-    blocks = max(1, -(-asked.count() // query_block))
-    out = []
-    for b in range(blocks):
-        own = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).toArrow()
-        found, at = quantise(own.column("embedding"), scale)
-        ids = own.column("vec_id").to_numpy()[at]
-        if not len(ids):
-            continue
-        shared = spark.sparkContext.broadcast((ids, found, _seed(ids, found, k)))
-        out.append(rows.mapInArrow(_scan(shared, scale, k), "query_id long, vec_id long, score long"))
-    if not out:
+    asked = work.put(asked.withColumn("dims", F.size("embedding")), "asked")
+    counts = {r["dims"]: r["count"] for r in asked.groupBy("dims").count().collect()}  # one row a size
+    parts = {d: -(-n // query_block) for d, n in counts.items()}
+    if not parts:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    hashed = F.xxhash64("vec_id")
+    block = reduce(lambda c, x: c.when(F.col("dims") == x[0], F.pmod(hashed, F.lit(x[1]))), parts.items(), F).cast("int")
+    kind = rows.schema["embedding"].dataType.simpleString()
+    seeded = asked.withColumn("block", block).groupBy("dims", "block").applyInArrow(_seeded(scale, k), f"vec_id long, embedding {kind}, dims int, block int, floor double")
+    asked = work.put(seeded, "seeded")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = reduce(DataFrame.unionByName, out).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    for dims, b in [(d, b) for d, n in parts.items() for b in range(n)]:
+        own = asked.where((F.col("dims") == dims) & (F.col("block") == b)).toArrow()
+        if not own.num_rows:
+            continue
+        found, at = quantise(own.column("embedding"), scale)
+        shared = spark.sparkContext.broadcast((own.column("vec_id").to_numpy()[at], found, own.column("floor").to_numpy()[at]))
+        scanned = rows.mapInArrow(_scan(shared, scale, k), "query_id long, vec_id long, score long")
+        ranked = scanned.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        work.put(ranked, f"found/of={dims}-{b}")
+        shared.destroy()
+    return spark.read.schema("query_id long, rank int, vec_id long, score long").parquet(work.path("found")).select("query_id", "rank", "vec_id", "score")
