@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,10 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (one machine, tests), a new temporary one."""
+    """The folder in spark.checkpoint.dir; where that is unset on one machine (tests), a new temporary one.
+
+    Executors of a cluster would not see such a folder, so there the setting must be made.
+    """
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[[\d*, ]+\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
         folder = context.getCheckpointDir()
     return folder.rstrip("/")
