@@ -20,11 +20,23 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each group that links by shingles; rows without a doc_id stay."""
+    """One document, that of the smallest doc_id, of each group that links by shingles; rows without a doc_id stay.
+
+    Rows that share a doc_id and the text are one document.  Where a doc_id has different texts, each of them is a document
+    with a key of its own, so that none goes unless it links.
+    """
     tables.bound_batches(spark)
-    found = jaccard.join(docs, size=5, percent=80)
-    first = found.where(F.col("component_id") == F.col("doc_id")).select("doc_id").distinct()
-    kept = docs.select(*COLUMNS).join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    rows, digest = docs.select(*COLUMNS).where("doc_id is not null"), F.xxhash64("text")
+    several = rows.groupBy("doc_id").agg(F.min(digest).alias("a"), F.max(digest).alias("b")).where("a <> b").select(F.col("doc_id").alias("several"))
+    several = tables.Workspace(spark, "distinct").put(several, "several")
+    if several.isEmpty():
+        keyed = rows.withColumn("key", F.col("doc_id"))
+    else:
+        named = rows.join(several.hint("merge"), F.col("doc_id") == F.col("several"), "left")
+        keyed = named.select(*COLUMNS, F.when(F.col("several").isNull(), F.col("doc_id")).otherwise(F.xxhash64("doc_id", "text")).alias("key"))
+    found = jaccard.join(keyed.select(F.col("key").alias("doc_id"), "text"), size=5, percent=80)
+    first = found.where(F.col("component_id") == F.col("doc_id")).select(F.col("doc_id").alias("key")).distinct()
+    kept = keyed.join(first, "key", "left_semi").dropDuplicates(["key"]).select(*COLUMNS)
     return kept.unionByName(docs.select(*COLUMNS).where("doc_id is null"))
 
 
