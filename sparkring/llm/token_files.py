@@ -1,15 +1,16 @@
 """Token ids in files: frequency-ranked ids, byte-aligned variable-length codes, control bytes apart.
 
-Layout of one shard file (numbers little-endian)::
+Layout of one shard (numbers little-endian)::
 
-    magic b"RKVB" | u32 version | u64 documents | u64 tokens | u64 first token's place in the corpus
-    u64 x documents: doc_id, ascending       | u64 x documents: tokens of each document
+    magic b"RKVB" | u32 version | u64 documents | u64 tokens | u64 first token's place in the corpus | u64 documents without id
+    i64 x documents: doc_id, ascending, those without id at the end (as 0) | u64 x documents: tokens of each document
     control bytes: 2 bits a token, four tokens a byte, lowest bits first; length of the code less one
     data bytes: each token's rank by falling corpus frequency, 1 to 4 bytes, little-endian
     newline (the end of the record that Spark's writer appends)
 
-The ranks' table (rank -> id) is a file of its own, u32 each, in the same folder.  Shards are named by Spark's writer in
-partition order, which is ascending doc_id order, so task retries and lost executors leave no partial files.
+A file holds up to `FILE_SHARDS` shards, one after another.  The ranks' table (rank -> id) is a file of its own, u32 each,
+in the same folder.  Spark's writer names the files and commits them, so task retries and lost executors leave no partial
+ones; where a shard belongs is in its head.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,10 @@ from . import tables
 from .chunks import ChunkEncoder, groups
 
 MAGIC = b"RKVB"
-_HEAD = "<4sIQQQ"
+_HEAD = "<4sIQQQQ"
+VERSION = 2
+#: With shards of two million tokens, files of some 50 MB, which a task reads one at a time.
+FILE_SHARDS = 16
 
 #: For each control byte: the lengths of its four codes, and the bytes they take together.
 _LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + 1
@@ -123,7 +128,7 @@ def _blocks(path: str, end_id: int, wide: bool, shard_tokens: int) -> Callable:
         from pyspark import TaskContext
 
         encode, part, block = encoder(path), TaskContext.get().partitionId(), 0
-        docs: list[int] = []
+        docs: list[int | None] = []
         coded: list[np.ndarray] = []  # each document's ids, and the end id
         end = np.array([end_id], dtype=dtype)
         held = inside = 0  # tokens of this block, and of the partition's earlier ones
@@ -131,6 +136,8 @@ def _blocks(path: str, end_id: int, wide: bool, shard_tokens: int) -> Callable:
         def row() -> pa.RecordBatch:
             all_ids = np.concatenate(coded)
             sizes = np.array([len(x) + 1 for x in coded[::2]], dtype="<u8")
+            unnamed = docs.count(None)
+            keys = [*docs[: len(docs) - unnamed], *[0] * unnamed]
             return pa.RecordBatch.from_pydict(
                 {
                     "part": pa.array([part], pa.int64()),
@@ -138,7 +145,8 @@ def _blocks(path: str, end_id: int, wide: bool, shard_tokens: int) -> Callable:
                     "inside": pa.array([inside], pa.int64()),
                     "n_docs": pa.array([len(docs)], pa.int64()),
                     "n_tokens": pa.array([int(sizes.sum())], pa.int64()),
-                    "docs": [np.array(docs, dtype="<u8" if not docs or min(docs) >= 0 else "<i8").tobytes()],
+                    "n_unnamed": pa.array([unnamed], pa.int64()),
+                    "docs": [np.array(keys, dtype="<i8").tobytes()],
                     "sizes": [sizes.tobytes()],
                     "ids": [all_ids.tobytes()],
                     "counts": [np.bincount(all_ids).astype("<u4").tobytes()],
@@ -165,7 +173,7 @@ def _blocks(path: str, end_id: int, wide: bool, shard_tokens: int) -> Callable:
     return run
 
 
-_BLOCKS = "part long, block long, inside long, n_docs long, n_tokens long, docs binary, sizes binary, ids binary, counts binary"
+_BLOCKS = "part long, block long, inside long, n_docs long, n_tokens long, n_unnamed long, docs binary, sizes binary, ids binary, counts binary"
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,8 +197,8 @@ def _packed(order: np.ndarray, wide: bool, before: dict[int, int]) -> Callable:
             for r in batch.to_pylist():
                 ids = np.frombuffer(r["ids"], dtype="<u4" if wide else "<u2")
                 control, data = pack(rank[ids])
-                body = b"".join((struct.pack(_HEAD, MAGIC, 1, r["n_docs"], r["n_tokens"], before[r["part"]] + r["inside"]), r["docs"], r["sizes"], control, data))
-                yield pa.RecordBatch.from_pydict({"shard": [f"{r['part']:08d}-{r['block']:08d}"], "body": pa.array([body], pa.binary())})
+                body = b"".join((struct.pack(_HEAD, MAGIC, VERSION, r["n_docs"], r["n_tokens"], before[r["part"]] + r["inside"], r["n_unnamed"]), r["docs"], r["sizes"], control, data))
+                yield pa.RecordBatch.from_arrays([pa.array([body], pa.binary())], names=["body"])
 
     return run
 
@@ -198,27 +206,29 @@ def _packed(order: np.ndarray, wide: bool, before: dict[int, int]) -> Callable:
 def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, shard_tokens: int = 2_000_000) -> None:
     """Tokenise documents and write shard files and the rank table into `folder`.
 
-    Rows without a doc_id are left out, since the files are ordered by it.  Text null or empty: the end id alone.  Repeated doc_ids: all are written, in any order among themselves.  An empty table: no shard.
-    Columns other than doc_id and text are not read.  `shard_tokens` bounds the memory of a writing or reading task,
-    but for one document that is longer.
+    Rows are in ascending order of doc_id, those without one at the end; rows of one doc_id by a hash of the text, so that
+    they too are dealt out.  Text null or empty: the end id alone.  Repeated rows are all written.  An empty table: no shard.
+    Columns other than doc_id and text are not read.  `shard_tokens` bounds the memory of a writing task, and with
+    `FILE_SHARDS` that of a reading one, but for one document that is longer.
     """
     spark = docs.sparkSession
     work = tables.Workspace(spark, "token-ids")
     vocabulary = len_vocabulary(tokenizer)
     wide = max(vocabulary, end_id + 1) > 1 << 16
-    rows = tables.texts(docs).where(F.col("doc_id").isNotNull())
-    ordered = rows.repartitionByRange(tables.partitions(spark), "doc_id").sortWithinPartitions("doc_id")
+    rows = tables.texts(docs).withColumn("tie", F.xxhash64("text"))
+    order = F.col("doc_id").asc_nulls_last(), F.col("tie").asc()
+    ordered = rows.repartitionByRange(tables.partitions(spark), *order).sortWithinPartitions(*order)
     blocks = work.put(ordered.mapInArrow(_blocks(tokenizer, end_id, wide, shard_tokens), _BLOCKS), "blocks")
 
     # At most one row for each id of the vocabulary.
     counts = blocks.select("counts").mapInArrow(_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
-    order = counts.sort_values(["n", "id"], ascending=[False, True])["id"].to_numpy(dtype=np.int64)
+    ranked = counts.sort_values(["n", "id"], ascending=[False, True])["id"].to_numpy(dtype=np.int64)
     # One row for each partition of the writing job.
     parts = blocks.groupBy("part").agg(F.sum("n_tokens").alias("n")).toPandas().sort_values("part")
     before = dict(zip(parts["part"].tolist(), (parts["n"].cumsum() - parts["n"]).tolist(), strict=True))
-    coded = blocks.drop("counts").mapInArrow(_packed(order, wide, before), "shard string, body binary")
-    coded.select("shard", F.col("body").cast("string").alias("value")).write.mode("overwrite").partitionBy("shard").text(f"{folder}/shards")
-    table = spark.createDataFrame([(bytearray(order.astype("<u4").tobytes()),)], "body binary").select(F.col("body").cast("string").alias("value"))
+    coded = blocks.drop("counts").mapInArrow(_packed(ranked, wide, before), "body binary")
+    coded.select(F.col("body").cast("string").alias("value")).write.mode("overwrite").option("maxRecordsPerFile", FILE_SHARDS).text(f"{folder}/shards")
+    table = spark.createDataFrame([(bytearray(ranked.astype("<u4").tobytes()),)], "body binary").select(F.col("body").cast("string").alias("value"))
     table.coalesce(1).write.mode("overwrite").text(f"{folder}/ranks")
     work.drop("blocks")
 
@@ -228,30 +238,43 @@ def _unpacked(order: np.ndarray) -> Callable:
         for batch in batches:
             for raw in batch.column(0):
                 data = np.frombuffer(raw.as_buffer(), dtype=np.uint8)
-                docs, sizes, start, ids = parse(data, order)
-                ends = np.cumsum(sizes)
-                view = memoryview(ids.astype("<u4").tobytes())
-                crc = [zlib.crc32(view[4 * (b - n) : 4 * b]) for b, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(docs), pa.array(start + ends - sizes), pa.array(sizes), pa.array(crc, pa.int64())],
-                    names=["doc_id", "start", "n_tokens", "ids_crc32"],
-                )
+                while len(data):
+                    shard = parse(data, order)
+                    data = data[shard.length + 1 :]
+                    ends = np.cumsum(shard.sizes)
+                    view = memoryview(shard.ids.astype("<u4").tobytes())
+                    crc = [zlib.crc32(view[4 * (b - n) : 4 * b]) for b, n in zip(ends.tolist(), shard.sizes.tolist(), strict=True)]
+                    named = pa.array(shard.docs, mask=np.arange(len(shard.docs)) >= len(shard.docs) - shard.unnamed)
+                    yield pa.RecordBatch.from_arrays(
+                        [named, pa.array(shard.start + ends - shard.sizes), pa.array(shard.sizes), pa.array(crc, pa.int64())],
+                        names=["doc_id", "start", "n_tokens", "ids_crc32"],
+                    )
 
     return run
 
 
-def parse(data: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray, int, np.ndarray]:
-    """A shard's documents, their token counts, its first token's place, and all its ids."""
-    magic, version, n_docs, n_tokens, start = struct.unpack(_HEAD, data[: struct.calcsize(_HEAD)].tobytes())
-    if magic != MAGIC or version != 1:
-        raise ValueError("not a shard of this format")
+class Shard(NamedTuple):
+    docs: np.ndarray
+    sizes: np.ndarray  # tokens of each document
+    start: int  # the first token's place in the corpus
+    unnamed: int  # so many documents at the end have no id
+    ids: np.ndarray
+    length: int  # bytes, without the newline
+
+
+def parse(data: np.ndarray, order: np.ndarray) -> Shard:
+    """The shard that `data` begins with."""
     at = struct.calcsize(_HEAD)
+    magic, version, n_docs, n_tokens, start, unnamed = struct.unpack(_HEAD, data[:at].tobytes())
+    if magic != MAGIC or version != VERSION:
+        raise ValueError("not a shard of this format")
     docs = data[at : at + 8 * n_docs].copy().view("<i8")
     sizes = data[at + 8 * n_docs : at + 16 * n_docs].copy().view("<i8")
     at += 16 * n_docs
     control = data[at : at + -(-n_tokens // 4)]
     at += len(control)
-    return docs, sizes, start, order[unpack(control, data[at : at + data_bytes(control, n_tokens)], n_tokens)]
+    end = at + data_bytes(control, n_tokens)
+    return Shard(docs, sizes, start, unnamed, order[unpack(control, data[at:end], n_tokens)], end)
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:

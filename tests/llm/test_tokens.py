@@ -68,20 +68,36 @@ def test_variable_length_codes(top):
         assert (token_files.unpack(codes, np.frombuffer(data + b"xx", np.uint8), n) == ranks[:n]).all()
 
 
-def test_files(spark, tmp_path):
+def test_files(spark, tmp_path, monkeypatch):
+    """Rows without an id come last, and take no place of the others."""
     from tokenizers import Tokenizer
 
+    monkeypatch.setattr(token_files, "FILE_SHARDS", 3)
     library = Tokenizer.from_file(JSON)
     rows = [(i * 3 - 5, x, "clash") for i, x in enumerate(["one two", None, "", "ten words " * 200, "one two", "é\n\nù"] * 5)]
-    docs = spark.createDataFrame(rows + [(None, "left out", "x")], "doc_id long, text string, start string").repartition(3)
+    docs = spark.createDataFrame(rows + [(None, "no id", "x")] * 2, "doc_id long, text string, start string").repartition(3)
     token_files.write(docs, str(tmp_path / "files"), JSON, shard_tokens=300)
-    got = {r["doc_id"]: tuple(r)[1:] for r in token_files.read(spark, str(tmp_path / "files")).collect()}
-    start, want = 0, {}
-    for key, text, _ in sorted(rows):
+    got = [tuple(r) for r in token_files.read(spark, str(tmp_path / "files")).collect()]
+    start, want = 0, []
+    for key, text, _ in [*sorted(rows), (None, "no id", ""), (None, "no id", "")]:
         ids = [*library.encode(text or "", add_special_tokens=False).ids, 0]
-        want[key] = start, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))
+        want.append((key, start, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))))
         start += len(ids)
-    assert got == want
+    assert sorted(got, key=lambda r: r[1]) == want
+    files = list((tmp_path / "files" / "shards").glob("part-*"))
+    assert 1 < len(files) < sum(x.read_bytes().count(token_files.MAGIC) for x in files)
+
+
+def test_files_of_one_id(spark, tmp_path):
+    """All rows of one doc_id are written, and dealt over the partitions by their texts; a long text is one document."""
+    rows = [(7, f"text {i}", i) for i in range(200)] + [(7, "same", 0)] * 20 + [(7, "long " * 300_000, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, tie int").repartition(3)
+    token_files.write(docs, str(tmp_path / "files"), JSON, shard_tokens=300)
+    got = token_files.read(spark, str(tmp_path / "files")).collect()
+    at = sorted((r["start"], r["n_tokens"]) for r in got)
+    assert len(got) == len(rows) and {r["doc_id"] for r in got} == {7} and at[0][0] == 0
+    assert all(a + n == b for (a, n), (b, _) in zip(at, at[1:], strict=False))
+    assert len(list((tmp_path / "files" / "shards").glob("part-*"))) > 1
 
 
 def test_files_of_an_empty_table(spark, tmp_path):
