@@ -365,7 +365,7 @@ class _Layout:
 
         def own(k: int) -> int:  # a box that holds one line is a paragraph
             box, way = self.box[self.lines[k].element], []
-            while box not in outer and held[box] == 1:
+            while box not in outer and held[box] == 1 and self.context[box] != box:
                 way.append(box)
                 box = self.box[self.elements[box].parent]
             end = outer.setdefault(box, box)
