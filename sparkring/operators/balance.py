@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import prep
+
 
 def split(loads: DataFrame, most: int) -> DataFrame:
     """Rows (brow, load) cut into pieces (brow, start, load) of at most `most`; rows without load go."""
@@ -40,9 +42,9 @@ def merge(loads: DataFrame, most: int) -> DataFrame:
     """Consecutive rows fused to units of at most `most`; a longer row is a unit alone.
 
     The packing is sequential by definition: it runs in one task, over one small row for each block row, streamed in
-    order and never gathered.
+    order and never gathered; what makes the rows runs in as many tasks as before.
     """
-    return loads.where("load > 0").coalesce(1).sortWithinPartitions("brow").mapInPandas(_packed(most, cut=False), _UNITS)
+    return loads.where("load > 0").repartition(1).sortWithinPartitions("brow").mapInPandas(_packed(most, cut=False), _UNITS)
 
 
 def merge_split(loads: DataFrame, most: int) -> DataFrame:
@@ -50,8 +52,7 @@ def merge_split(loads: DataFrame, most: int) -> DataFrame:
 
     Cuts depend on prefix sums alone, so no sequential pass is needed.
     """
-    order = Window.orderBy("brow").rowsBetween(Window.unboundedPreceding, -1)
-    placed = loads.where("load > 0").select("brow", F.col("load").cast("long").alias("all"), F.coalesce(F.sum("load").over(order), F.lit(0)).cast("long").alias("before"))
+    placed = prep.running(loads.where("load > 0").select("brow", F.col("load").cast("long").alias("all")), "brow", "all", "before")
     cuts = placed.select("brow", "all", "before", F.explode(F.expr(f"sequence(before div {most}, (before + all - 1) div {most})")).alias("unit"))
     start = F.greatest(F.lit(0), F.col("unit") * most - F.col("before"))
     stop = F.least(F.col("all"), (F.col("unit") + 1) * most - F.col("before"))
@@ -61,8 +62,7 @@ def merge_split(loads: DataFrame, most: int) -> DataFrame:
 def unit_offsets(units: DataFrame) -> DataFrame:
     """(unit, start, end) of each unit's list of two words and one for each member, one list after another."""
     sizes = units.groupBy("unit").agg((F.count("*") + 2).alias("size"))
-    end = F.sum("size").over(Window.orderBy("unit").rowsBetween(Window.unboundedPreceding, 0))
-    return sizes.select("unit", (end - F.col("size")).alias("start"), end.alias("end"))
+    return prep.running(sizes, "unit", "size", "start").select("unit", "start", (F.col("start") + F.col("size")).alias("end"))
 
 
 def salted_count(edges: DataFrame, x: DataFrame, salts: int = 16) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bits import block
@@ -57,6 +57,33 @@ def mxv_packed(matrix: DataFrame, words: DataFrame, width: int = 32) -> DataFram
     return joined.where("bits > 0").groupBy(row).agg(F.sum("bits").cast("long").alias("val"))
 
 
+def mxv_bool_packed(matrix: DataFrame, words: DataFrame, mask: DataFrame | None = None, width: int = 32) -> DataFrame:
+    """Boolean product of row tiles and a packed set, less a packed mask: (blk, word) of the rows that meet the set.
+
+    A row's bit is set if its word and the set's share a bit; rows of a block are put together, then the mask's bits go.
+    """
+    met = matrix.join(words.select("blk", F.col("word").alias("x")), matrix["bcol"] == F.col("blk")).where(F.col("word").bitwiseAND(F.col("x")) != 0)
+    rows = met.groupBy(F.col("brow").alias("blk")).agg(F.bit_or(F.expr(f"shiftleft(1L, {width - 1} - r)")).alias("word"))
+    if mask is None:
+        return rows
+    known = mask.select(F.col("blk").alias("known"), F.col("word").alias("m"))
+    left = rows.join(known, rows["blk"] == F.col("known"), "left")
+    return left.select("blk", F.expr("word & ~coalesce(m, 0L)").alias("word")).where("word <> 0")
+
+
+def mxv_values_packed(matrix: DataFrame, blocks: DataFrame, semiring: Semiring, width: int = 32, weight: Column | None = None) -> DataFrame:
+    """(v, val): product over a semiring of row tiles, all of whose entries have one weight (1), and a vector by blocks.
+
+    The values at a row's set bits are added up within the tile; only one value for each row of a tile is shuffled.
+    """
+    one = F.lit(1) if weight is None else weight
+    joined = matrix.join(blocks, matrix["bcol"] == blocks["blk"])
+    hits = F.filter("items", lambda x: F.col("word").bitwiseAND(x["bit"]) != 0)
+    joined = joined.select("brow", "r", hits.alias("hits")).where(F.size("hits") > 0)
+    part = semiring.fold(F.transform("hits", lambda x: semiring.multiply(one, x["val"])))
+    return joined.groupBy(F.expr(f"brow * {width} + r").alias("v")).agg(semiring.merge(part).alias("val"))
+
+
 def _renamed(edges: DataFrame, src: str, dst: str) -> DataFrame:
     return edges.select(F.col("src").alias(src), F.col("dst").alias(dst))
 
@@ -94,18 +121,36 @@ def mxm_sum_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
     return _renamed(a, "i", "j").join(_renamed(b, "j", "k"), "j").agg(F.count("*").alias("total"))
 
 
-def mxm_masked(a: DataFrame, b: DataFrame, mask: DataFrame) -> DataFrame:
-    """Counting product at the places of the mask only; the mask comes first, so no other entry is made.
+def mxm_sum_packed(a: DataFrame, b: DataFrame, width: int = 32) -> DataFrame:
+    """The same sum on tiles: bits of A's row tiles and of B's column tiles counted by block, and multiplied place by place."""
+    cols = tiles.column_counts(tiles.pack(a, width), width)
+    flipped = tiles.pack(b, width, by="col").select(F.col("bcol").alias("brow"), F.col("brow").alias("bcol"), "r", "word")
+    rows = tiles.column_counts(flipped, width).select("blk", F.col("counts").alias("more"))
+    dot = F.reduce(F.zip_with("counts", "more", lambda x, y: x * y), F.lit(0).cast("long"), lambda s, x: s + x)
+    return cols.join(rows, "blk").agg(F.coalesce(F.sum(dot), F.lit(0)).cast("long").alias("total"))
+
 
-    Each masked place (i, k) is joined with row i of A, and the pair (j, k) looked up in B.
+def _masked_pairs(a: DataFrame, b: DataFrame, mask: DataFrame) -> DataFrame:
+    """(i, k) once for each j with A[i, j] and B[j, k], at the mask's places.
+
+    The mask comes first, so no other entry is made; each place walks along the shorter one of A's row and B's column, and
+    looks the other edge up, so that hubs are not walked along from every neighbour.
     """
     wanted, left, right = _renamed(mask, "i", "k"), _renamed(a, "i", "j"), _renamed(b, "j", "k")
-    return wanted.join(left, "i").join(right, ["j", "k"]).groupBy(F.col("i").alias("src"), F.col("k").alias("dst")).agg(F.count("*").alias("val"))
+    rows, cols = left.groupBy("i").agg(F.count("*").alias("di")), right.groupBy("k").agg(F.count("*").alias("dk"))
+    sized = wanted.join(rows, "i").join(cols, "k")
+    by_row = sized.where("di <= dk").select("i", "k").join(left, "i").join(right, ["j", "k"]).select("i", "k")
+    by_col = sized.where("di > dk").select("i", "k").join(right, "k").join(left, ["i", "j"]).select("i", "k")
+    return by_row.unionByName(by_col)
+
+
+def mxm_masked(a: DataFrame, b: DataFrame, mask: DataFrame) -> DataFrame:
+    """Counting product at the places of the mask only."""
+    return _masked_pairs(a, b, mask).groupBy(F.col("i").alias("src"), F.col("k").alias("dst")).agg(F.count("*").alias("val"))
 
 
 def mxm_masked_sum(a: DataFrame, b: DataFrame, mask: DataFrame) -> DataFrame:
-    wanted, left, right = _renamed(mask, "i", "k"), _renamed(a, "i", "j"), _renamed(b, "j", "k")
-    return wanted.join(left, "i").join(right, ["j", "k"]).agg(F.count("*").alias("total"))
+    return _masked_pairs(a, b, mask).agg(F.count("*").alias("total"))
 
 
 def mxm_masked_sum_packed(a: DataFrame, b: DataFrame, mask: DataFrame, width: int = 64) -> DataFrame:

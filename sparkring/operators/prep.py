@@ -79,22 +79,26 @@ def adjacency(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src").agg(F.sort_array(F.collect_list("dst")).alias("neighbors"))
 
 
-def row_pointers(edges: DataFrame, buckets: int = 4096) -> DataFrame:
-    """(v, start, degree) of every vertex with an edge: the exclusive prefix sum of degrees in id order.
+def running(rows: DataFrame, key: str, value: str, name: str, buckets: int = 4096) -> DataFrame:
+    """The rows with the sum of `value` over all rows of a smaller `key` (distinct, not negative).
 
-    Two levels: sums over ranges of ids, of which there are `buckets` at most, then within each range, so that no task
+    Two levels: sums over ranges of keys, of which there are `buckets` at most, then within each range, so that no task
     sees all rows.
     """
-    degree = out_degree(edges)
-    top = degree.agg((F.max("v") + 1).alias("top"))
-    width = F.greatest(F.lit(1), F.ceil(F.col("top") / buckets))
-    ranged = degree.join(F.broadcast(top), how="left").withColumn("range", F.floor(F.col("v") / width)).drop("top")
-    totals = ranged.groupBy("range").agg(F.sum("degree").alias("total"))
-    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("range", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("range").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum("degree").over(inside), F.lit(0)) + F.col("offset")
-    return ranged.join(offsets, "range").select("v", start.cast("long").alias("start"), "degree")
+    top = rows.agg((F.max(key) + 1).alias("_top"))
+    width = F.greatest(F.lit(1), F.ceil(F.col("_top") / buckets))
+    ranged = rows.join(F.broadcast(top), how="left").withColumn("_range", F.floor(F.col(key) / width)).drop("_top")
+    totals = ranged.groupBy("_range").agg(F.sum(value).alias("_total"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_range", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset"))
+    inside = Window.partitionBy("_range").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(value).over(inside), F.lit(0)) + F.col("_offset")
+    return ranged.join(offsets, "_range").withColumn(name, start.cast("long")).drop("_range", "_offset")
+
+
+def row_pointers(edges: DataFrame, buckets: int = 4096) -> DataFrame:
+    """(v, start, degree) of every vertex with an edge: the exclusive prefix sum of degrees in id order."""
+    return running(out_degree(edges), "v", "degree", "start", buckets).select("v", "start", "degree")
 
 
 def block_row_counts(edges: DataFrame, width: int) -> DataFrame:

@@ -37,10 +37,25 @@ def pack_set(members: DataFrame, width: int = 32) -> DataFrame:
     return members.groupBy(block("v", width).alias("blk")).agg(F.bit_or(bit_of("v", width)).alias("word"))
 
 
-def unpack_set(words: DataFrame, width: int = 32) -> DataFrame:
+def unpack_set(words: DataFrame, width: int = 32, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The members (v) of the words, with other columns of their words."""
     check_width(width)
     bits = words.select("*", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("bit")).where(test_bit("word", "bit", width))
-    return bits.select(F.expr(f"blk * {width} + bit").alias("v"))
+    return bits.select(F.expr(f"blk * {width} + bit").alias("v"), *keep)
+
+
+def pack_values(x: DataFrame, width: int = 32) -> DataFrame:
+    """A vector (v, val) by blocks: (blk, items), items being (bit, value) pairs, at most `width` of them."""
+    check_width(width)
+    item = F.struct(bit_of("v", width).alias("bit"), F.col("val").alias("val"))
+    return x.groupBy(block("v", width).alias("blk")).agg(F.collect_list(item).alias("items"))
+
+
+def column_counts(tiles: DataFrame, width: int = 32) -> DataFrame:
+    """(blk, counts) of row tiles: how many rows have each bit of a block column set."""
+    check_width(width)
+    ones = [F.sum(F.expr(f"shiftrightunsigned(word, {width - 1 - p}) & 1L")).alias(f"n{p}") for p in range(width)]
+    return tiles.groupBy(F.col("bcol").alias("blk")).agg(*ones).select("blk", F.array(*(f"n{p}" for p in range(width))).alias("counts"))
 
 
 def align(tiles: DataFrame, width: int = 8, to: int = 32) -> DataFrame:

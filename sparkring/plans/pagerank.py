@@ -31,16 +31,17 @@ def pagerank(edges: DataFrame, vertices: DataFrame, alpha: float = ALPHA, epsilo
     if not n:
         return Ranks(domain.withColumn("rank", F.lit(0.0)), 0, 0.0)
     degree = prep.out_degree(edges).withColumnRenamed("v", "src")
-    shares = work.put(edges.select("src", "dst").join(degree, "src").select("src", "dst", (F.lit(alpha) / F.col("degree")).alias("share")), "shares")
+    shares = work.clustered(edges.select("src", "dst").join(degree, "src").select("src", "dst", (F.lit(alpha) / F.col("degree")).alias("share")), "shares")
     ranks = domain.withColumn("rank", F.lit(1.0 / n))
     rounds, error = 0, float("inf")
     while error > epsilon and rounds < max_rounds:
         rounds += 1
-        got = shares.join(ranks, shares["src"] == ranks["v"]).groupBy(F.col("dst").alias("u")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
+        got = shares.joined(ranks).groupBy(F.col("dst").alias("u")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
         new = ranks.join(got, ranks["v"] == got["u"], "left").select("v", (F.coalesce("got", F.lit(0.0)) + (1 - alpha) / n).alias("next"), "rank")
         new = work.put(new, f"ranks-{rounds}")
         error = float(new.agg(F.sqrt(F.sum(F.pow(F.col("next") - F.col("rank"), 2))).alias("e")).first()["e"])
         if rounds > 1:
             work.drop(f"ranks-{rounds - 1}")
         ranks = new.select("v", F.col("next").alias("rank"))
+    shares.forget()
     return Ranks(ranks, rounds, error)

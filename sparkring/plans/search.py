@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import linalg, vector
+from ..operators import linalg, prep, tiles, vector
 from ..workspace import Workspace
 
 MAX_ROUNDS = 10_000
@@ -19,12 +19,13 @@ def bfs(edges: DataFrame, source: int = 0, max_rounds: int = MAX_ROUNDS) -> tupl
     """
     spark = edges.sparkSession
     work = Workspace(spark, "bfs")
-    edges = work.put(edges.select("src", "dst"), "edges")  # every round reads them
+    edges = work.clustered(edges.select("src", "dst"), "edges")  # every round reads them
     frontier = spark.createDataFrame([(int(source),)], "v long")
     visited = work.put(frontier.withColumn("level", F.lit(0)), "level-0")
     parts, counts = ["level-0"], []
     for depth in range(1, max_rounds + 1):
-        new = linalg.mxv_bool(edges, frontier, mask=visited.select("v"))
+        reached = edges.joined(frontier).select(F.col("dst").alias("v")).distinct()
+        new = linalg.masked(reached, visited.select("v"), complement=True)
         new = work.put(new.withColumn("level", F.lit(depth)), f"level-{depth}")
         counts.append(new.count())
         if not counts[-1]:
@@ -36,9 +37,32 @@ def bfs(edges: DataFrame, source: int = 0, max_rounds: int = MAX_ROUNDS) -> tupl
             visited = work.put(visited, f"visited-{depth}")
             work.drop(*(x for x in parts if x != f"level-{depth}"))
             parts = [f"visited-{depth}"]
+    edges.forget()
     return visited, counts
 
 
+def bfs_packed(edges: DataFrame, source: int = 0, width: int = 32, max_rounds: int = MAX_ROUNDS) -> tuple[DataFrame, list[int]]:
+    """The same search on tiles: each round is a boolean product of the transposed tiles and the packed frontier, masked by
+    the packed visited set."""
+    spark = edges.sparkSession
+    work = Workspace(spark, "bfs-packed")
+    matrix = work.put(tiles.pack(prep.transpose(edges.select("src", "dst")), width), "tiles")
+    frontier = tiles.pack_set(spark.createDataFrame([(int(source),)], "v long"), width)
+    visited = work.put(frontier, "visited-0")
+    levels, counts = [work.put(frontier.withColumn("level", F.lit(0)), "levels/at=0")], []
+    for depth in range(1, max_rounds + 1):
+        new = work.put(linalg.mxv_bool_packed(matrix, frontier, visited, width).withColumn("level", F.lit(depth)), f"levels/at={depth}")
+        counts.append(int(vector.popcount_words(new).first()["total"] or 0))
+        if not counts[-1]:
+            break
+        levels.append(new)
+        frontier = new.select("blk", "word")
+        visited = work.put(vector.union_words(visited, frontier), f"visited-{depth}")
+        work.drop(f"visited-{depth - 1}")
+    every = spark.read.schema("blk long, word long, level int").parquet(work.path("levels"))
+    return tiles.unpack_set(every, width, keep=("level",)), counts
+
+
 def sssp(edges: DataFrame, source: int = 0, max_rounds: int = MAX_ROUNDS) -> tuple[DataFrame, int]:
     """(v, dist) of the vertices that the source reaches, by min-plus products, and the rounds run.
 
@@ -49,13 +73,13 @@ def sssp(edges: DataFrame, source: int = 0, max_rounds: int = MAX_ROUNDS) -> tup
     has_weight = "weight" in edges.columns
     length = F.col("weight") if has_weight else F.lit(1).cast("long")
     kind = "double" if has_weight else "long"
-    lengths = work.put(edges.select("src", "dst", length.cast(kind).alias("weight")), "edges")  # every round reads them
+    lengths = work.clustered(edges.select("src", "dst", length.cast(kind).alias("weight")), "edges")  # every round reads them
     dist = spark.createDataFrame([(int(source),)], "v long").withColumn("val", F.lit(0).cast(kind))
     frontier = dist
     rounds = 0
     while rounds < max_rounds:
         rounds += 1
-        step = lengths.join(frontier, lengths["src"] == frontier["v"]).groupBy(F.col("dst").alias("v")).agg(F.min(F.col("val") + F.col("weight")).alias("new"))
+        step = lengths.joined(frontier).groupBy(F.col("dst").alias("v")).agg(F.min(F.col("val") + F.col("weight")).alias("new"))
         old = dist.select(F.col("v").alias("known"), F.col("val").alias("old"))
         better = step.join(old, step["v"] == old["known"], "left").where("old is null or new < old").select("v", F.col("new").alias("val"))
         better = work.put(better, f"better-{rounds}")
@@ -64,4 +88,5 @@ def sssp(edges: DataFrame, source: int = 0, max_rounds: int = MAX_ROUNDS) -> tup
         dist = work.put(vector.minimum(dist, better), f"dist-{rounds}")
         work.drop(f"dist-{rounds - 1}", f"better-{rounds - 1}")
         frontier = better
+    lengths.forget()
     return dist.select("v", F.col("val").alias("dist")), rounds

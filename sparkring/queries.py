@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from .functions import bits, semiring
 from .operators import balance, linalg, prep, tiles, vector, verify
 from .plans import components, pagerank, search, triangles
-from .sources import dense, graphs
+from .sources import dense, graphs, matrix_market
+from .workspace import Workspace
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -137,11 +138,20 @@ _register(
         CAST(coalesce(sum(DISTINCT CASE WHEN dst % 64 >= 32 THEN CAST(1 AS BIGINT) << CAST(63 - dst % 64 AS INTEGER) END), 0) AS BIGINT) AS low
         FROM e GROUP BY 1, 2, 3""",
 )
+for _w in (4, 8, 16, 32):
+    _register(
+        f"tile_pack_col_{_w}",
+        lambda s, d, w=_w: tiles.pack(graphs.copart(s, d), w, by="col"),
+        _E + f"""SELECT src // {_w} AS brow, dst // {_w} AS bcol, CAST(dst % {_w} AS INTEGER) AS r,
+            bit_or(CAST(1 AS BIGINT) << CAST({_w - 1} - src % {_w} AS INTEGER)) AS word FROM e GROUP BY 1, 2, 3""",
+    )
 _register(
-    "tile_pack_col_32",
-    lambda s, d: tiles.pack(graphs.copart(s, d), 32, by="col"),
-    _E + """SELECT src // 32 AS brow, dst // 32 AS bcol, CAST(dst % 32 AS INTEGER) AS r,
-        bit_or(CAST(1 AS BIGINT) << CAST(31 - src % 32 AS INTEGER)) AS word FROM e GROUP BY 1, 2, 3""",
+    "tile_pack_col_64",
+    lambda s, d: _halved(tiles.pack(graphs.copart(s, d), 64, by="col")),
+    _E + """SELECT src // 64 AS brow, dst // 64 AS bcol, CAST(dst % 64 AS INTEGER) AS r,
+        CAST(coalesce(sum(DISTINCT CASE WHEN src % 64 < 32 THEN CAST(1 AS BIGINT) << CAST(31 - src % 64 AS INTEGER) END), 0) AS BIGINT) AS high,
+        CAST(coalesce(sum(DISTINCT CASE WHEN src % 64 >= 32 THEN CAST(1 AS BIGINT) << CAST(63 - src % 64 AS INTEGER) END), 0) AS BIGINT) AS low
+        FROM e GROUP BY 1, 2, 3""",
 )
 _register(
     "vector_pack_32",
@@ -194,16 +204,9 @@ for _w in (4, 8, 16, 32, 64):
 _register("bmv_staged", lambda s, d: linalg.mxv(graphs.copart(s, d), linalg.staged(_set(s, d))), _BMV)
 _register("bmv_salted", lambda s, d: balance.salted_count(graphs.copart(s, d), _set(s, d)), _BMV)
 _register("vxm_count", lambda s, d: linalg.vxm(_set(s, d), graphs.custsupp(s, d)), f"SELECT dst AS v, count(*) AS val FROM ({_CUSTSUPP}) WHERE src IN (SELECT v FROM {_X}) GROUP BY dst")
-_register("bmv_or", lambda s, d: linalg.mxv_bool(graphs.copart(s, d), _set(s, d).where("v < 30")), _E + f"SELECT DISTINCT dst AS v FROM e JOIN {_X} x ON src = x.v WHERE x.v < 30")
+_register("bmv_or", lambda s, d: linalg.mxv_bool(graphs.copart(s, d), _set(s, d)), _E + f"SELECT DISTINCT dst AS v FROM e JOIN {_X} x ON src = x.v")
 _register(
     "bmv_or_masked",
-    lambda s, d: linalg.mxv_bool(graphs.copart(s, d), _set(s, d).where("v < 30"), mask=graphs.parts(s, d).where("v % 2 = 0")),
-    _E + f"SELECT DISTINCT dst AS v FROM e JOIN {_X} x ON src = x.v WHERE x.v < 30 AND dst % 2 <> 0",
-)
-# The two above begin with ids below 30; these with the whole set.
-_register("bmv_or_whole", lambda s, d: linalg.mxv_bool(graphs.copart(s, d), _set(s, d)), _E + f"SELECT DISTINCT dst AS v FROM e JOIN {_X} x ON src = x.v")
-_register(
-    "bmv_or_masked_whole",
     lambda s, d: linalg.mxv_bool(graphs.copart(s, d), _set(s, d), mask=graphs.parts(s, d).where("v % 2 = 0")),
     _E + f"SELECT DISTINCT dst AS v FROM e JOIN {_X} x ON src = x.v WHERE dst % 2 <> 0",
 )
@@ -228,37 +231,57 @@ def mxv_plustimes(spark: SparkSession, d: str) -> DataFrame:
     return linalg.vxm(_a(spark, d), weighted, semiring.PLUS_TIMES).select("v", F.round("val", 8).alias("val"))
 
 
+# The same products on tiles.  copart has both directions of each edge, so its tiles serve as their own transposes.
+_OR = _E + f"SELECT DISTINCT dst AS v FROM e JOIN {_X} x ON src = x.v"
+for _w in (4, 8, 16, 32, 64):
+    _register(
+        f"bmv_or_packed_{_w}",
+        lambda s, d, w=_w: tiles.unpack_set(linalg.mxv_bool_packed(tiles.pack(prep.transpose(graphs.copart(s, d)), w), tiles.pack_set(_set(s, d), w), None, w), w),
+        _OR,
+    )
+    _register(
+        f"bmv_or_masked_packed_{_w}",
+        lambda s, d, w=_w: tiles.unpack_set(
+            linalg.mxv_bool_packed(tiles.pack(prep.transpose(graphs.copart(s, d)), w), tiles.pack_set(_set(s, d), w), tiles.pack_set(graphs.parts(s, d).where("v % 2 = 0"), w), w), w
+        ),
+        _OR + " WHERE dst % 2 <> 0",
+    )
+    _register(
+        f"mxv_minplus_packed_{_w}",
+        lambda s, d, w=_w: linalg.mxv_values_packed(tiles.pack(graphs.copart(s, d), w), tiles.pack_values(_a(s, d), w), semiring.MIN_PLUS, w),
+        ORACLES["mxv_minplus"],
+    )
+    _register(
+        f"mxv_minsecond_packed_{_w}",
+        lambda s, d, w=_w: linalg.mxv_values_packed(tiles.pack(graphs.copart(s, d), w), tiles.pack_values(_a(s, d), w), semiring.MIN_SECOND, w),
+        ORACLES["mxv_minsecond"],
+    )
+
+    def _plustimes(spark: SparkSession, d: str, w: int = _w) -> DataFrame:
+        """All entries of a column weigh the same, so the vector bears the weights."""
+        edges = graphs.copart(spark, d)
+        scaled = _a(spark, d).join(prep.out_degree(edges), "v").select("v", (F.col("val") * (F.lit(0.85) / F.col("degree"))).alias("val"))
+        out = linalg.mxv_values_packed(tiles.pack(prep.transpose(edges), w), tiles.pack_values(scaled, w), semiring.PLUS_TIMES, w)
+        return out.select("v", F.round("val", 8).alias("val"))
+
+    _register(f"mxv_plustimes_packed_{_w}", _plustimes, ORACLES["mxv_plustimes"])
+
+
 # Matrix by matrix.
 _SUM = "SELECT count(*) AS total FROM l a JOIN l b ON a.dst = b.dst"
 _register("bmm_sum", lambda s, d: linalg.mxm_sum(_lower(s, d), prep.transpose(_lower(s, d))), _L + _SUM)
 _register("bmm_sum_pairs", lambda s, d: linalg.mxm_sum_pairs(_lower(s, d), prep.transpose(_lower(s, d))), _L + _SUM)
-_register(
-    "bmm_numeric",
-    lambda s, d: linalg.mxm(prep.tril(graphs.copart(s, d, 25)), prep.transpose(prep.tril(graphs.copart(s, d, 25)))),
-    f"WITH e AS ({_COPART} AND a.l_quantity >= 25 AND b.l_quantity >= 25), l AS (SELECT * FROM e WHERE dst <= src) SELECT a.src, b.src AS dst, count(*) AS val FROM l a JOIN l b ON a.dst = b.dst GROUP BY 1, 2",
-)
-_register(
-    "bmm_bool",
-    lambda s, d: linalg.mxm_bool(graphs.copart(s, d, 40), graphs.copart(s, d, 40)),
-    f"WITH e AS ({_COPART} AND a.l_quantity >= 40 AND b.l_quantity >= 40) SELECT DISTINCT a.src, b.dst FROM e a JOIN e b ON a.dst = b.src",
-)
+_register("bmm_numeric", lambda s, d: linalg.mxm(_lower(s, d), prep.transpose(_lower(s, d))), _L + "SELECT a.src, b.src AS dst, count(*) AS val FROM l a JOIN l b ON a.dst = b.dst GROUP BY 1, 2")
+_register("bmm_bool", lambda s, d: linalg.mxm_bool(graphs.copart(s, d), graphs.copart(s, d)), _E + "SELECT DISTINCT a.src, b.dst FROM e a JOIN e b ON a.dst = b.src")
 _register(
     "bmm_weighted",
-    lambda s, d: linalg.mxm_weighted(
-        graphs.copart(s, d, 45).withColumn("weight", (F.col("src") % 7).cast("double")), graphs.copart(s, d, 45).withColumn("weight", (F.col("dst") % 5).cast("double"))
-    ),
-    f"WITH e AS ({_COPART} AND a.l_quantity >= 45 AND b.l_quantity >= 45) SELECT a.src, b.dst, sum(CAST(a.src % 7 AS DOUBLE) * CAST(b.dst % 5 AS DOUBLE)) AS val FROM e a JOIN e b ON a.dst = b.src GROUP BY 1, 2",
-)
-# The three products above take lines of a least quantity; these take the whole graph.
-_register("bmm_numeric_whole", lambda s, d: linalg.mxm(_lower(s, d), prep.transpose(_lower(s, d))), _L + "SELECT a.src, b.src AS dst, count(*) AS val FROM l a JOIN l b ON a.dst = b.dst GROUP BY 1, 2")
-_register("bmm_bool_whole", lambda s, d: linalg.mxm_bool(graphs.copart(s, d), graphs.copart(s, d)), _E + "SELECT DISTINCT a.src, b.dst FROM e a JOIN e b ON a.dst = b.src")
-_register(
-    "bmm_weighted_whole",
     lambda s, d: linalg.mxm_weighted(
         graphs.copart(s, d).withColumn("weight", (F.col("src") % 7).cast("double")), graphs.copart(s, d).withColumn("weight", (F.col("dst") % 5).cast("double"))
     ),
     _E + "SELECT a.src, b.dst, sum(CAST(a.src % 7 AS DOUBLE) * CAST(b.dst % 5 AS DOUBLE)) AS val FROM e a JOIN e b ON a.dst = b.src GROUP BY 1, 2",
 )
+for _w in (4, 8, 16, 32, 64):
+    _register(f"bmm_sum_packed_{_w}", lambda s, d, w=_w: linalg.mxm_sum_packed(_lower(s, d), prep.transpose(_lower(s, d)), w), _L + _SUM)
 _register(
     "bmm_symbolic",
     lambda s, d: linalg.mxm_symbolic(_lower(s, d), prep.transpose(_lower(s, d)), 32),
@@ -271,9 +294,26 @@ _register(
     _L + "SELECT m.src, m.dst, count(*) AS val FROM l m JOIN l a ON a.src = m.src JOIN l b ON b.src = m.dst AND b.dst = a.dst GROUP BY 1, 2",
 )
 _MASKED = _L + "SELECT count(*) AS total FROM l m JOIN l a ON a.src = m.src JOIN l b ON b.src = m.dst AND b.dst = a.dst"
-_register("bmm_masked_sum", lambda s, d: linalg.mxm_masked_sum(_lower(s, d), prep.transpose(_lower(s, d)), _lower(s, d)), _MASKED)
-for _w in (4, 32, 64):
-    _register(f"bmm_masked_packed_{_w}", lambda s, d, w=_w: linalg.mxm_masked_sum_packed(_lower(s, d), prep.transpose(_lower(s, d)), _lower(s, d), w), _MASKED)
+
+
+def _written_lower(spark: SparkSession, d: str) -> DataFrame:
+    """The lower triangle, which a masked product reads several times, written once."""
+    return Workspace(spark, "lower").put(_lower(spark, d), "edges")
+
+
+@query(_MASKED)
+def bmm_masked_sum(spark: SparkSession, d: str) -> DataFrame:
+    lower = _written_lower(spark, d)
+    return linalg.mxm_masked_sum(lower, prep.transpose(lower), lower)
+
+
+def _masked_packed(spark: SparkSession, d: str, width: int) -> DataFrame:
+    lower = _written_lower(spark, d)
+    return linalg.mxm_masked_sum_packed(lower, prep.transpose(lower), lower, width)
+
+
+for _w in (4, 8, 16, 32, 64):
+    _register(f"bmm_masked_packed_{_w}", lambda s, d, w=_w: _masked_packed(s, d, w), _MASKED)
 _register(
     "dense_product",
     lambda s, d: linalg.dense_product(dense.generate(s, 32), dense.generate(s, 32)),
@@ -350,7 +390,15 @@ _register(
     lambda s, d: balance.split(_loads(s, d), 1000),
     _LOADS + "SELECT brow, k * 1000 AS start, least(1000, load - k * 1000) AS load FROM (SELECT brow, load, CAST(unnest(range((load - 1) // 1000 + 1)) AS BIGINT) AS k FROM b)",
 )
-_register("workload_merge", lambda s, d: balance.merge(_loads(s, d), 10_000), None)
+_register(
+    "workload_merge",
+    lambda s, d: balance.merge(_loads(s, d), 10_000),
+    _LOADS.replace("WITH", "WITH RECURSIVE", 1) + """, n AS MATERIALIZED (SELECT row_number() OVER (ORDER BY brow) AS k, brow, load FROM b),
+        r AS (SELECT k, 0 AS unit, greatest(0, 10000 - load) AS room FROM n WHERE k = 1 UNION ALL
+            SELECT n.k, unit + CAST(room = 0 OR load > room AND room < 10000 AS INTEGER), greatest(0, CASE WHEN room = 0 OR load > room AND room < 10000 THEN 10000 ELSE room END - load)
+            FROM r JOIN n ON n.k = r.k + 1)
+        SELECT CAST(unit AS BIGINT) AS unit, brow, CAST(0 AS BIGINT) AS start, CAST(load AS BIGINT) AS load FROM r JOIN n USING (k)""",
+)
 _CUT = _LOADS + """, p AS (SELECT brow, load AS n, CAST(coalesce(sum(load) OVER (ORDER BY brow ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM b),
     c AS (SELECT brow, n, before, CAST(unnest(range(before // 1000, (before + n - 1) // 1000 + 1)) AS BIGINT) AS unit FROM p),
     u AS (SELECT unit, brow, greatest(0, unit * 1000 - before) AS start, least(n, (unit + 1) * 1000 - before) - greatest(0, unit * 1000 - before) AS load FROM c) """
@@ -371,8 +419,10 @@ _register(
 _register("compare_packed", lambda s, d: verify.packed_mismatches(tiles.pack_set(_set(s, d), 32), _set(s, d), 32), "SELECT CAST(0 AS BIGINT) AS errors")
 
 # Algorithms.
-_BFS = f"WITH RECURSIVE e AS MATERIALIZED ({_COPART}), b(v, l) AS (SELECT CAST(0 AS BIGINT), 0 UNION SELECT e.dst, l + 1 FROM b JOIN e ON e.src = b.v WHERE l < 6) "
+_BFS = f"WITH RECURSIVE e AS MATERIALIZED ({_COPART}), b(v, l) AS (SELECT CAST(0 AS BIGINT), 0 UNION SELECT e.dst, l + 1 FROM b JOIN e ON e.src = b.v WHERE l < 40) "
 _register("bfs_levels", lambda s, d: search.bfs(graphs.copart(s, d), 0)[0], _BFS + "SELECT v, min(l) AS level FROM b GROUP BY v")
+for _w in (4, 32, 64):
+    _register(f"bfs_packed_{_w}", lambda s, d, w=_w: search.bfs_packed(graphs.copart(s, d), 0, w)[0], ORACLES["bfs_levels"])
 _register("bfs_counts", lambda s, d: search.bfs(graphs.copart(s, d), 0)[0].groupBy("level").agg(F.count("*").alias("n")), _BFS + "SELECT level, count(*) AS n FROM (SELECT v, min(l) AS level FROM b GROUP BY v) GROUP BY level")
 _register("sssp_unit", lambda s, d: search.sssp(graphs.copart(s, d), 0)[0], _BFS + "SELECT v, CAST(min(l) AS BIGINT) AS dist FROM b GROUP BY v")
 
@@ -402,6 +452,11 @@ def _labels(spark: SparkSession, d: str) -> DataFrame:
 
 
 _register("cc_labels", _labels, _CC + "SELECT v, val FROM c")
+_register(
+    "cc_labels_whole",
+    lambda s, d: components.connected_components(graphs.copart(s, d), graphs.parts(s, d)),
+    _CC.replace(_COPART49, _COPART) + "SELECT v, val FROM c",
+)
 _register("cc_sizes", lambda s, d: _labels(s, d).groupBy("val").count().groupBy(F.col("count").alias("size")).agg(F.count("*").alias("n")), _CC + "SELECT size, count(*) AS n FROM (SELECT val, count(*) AS size FROM c GROUP BY val) GROUP BY size")
 _register("cc_verify", lambda s, d: verify.check_components(graphs.copart(s, d, 49), _labels(s, d)), _CC + "SELECT CAST(0 AS BIGINT) AS errors, count(DISTINCT val) AS components FROM c")
 _TRI = _E + "SELECT count(*) AS triangles FROM e a JOIN e b ON a.dst = b.src JOIN e c ON c.src = a.src AND c.dst = b.dst WHERE a.src < a.dst AND b.src < b.dst"
@@ -413,3 +468,86 @@ _register(
     _E + """, t AS (SELECT a.src AS i, a.dst AS j, b.dst AS k FROM e a JOIN e b ON a.dst = b.src JOIN e c ON c.src = a.src AND c.dst = b.dst WHERE a.src < a.dst AND b.src < b.dst)
         SELECT v, count(*) AS triangles FROM (SELECT i AS v FROM t UNION ALL SELECT j FROM t UNION ALL SELECT k FROM t) GROUP BY v""",
 )
+
+# Files, written to the shared folder and read back.
+
+
+def _file(spark: SparkSession) -> str:
+    return Workspace(spark, "files").path("file")
+
+
+def _mtx(spark: SparkSession, d: str, edges: DataFrame, **options) -> str:
+    """A Matrix Market file of edges over all parts."""
+    path, n = _file(spark), graphs.parts(spark, d).count()
+    matrix_market.write(edges, path, n, n, comment="made from the tables", **options)
+    return path
+
+
+def _weighted(spark: SparkSession, d: str) -> DataFrame:
+    return graphs.copart(spark, d).withColumn("weight", ((F.col("src") * 31 + F.col("dst")) % 17).cast("double"))
+
+
+def _cells(spark: SparkSession, rows: int, cols: int) -> DataFrame:
+    cell = spark.range(rows * cols).select(F.expr(f"id div {cols}").alias("i"), F.expr(f"id % {cols}").alias("j"))
+    return cell.withColumn("value", ((F.col("i") * 7 + F.col("j") * 3) % 5).cast("double"))
+
+
+def _text(spark: SparkSession, lines: list[str]) -> str:
+    path = _file(spark)
+    spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "k int, value string").repartition(1).sortWithinPartitions("k").select("value").write.text(path)
+    return path
+
+
+_ENTRIES = "SELECT src, dst, CAST({} AS DOUBLE) AS weight FROM ({})"
+
+
+@query(_L + ", n AS (SELECT count(*) AS n FROM part) SELECT 'MCPS' AS code, n AS rows, n AS cols, (SELECT count(*) FROM l) AS entries FROM n")
+def mtx_header(spark: SparkSession, d: str) -> DataFrame:
+    header = matrix_market.read_header(spark, _mtx(spark, d, graphs.copart(spark, d), symmetry="symmetric"))
+    return spark.createDataFrame([(header.code, header.rows, header.cols, header.entries)], "code string, rows long, cols long, entries long")
+
+
+_register("mtx_raw", lambda s, d: matrix_market.read_raw(s, _mtx(s, d, _weighted(s, d), field="real")), _ENTRIES.format("(src * 31 + dst) % 17", _COPART))
+_register("mtx_symmetric", lambda s, d: matrix_market.read_raw(s, _mtx(s, d, graphs.copart(s, d), symmetry="symmetric")), _ENTRIES.format("1", _COPART))
+_register("mtx_edges", lambda s, d: matrix_market.read_edges(s, _mtx(s, d, prep.tril(graphs.copart(s, d))), directed=2), _COPART)
+_register("mtx_directed", lambda s, d: matrix_market.read_edges(s, _mtx(s, d, graphs.copart(s, d), symmetry="symmetric"), directed=1), _L + "SELECT * FROM l")
+_register(
+    "mtx_loops",
+    lambda s, d: matrix_market.read_edges(s, _mtx(s, d, graphs.nationtrade(s, d)), drop_self_loops=False),
+    _TRADE,
+)
+_register("mtx_cached", lambda s, d: matrix_market.cached(s, _mtx(s, d, graphs.copart(s, d)), Workspace(s, "cache").root), _COPART)
+
+
+@query("SELECT i // 30 AS src, i % 30 AS dst, CAST((i // 30 * 7 + i % 30 * 3) % 5 AS DOUBLE) AS weight FROM range(1200) t(i) WHERE (i // 30 * 7 + i % 30 * 3) % 5 <> 0")
+def mtx_array(spark: SparkSession, d: str) -> DataFrame:
+    path = _file(spark)
+    matrix_market.write_array(_cells(spark, 40, 30), path, 40, 30)
+    return matrix_market.read_raw(spark, path)
+
+
+for _kind, _least, _sign in (("symmetric", "greatest(i // 40, i % 40) * 7 + least(i // 40, i % 40) * 3", 1), ("skew-symmetric", "greatest(i // 40, i % 40) * 7 + least(i // 40, i % 40) * 3", -1)):
+
+    def _array(spark: SparkSession, d: str, kind: str = _kind) -> DataFrame:
+        path = _file(spark)
+        matrix_market.write_array(_cells(spark, 40, 40), path, 40, 40, kind)
+        return matrix_market.read_raw(spark, path)
+
+    _register(
+        f"mtx_array_{_kind.partition('-')[0]}",
+        _array,
+        f"""SELECT i // 40 AS src, i % 40 AS dst, CAST(({_least}) % 5 * CASE WHEN i // 40 < i % 40 THEN {_sign} ELSE 1 END AS DOUBLE) AS weight
+            FROM range(1600) t(i) WHERE ({_least}) % 5 <> 0 {"AND i // 40 <> i % 40" if _sign < 0 else ""}""",
+    )
+
+
+@query("SELECT i // 30 AS i, i % 30 AS j, CAST((i // 30 * 7 + i % 30 * 3) % 5 AS DOUBLE) AS value FROM range(1200) t(i)")
+def dense_csv(spark: SparkSession, d: str) -> DataFrame:
+    path = _file(spark)
+    dense.write(_cells(spark, 40, 30), path)
+    return dense.read(spark, path, 30)
+
+
+@query("SELECT CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, CAST(value AS DOUBLE) AS value FROM (VALUES (0, 2, 1), (0, 3, 0), (1, 2, 0), (1, 3, 1), (2, 0, 2), (2, 1, 0), (3, 0, 0), (3, 1, 3), (2, 4, 0), (2, 5, 4), (3, 4, 5), (3, 5, 0)) t(i, j, value)")
+def bsr_csv(spark: SparkSession, d: str) -> DataFrame:
+    return dense.read_blocks(spark, _text(spark, ["4", "0,1,3,3"]), _text(spark, ["3", "1", "0", "2"]), _text(spark, ["1,0,0,1", "2,0,0,3", "0,4,5,0"]), 2)

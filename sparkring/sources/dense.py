@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .lines import numbered
+
 
 def generate(spark: SparkSession, n: int = 32) -> DataFrame:
     """(i, j, value) of an n x n matrix whose first column is 1 and the rest 0."""
@@ -18,12 +20,12 @@ def write(matrix: DataFrame, path: str) -> None:
 
 def _numbers(spark: SparkSession, path: str) -> DataFrame:
     """(k, value): the numbers of one file in order, separated by commas or line ends."""
-    whole = spark.read.text(path, wholetext=True)
-    return whole.select(F.posexplode(F.expr(r"filter(split(value, '[,\\s]+'), x -> x <> '')")).alias("k", "x")).select("k", F.col("x").cast("double").alias("value"))
+    words = spark.read.text(path).select(F.explode(F.expr(r"filter(split(value, '[,\\s]+'), x -> x <> '')")).alias("x"))
+    return numbered(words).select("k", F.col("x").cast("double").alias("value"))
 
 
 def read(spark: SparkSession, path: str, cols: int) -> DataFrame:
-    """(i, j, value) of a dense file; files of this kind are small (one row of text each)."""
+    """(i, j, value) of a dense file."""
     return _numbers(spark, path).select(F.expr(f"cast(k div {cols} as long)").alias("i"), F.expr(f"cast(k % {cols} as long)").alias("j"), "value")
 
 
@@ -37,7 +39,3 @@ def read_blocks(spark: SparkSession, pointers: str, columns: str, blocks: str, w
     values = _numbers(spark, blocks).select(F.expr(f"cast(k div {size} as long)").alias("at"), F.expr(f"k % {size}").alias("cell"), "value")
     joined = rows.join(cols, "at").join(values, "at")
     return joined.select(F.expr(f"brow * {width} + cell div {width}").cast("long").alias("i"), F.expr(f"bcol * {width} + cell % {width}").cast("long").alias("j"), "value")
-
-
-def row_numbers(df: DataFrame, *order: str) -> DataFrame:
-    return df.withColumn("k", F.row_number().over(Window.orderBy(*order)) - 1)

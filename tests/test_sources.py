@@ -182,7 +182,7 @@ def test_products_of_the_whole_graph(spark, tmp_path):
     weighted = Counter()
     for i, _, k in paths:
         weighted[i, k] += (i % 7) * (k % 5)
-    got = {x: QUERIES[f"bmm_{x}_whole"](spark, str(tmp_path)) for x in ("numeric", "bool", "weighted")}
+    got = {x: QUERIES[f"bmm_{x}"](spark, str(tmp_path)) for x in ("numeric", "bool", "weighted")}
     assert rows(got["numeric"]) == sorted((*k, v) for k, v in numeric.items()) and numeric
     assert rows(got["bool"]) == sorted({(i, k) for i, _, k in paths})
     assert rows(got["weighted"]) == sorted((*k, float(v)) for k, v in weighted.items())
@@ -195,5 +195,5 @@ def test_boolean_product_of_the_whole_set(spark, tmp_path):
     spark.createDataFrame(lines, "l_orderkey long, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
     spark.createDataFrame([(v,) for v in range(50)], "p_partkey long").write.parquet(str(tmp_path / "part.parquet"))
     want = {b for o, a in lines for o2, b in lines if o == o2 and a != b and a % 3 == 0}
-    assert rows(QUERIES["bmv_or_whole"](spark, str(tmp_path))) == sorted((v,) for v in want) and want
-    assert rows(QUERIES["bmv_or_masked_whole"](spark, str(tmp_path))) == sorted((v,) for v in want if v % 2)
+    assert rows(QUERIES["bmv_or"](spark, str(tmp_path))) == sorted((v,) for v in want) and want
+    assert rows(QUERIES["bmv_or_masked"](spark, str(tmp_path))) == sorted((v,) for v in want if v % 2)
