@@ -27,7 +27,7 @@ from . import fold, tables, words
 
 #: Least and most buckets of the sketch (a power of two, one for each so many bytes of text): 4 bytes each are broadcast.
 SKETCH = 1 << 22, 1 << 24
-SKETCH_BYTES = 128
+SKETCH_BYTES = 512
 MOST_MATCHES = 4
 SHORT_LIST = 64
 #: A shingle is common, and not dealt out by key, if its bucket holds more than the usual one by all of: so many documents,
