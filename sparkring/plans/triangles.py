@@ -28,10 +28,10 @@ def oriented(edges: DataFrame) -> DataFrame:
 
 
 def count(edges: DataFrame) -> DataFrame:
-    """One row (triangles): wedges of oriented edges that a third one closes."""
-    up = oriented(edges)
-    wanted, left, right = (up.select(F.col("src").alias(x), F.col("dst").alias(y)) for x, y in (("i", "k"), ("i", "j"), ("j", "k")))
-    return wanted.join(left, "i").join(right, ["j", "k"]).agg(F.count("*").alias("triangles"))
+    """One row (triangles): the masked sum of L times its transpose at L's places, each of which walks along the shorter row."""
+    work = Workspace(edges.sparkSession, "triangles")
+    lower = work.put(prep.tril(prep.drop_loops(edges)).select("src", "dst"), "lower")
+    return linalg.mxm_masked_sum(lower, prep.transpose(lower), lower).select(F.col("total").alias("triangles"))
 
 
 def count_packed(edges: DataFrame, width: int = 64) -> DataFrame:
