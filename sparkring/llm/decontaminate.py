@@ -11,7 +11,7 @@ repeated until the expected recall at the largest distance reaches the target.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -54,23 +54,33 @@ def allowed(size: int, share: float) -> int:
     return int(size * share + 1e-9) if size >= SHORT else 0
 
 
+@lru_cache(256)
 def repetitions(share: float, recall: float, size: int = 40, trials: int = 400) -> int:
-    """Tables for the recall, from the rate of collisions at the largest distance, measured on random edits."""
-    rng = np.random.default_rng(7)
-    rate = 0.0
-    for t in range(trials // 20):
-        x = rng.integers(1, 1 << 63, (20, size), dtype=np.uint64)
-        y = np.stack([edited(row, allowed(size, share), rng)[:size] for row in x])
-        places = sample(size, t)
-        rate += float((walk(x, places, t) == walk(y, places, t)).mean()) / (trials // 20)
-    return max(1, int(np.ceil(np.log(1 - recall) / np.log(max(1e-9, 1 - max(rate, 0.02))))))
-
-
-def edited(row: np.ndarray, edits: int, rng: np.random.Generator) -> np.ndarray:
-    """A row of words after so many random edits, filled up to its size."""
+    """Tables for the recall, from the rate of collisions at the largest distance, measured on random edits: the lower one
+    of edits of all kinds and of changed words alone."""
+    rates = []
+    for kinds in (3, 1):
+        rng = np.random.default_rng(7)
+        rate = 0.0
+        for t in range(trials // 20):
+            x = rng.integers(1, 1 << 63, (20, size), dtype=np.uint64)
+            y = np.stack([edited(row, allowed(size, share), rng, kinds)[:size] for row in x])
+            places = sample(size, t)
+            rate += float((walk(x, places, t) == walk(y, places, t)).mean()) / (trials // 20)
+        rates.append(rate)
+    return max(1, int(np.ceil(np.log(1 - recall) / np.log(1 - min(max(min(rates), 0.02), 0.999)))))
+
+
+def tables_for(size: int, share: float, recall: float) -> int:
+    """Tables for items of so many words: as many as the next power of two asks for, and no fewer than a usual item."""
+    return max(repetitions(share, recall), repetitions(share, recall, 1 << max(3, (min(size, 512) - 1).bit_length())))
+
+
+def edited(row: np.ndarray, edits: int, rng: np.random.Generator, kinds: int = 3) -> np.ndarray:
+    """A row of words after so many random edits (changed words, then insertions, then deletions), filled up to its size."""
     out = row.tolist()
     for _ in range(edits):
-        at, kind = int(rng.integers(len(out))), int(rng.integers(3))
+        at, kind = int(rng.integers(len(out))), int(rng.integers(kinds))
         new = int(rng.integers(1, 1 << 62))
         out = out[:at] + ([new] if kind == 0 else [new, out[at]] if kind == 1 else []) + out[at + 1 :]
     return np.array((out + [int(v) for v in rng.integers(1, 1 << 62, len(row))])[: max(len(row), 1)], dtype=np.uint64)
@@ -100,8 +110,8 @@ def distance(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
 class Items:
     """A block of benchmark items: word hashes, and the hashed pieces of which one must be intact."""
 
-    def __init__(self, ids: list[int], texts: list[str | None], share: float, tables_: int):
-        self.share, self.tables = share, tables_
+    def __init__(self, ids: list[int], texts: list[str | None], share: float, recall: float):
+        self.share = share
         self.ids: list[int] = []
         self.words: list[np.ndarray] = []
         for w in words.split(pa.array(texts, pa.string()), lower=True, marks=False):
@@ -110,6 +120,7 @@ class Items:
                 if len(own):
                     self.ids.append(ids[w.rows.start + k])
                     self.words.append(own.copy())
+        self.tables = {n: tables_for(n, share, recall) for n in {len(x) for x in self.words}}
         pieces: dict[int, list[tuple[int, int, int]]] = {}
         for i, own in enumerate(self.words):
             k = allowed(len(own), share)
@@ -170,7 +181,7 @@ class Items:
     def _collide(self, w: words.Words, item: np.ndarray, doc: np.ndarray, begin: np.ndarray) -> np.ndarray:
         """The windows that meet the item in some table, the first of each run of neighbours."""
         n, found = len(item), []
-        for table in range(self.tables):
+        for table in range(self.tables[n]):
             if not len(doc):
                 break
             at = begin[:, None] + np.arange(n)
@@ -223,10 +234,9 @@ def _blocks(benchmark: DataFrame, share: float, recall: float) -> Iterator:
     items = tables.texts(benchmark, "item_id").where("text is not null")
     size = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     blocks = max(1, -(-size // BLOCK_BYTES))
-    count = repetitions(share, recall)
     for b in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()
-        yield spark.sparkContext.broadcast(Items([r["item_id"] for r in own], [r["text"] for r in own], share, count))
+        yield spark.sparkContext.broadcast(Items([r["item_id"] for r in own], [r["text"] for r in own], share, recall))
 
 
 def without(docs: DataFrame, benchmark: DataFrame, share: float = 0.2, recall: float = 0.99) -> DataFrame:
@@ -242,7 +252,7 @@ def passages(docs: DataFrame, benchmark: DataFrame, share: float = 0.2, recall:
     Words are runs of ASCII letters and digits and of all other characters but ASCII ones, A-Z in lower case.  An item
     of n words may differ in floor(share * n) words; items of fewer than 8 words must be met exactly, and items without
     words or without text match nothing, as do null and empty documents.  Repeated items and documents are each looked
-    for; rows with a null doc_id are reported with it.  Columns other than doc_id, item_id and text are not read.
+    for; rows with a null doc_id are reported with it.  Very long texts are searched whole, one at a time.  Columns other than doc_id, item_id and text are not read.
 
     The items go in blocks of bounded size, each in one pass over all documents, without a shuffle.
     """

@@ -232,6 +232,31 @@ def test_vectors_of_several_sizes(spark):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+# Decontamination
+
+
+@pytest.mark.parametrize("kinds", [3, 1])
+@pytest.mark.parametrize("size", [8, 20, 40, 80, 160])
+def test_recall_of_the_tables_alone(size, kinds):
+    """All item-sized windows against the tables, without the pieces: items at the largest distance are found."""
+    rng, found = np.random.default_rng(size), 0
+    count = decontaminate.tables_for(size, 0.2, 0.99)
+    for _ in range(60):
+        item, k = rng.integers(1, 1 << 62, size, dtype=np.uint64), decontaminate.allowed(size, 0.2)
+        own = item.tolist()
+        for _ in range(k):
+            at, kind, new = int(rng.integers(len(own))), int(rng.integers(kinds)), int(rng.integers(1, 1 << 62))
+            own[at : at + 1] = [[new], [new, own[at]], []][kind]
+        text = np.concatenate([rng.integers(1, 1 << 62, 30, dtype=np.uint64), np.array(own, np.uint64), rng.integers(1, 1 << 62, 30, dtype=np.uint64)])
+        own = decontaminate.Items([], [], 0.2, 0.99)
+        own.ids, own.words, own.tables = [0], [item], {size: count}
+        w = words.Words(np.array([0, len(text)]), text, None, None, None, slice(0, 1), None)
+        begin = np.arange(len(text) - size + 1)
+        hits = own._collide(w, item, np.zeros(len(begin), np.int64), begin)
+        found += any(decontaminate.distance(item, text[max(0, b - k) : b + size + k])[0] <= k for _, b in hits.tolist())
+    assert found >= 58
+
+
 # Secrets
 
 #: Written by hand, not by the generator of findings: (kind, text, path, whether there is a secret).

@@ -73,3 +73,19 @@ def test_empty_table(spark, tables, tmp_path):
     spark.read.parquet(f"{folder}/documents.parquet").limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     spark.read.parquet(f"{folder}/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_repeated_ids_and_clashing_names(spark, tmp_path):
+    """Texts that share a doc_id are documents of their own; exact rows repeat; columns of other names do not disturb."""
+    rng = random.Random(7)
+    text = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(60))
+    one, two, three, four = (text() for _ in range(4))
+    rows = [(1, one), (1, one), (1, two), (2, one), (3, three), (3, four), (4, four), (5, f"{two} x"), (None, one), (None, one)]
+    docs = spark.createDataFrame([(k, t, "aa", "s", len(t), 1, "c") for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long, key int, component_id string")
+    kept = corpus_pipeline.distinct(spark, docs, str(tmp_path))
+    assert kept.columns == COLUMNS
+    got = [(r["doc_id"], r["text"].removesuffix(" x")) for r in kept.collect()]
+    assert sorted(t for k, t in got if k is not None) == sorted([one, two, three, four]) and got.count((None, one)) == 2
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "no such passage is there at all in any of them")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 6
