@@ -229,20 +229,25 @@ def _without(shared) -> Callable:
 
 
 def _blocks(benchmark: DataFrame, share: float, recall: float) -> Iterator:
-    """Broadcasts of the items, a bounded block at a time."""
+    """Broadcasts of the items, a bounded block at a time, and whether it is the last one."""
     spark = benchmark.sparkSession
     items = tables.texts(benchmark, "item_id").where("text is not null")
     size = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     blocks = max(1, -(-size // BLOCK_BYTES))
     for b in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()
-        yield spark.sparkContext.broadcast(Items([r["item_id"] for r in own], [r["text"] for r in own], share, recall))
+        yield spark.sparkContext.broadcast(Items([r["item_id"] for r in own], [r["text"] for r in own], share, recall)), b == blocks - 1
 
 
 def without(docs: DataFrame, benchmark: DataFrame, share: float = 0.2, recall: float = 0.99) -> DataFrame:
     """The rows of `docs`, with all their columns, that hold no passage of the benchmark (see `passages`)."""
-    for block in _blocks(benchmark, share, recall):
+    work = tables.Workspace(docs.sparkSession, "without")
+    for k, (block, last) in enumerate(_blocks(benchmark, share, recall)):
         docs = docs.mapInArrow(_without(block), docs.schema)
+        if not last:  # one block at a time is held
+            docs = work.put(docs, f"block-{k}")
+            block.destroy()
+            work.drop(f"block-{k - 1}")
     return docs
 
 
@@ -254,7 +259,13 @@ def passages(docs: DataFrame, benchmark: DataFrame, share: float = 0.2, recall:
     words or without text match nothing, as do null and empty documents.  Repeated items and documents are each looked
     for; rows with a null doc_id are reported with it.  Very long texts are searched whole, one at a time.  Columns other than doc_id, item_id and text are not read.
 
-    The items go in blocks of bounded size, each in one pass over all documents, without a shuffle.
+    The items go in blocks of bounded size, each in one pass over all documents, without a shuffle; what all but the last
+    one find is written, so that one block at a time is held.
     """
-    found = [tables.texts(docs).mapInArrow(_find(block), _SCHEMA) for block in _blocks(benchmark, share, recall)]
+    work, found = tables.Workspace(docs.sparkSession, "passages"), []
+    for k, (block, last) in enumerate(_blocks(benchmark, share, recall)):
+        found.append(tables.texts(docs).mapInArrow(_find(block), _SCHEMA))
+        if not last:
+            found[-1] = work.put(found[-1], f"block-{k}")
+            block.destroy()
     return reduce(DataFrame.unionByName, found)

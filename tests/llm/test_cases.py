@@ -257,6 +257,20 @@ def test_recall_of_the_tables_alone(size, kinds):
     assert found >= 58
 
 
+def test_blocks_of_items(spark, monkeypatch):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    items = [(i, " ".join(word() for _ in range(20))) for i in range(12)]
+    docs = spark.createDataFrame([(k, f"{word()} {items[k % 12][1] if k % 2 else word()} {word()}", "x") for k in range(60)], "doc_id long, text string, key string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = {(k, k % 12) for k in range(1, 60, 2)}
+    for size in (8 << 20, 300):
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", size)
+        assert {(r["doc_id"], r["item_id"]) for r in decontaminate.passages(docs, bench).collect()} == want
+        kept = decontaminate.without(docs, bench)
+        assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == set(range(0, 60, 2))
+
+
 # Secrets
 
 #: Written by hand, not by the generator of findings: (kind, text, path, whether there is a secret).
