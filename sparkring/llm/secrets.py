@@ -24,15 +24,15 @@ from . import tables
 _NAMES = "password|passwd|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|private[_-]?key|client[_-]?secret|credential|bearer"
 _RUN = "A-Za-z0-9+/_\\-"
 _PREFIXES = "AKIA|ASIA|gh[pousr]_|sk_live_|sk-|xox[abps]-|AIza|glpat-|eyJ"
-_USER = "[a-z][a-z0-9+.\\-]{1,20}://[^\\s:/@]{0,64}:"
+_USER = "[^\\s:/@]{0,64}:"
 _PEM = "-----BEGIN (?:[A-Z0-9]{1,20} ){0,4}PRIVATE KEY(?: BLOCK)?-----"
 #: A value assigned to a secret's name; a password in a URL; a private key; a run of 16 or more characters with a digit, of
 #: 24 or more that changes case twice, or one that begins as known keys do.
 CANDIDATE = (
-    f"(?i:(?<![a-z0-9])(?:{_NAMES})s?[\"']?\\s{{0,3}}(?:[:=]|=>|\\s(?=\\S{{0,200}}[0-9]))\\s{{0,3}}[\"']?[^\\s\"',;<>(){{}}]{{8,}}+)"
-    f"|(?i:(?<![a-z0-9]){_USER})[^\\s:/@]{{4,200}}+(?=@)"
+    f"(?i:(?<![a-z0-9])(?=[abcpst])(?:{_NAMES})s?[\"']?\\s{{0,3}}(?:[:=]|=>|\\s(?=\\S{{0,200}}[0-9]))\\s{{0,3}}[\"']?[^\\s\"',;<>(){{}}]{{8,}}+)"
+    f"|(?<=://){_USER}[^\\s:/@]{{4,200}}+(?=@)"
     f"|{_PEM}[A-Za-z0-9+/=\\s]*+(?:-----END [A-Z0-9 ]{{0,60}}-----)?"
-    f"|(?<![{_RUN}])(?:(?=[A-Za-z+/_\\-]*+[0-9])|(?={_PREFIXES})|(?=[{_RUN}]{{24}})(?=[a-z+/_\\-]*+[A-Z][A-Z+/_\\-]*+[a-z][a-z+/_\\-]*+[A-Z]))[{_RUN}]{{16,}}+={{0,2}}"
+    f"|(?<![{_RUN}])(?=[{_RUN}]{{16}})(?:(?=[A-Za-z+/_\\-]*+[0-9])|(?={_PREFIXES})|(?=[{_RUN}]{{24}})(?=[a-z+/_\\-]*+[A-Z][A-Z+/_\\-]*+[a-z][a-z+/_\\-]*+[A-Z]))[{_RUN}]{{16,}}+={{0,2}}"
 )
 _VALUE = f"^(?i:(?:{_NAMES})s?[\"']?\\s{{0,3}}(?:[:=]|=>|\\s)\\s{{0,3}}[\"']?|{_USER})"
 #: Words that mark an identifier rather than a random value.
