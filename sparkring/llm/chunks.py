@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-_KEEP = 300_000
+_KEEP = 600_000
 _LONG = 256
 _STEP = 1 << 16
 _ALNUM = np.zeros(256, dtype=bool)
