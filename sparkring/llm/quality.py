@@ -188,7 +188,7 @@ def classify(docs: DataFrame, labels: DataFrame, use: Column) -> DataFrame:
 
     Null and empty texts have zero statistics and are scored from those.  Where a class has fewer than two labelled
     rows, every score is 0.5.  Repeated doc_ids keep their rows, and each copy of a labelled one counts in training;
-    a null doc_id has no label.  Columns other than doc_id, text and quality are not read.  The statistics are written
+    a null doc_id has no label.  Very long texts are read whole, one at a time; an empty table gives no rows.  Columns other than doc_id, text and quality are not read.  The statistics are written
     once; training and scoring read them from there.
     """
     work = tables.Workspace(docs.sparkSession, "quality")

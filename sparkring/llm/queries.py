@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from . import byte_bpe, decontaminate, html_text, jaccard, language, quality, repeats, secrets, token_files, topk
 from .tables import Workspace, load
 
-TOKENIZERS = "/opt/tokenizers"
-
 
 def _tokenizer_file(name: str) -> str:
     import public_tokenizers

@@ -270,7 +270,8 @@ def remove(docs: DataFrame, window: int = 35, digest: bool = False) -> DataFrame
 
     Windows are judged on the input.  Words are runs without ASCII white space, taken unchanged; what is kept is joined
     by single spaces.  Null and empty texts, and texts shorter than a window, lose nothing.  Repeated rows repeat each
-    other; a null doc_id is a document like any other.  Columns other than doc_id and text are not read.
+    other; a null doc_id is a document like any other.  Very long texts are hashed whole, one at a time; an empty table gives
+    no rows.  Columns other than doc_id and text are not read.
     """
     work = tables.Workspace(docs.sparkSession, "repeats")
     rows = _keyed(docs)
