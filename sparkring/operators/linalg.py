@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.bits import block
 from ..functions.semiring import COUNTING, Semiring
-from . import tiles
+from ..schema import check_width
+from . import blocks, tiles
 
 #: A vector of at most so many rows may be copied to every executor; above that both sides are dealt out by key.
 STAGED_ROWS = 1_000_000
@@ -130,35 +131,22 @@ def mxm_sum_packed(a: DataFrame, b: DataFrame, width: int = 32) -> DataFrame:
     return cols.join(rows, "blk").agg(F.coalesce(F.sum(dot), F.lit(0)).cast("long").alias("total"))
 
 
-def _masked_pairs(a: DataFrame, b: DataFrame, mask: DataFrame) -> DataFrame:
-    """(i, k) once for each j with A[i, j] and B[j, k], at the mask's places.
+def mxm_masked(a: DataFrame, b: DataFrame, mask: DataFrame, once: bool = False) -> DataFrame:
+    """Counting product at the places of the mask only.  once, here and below: an edge or place that is repeated counts once.
 
-    The mask comes first, so no other entry is made; each place walks along the shorter one of A's row and B's column, and
-    looks the other edge up, so that hubs are not walked along from every neighbour.
+    No other entry is made; each place walks along the shorter one of A's row and B's column, and looks the other edge up, so that
+    hubs are not walked along from every neighbour.
     """
-    wanted, left, right = _renamed(mask, "i", "k"), _renamed(a, "i", "j"), _renamed(b, "j", "k")
-    rows, cols = left.groupBy("i").agg(F.count("*").alias("di")), right.groupBy("k").agg(F.count("*").alias("dk"))
-    sized = wanted.join(rows, "i").join(cols, "k")
-    by_row = sized.where("di <= dk").select("i", "k").join(left, "i").join(right, ["j", "k"]).select("i", "k")
-    by_col = sized.where("di > dk").select("i", "k").join(right, "k").join(left, ["i", "j"]).select("i", "k")
-    return by_row.unionByName(by_col)
+    return blocks.masked_counts(a, b, mask, once)
 
 
-def mxm_masked(a: DataFrame, b: DataFrame, mask: DataFrame) -> DataFrame:
-    """Counting product at the places of the mask only."""
-    return _masked_pairs(a, b, mask).groupBy(F.col("i").alias("src"), F.col("k").alias("dst")).agg(F.count("*").alias("val"))
+def mxm_masked_sum(a: DataFrame, b: DataFrame, mask: DataFrame, once: bool = False) -> DataFrame:
+    return blocks.masked_total(a, b, mask, 0, once)
 
 
-def mxm_masked_sum(a: DataFrame, b: DataFrame, mask: DataFrame) -> DataFrame:
-    return _masked_pairs(a, b, mask).agg(F.count("*").alias("total"))
-
-
-def mxm_masked_sum_packed(a: DataFrame, b: DataFrame, mask: DataFrame, width: int = 64) -> DataFrame:
+def mxm_masked_sum_packed(a: DataFrame, b: DataFrame, mask: DataFrame, width: int = 64, once: bool = False) -> DataFrame:
     """The masked sum on packed rows of A and columns of B: for each masked place, AND and population count by block."""
-    rows = tiles.pack(a, width).select(F.expr(f"brow * {width} + r").alias("i"), F.col("bcol").alias("blk"), F.col("word").alias("wa"))
-    cols = tiles.pack(b, width, by="col").select(F.expr(f"bcol * {width} + r").alias("k"), F.col("brow").alias("blk"), F.col("word").alias("wb"))
-    joined = _renamed(mask, "i", "k").join(rows, "i").join(cols, ["k", "blk"])
-    return joined.agg(F.coalesce(F.sum(F.bit_count(F.col("wa").bitwiseAND(F.col("wb")))), F.lit(0)).cast("long").alias("total"))
+    return blocks.masked_total(a, b, mask, check_width(width), once)
 
 
 def mxm_symbolic(a: DataFrame, b: DataFrame, width: int = 32) -> DataFrame:

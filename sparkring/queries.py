@@ -288,28 +288,29 @@ _register(
     _L + """, t AS (SELECT DISTINCT src // 32 AS i, dst // 32 AS j FROM l)
         SELECT i AS brow, count(*) AS tiles FROM (SELECT DISTINCT a.i, b.i AS k FROM t a JOIN t b USING (j)) GROUP BY i""",
 )
-_register(
-    "bmm_masked",
-    lambda s, d: linalg.mxm_masked(_lower(s, d), prep.transpose(_lower(s, d)), _lower(s, d)),
-    _L + "SELECT m.src, m.dst, count(*) AS val FROM l m JOIN l a ON a.src = m.src JOIN l b ON b.src = m.dst AND b.dst = a.dst GROUP BY 1, 2",
-)
 _MASKED = _L + "SELECT count(*) AS total FROM l m JOIN l a ON a.src = m.src JOIN l b ON b.src = m.dst AND b.dst = a.dst"
 
 
 def _written_lower(spark: SparkSession, d: str) -> DataFrame:
-    """The lower triangle, which a masked product reads several times, written once."""
-    return Workspace(spark, "lower").put(_lower(spark, d), "edges")
+    """The lower triangle, with repeated edges, which a product reads several times, written once."""
+    return Workspace(spark, "lower").put(graphs.copart_lower(spark, d), "edges")
+
+
+@query(_L + "SELECT m.src, m.dst, count(*) AS val FROM l m JOIN l a ON a.src = m.src JOIN l b ON b.src = m.dst AND b.dst = a.dst GROUP BY 1, 2")
+def bmm_masked(spark: SparkSession, d: str) -> DataFrame:
+    lower = _written_lower(spark, d)
+    return linalg.mxm_masked(lower, prep.transpose(lower), lower, once=True)
 
 
 @query(_MASKED)
 def bmm_masked_sum(spark: SparkSession, d: str) -> DataFrame:
     lower = _written_lower(spark, d)
-    return linalg.mxm_masked_sum(lower, prep.transpose(lower), lower)
+    return linalg.mxm_masked_sum(lower, prep.transpose(lower), lower, once=True)
 
 
 def _masked_packed(spark: SparkSession, d: str, width: int) -> DataFrame:
     lower = _written_lower(spark, d)
-    return linalg.mxm_masked_sum_packed(lower, prep.transpose(lower), lower, width)
+    return linalg.mxm_masked_sum_packed(lower, prep.transpose(lower), lower, width, once=True)
 
 
 for _w in (4, 8, 16, 32, 64):
@@ -350,13 +351,22 @@ _register("set_element", lambda s, d: vector.set_element(_a(s, d), 10, 99), f"SE
 _register("gather", lambda s, d: vector.gather(_a(s, d), _b(s, d)), f"SELECT b.v, a.val FROM {_B} b JOIN {_A} a ON b.val = a.v")
 _register("scatter_min", lambda s, d: vector.scatter_min(_a(s, d), _b(s, d)), f"SELECT b.val AS v, min(a.val) AS val FROM {_B} b JOIN {_A} a ON b.v = a.v GROUP BY b.val")
 
+
+
+def _reduce_masked(spark: SparkSession, d: str) -> DataFrame:
+    """The mask goes into the product, so that no entry outside it is made; its entries are then added up."""
+    lower = _written_lower(spark, d)
+    inside = linalg.mxm_masked(lower, prep.transpose(lower), lower, once=True)
+    return vector.total(inside).select(F.coalesce("total", F.lit(0)).cast("long").alias("total"))
+
+
 # Reductions.
 _register("reduce_popcount", lambda s, d: vector.popcount_words(tiles.pack_set(_set(s, d), 32)), f"SELECT count(*) AS total FROM {_X}")
 _register("reduce_sum", lambda s, d: vector.total(_a(s, d)), f"SELECT CAST(sum(val) AS BIGINT) AS total FROM {_A}")
 _register("reduce_finite", lambda s, d: vector.total_finite(_a(s, d), 60), f"SELECT CAST(sum(val) AS BIGINT) AS total FROM {_A} WHERE val < 60")
 _register(
     "reduce_masked",
-    lambda s, d: vector.masked_total(linalg.mxm(_lower(s, d), prep.transpose(_lower(s, d))), _lower(s, d)),
+    _reduce_masked,
     _MASKED,
 )
 _register(

@@ -55,6 +55,7 @@ class Workspace:
 
     def put(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
         df.write.mode("overwrite").option("compression", codec).parquet(self.path(name))
+        self.spark._jvm.System.gc()  # shuffle files of ended jobs go when the driver collects its garbage
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def clustered(self, edges: DataFrame, name: str, least: int = 10_000) -> Clustered:
