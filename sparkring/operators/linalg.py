@@ -150,10 +150,15 @@ def mxm_masked_sum_packed(a: DataFrame, b: DataFrame, mask: DataFrame, width: in
 
 
 def mxm_symbolic(a: DataFrame, b: DataFrame, width: int = 32) -> DataFrame:
-    """(brow, tiles): the product's tiles in each block row that its factors' tile pattern allows."""
+    """(brow, tiles): the product's tiles in each block row that its factors' tile pattern allows.
+
+    B's tile pattern is itself packed, 64 tiles of a block row to a word; words are put together by OR and their bits counted.
+    """
     left = a.select(block("src", width).alias("bi"), block("dst", width).alias("bj")).distinct()
-    right = b.select(block("src", width).alias("bj"), block("dst", width).alias("bk")).distinct()
-    return left.join(right, "bj").select("bi", "bk").distinct().groupBy(F.col("bi").alias("brow")).agg(F.count("*").alias("tiles"))
+    words = tiles.pack(b.select(block("src", width).alias("src"), block("dst", width).alias("dst")), 64)
+    right = words.select((F.col("brow") * 64 + F.col("r")).alias("bj"), F.col("bcol").alias("slot"), "word")
+    met = left.join(right, "bj").groupBy("bi", "slot").agg(F.bit_or("word").alias("word"))
+    return met.groupBy(F.col("bi").alias("brow")).agg(F.sum(F.bit_count("word")).cast("long").alias("tiles"))
 
 
 def dense_product(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -284,7 +284,7 @@ for _w in (4, 8, 16, 32, 64):
     _register(f"bmm_sum_packed_{_w}", lambda s, d, w=_w: linalg.mxm_sum_packed(_lower(s, d), prep.transpose(_lower(s, d)), w), _L + _SUM)
 _register(
     "bmm_symbolic",
-    lambda s, d: linalg.mxm_symbolic(_lower(s, d), prep.transpose(_lower(s, d)), 32),
+    lambda s, d: (lambda lower: linalg.mxm_symbolic(lower, prep.transpose(lower), 32))(_written_lower(s, d)),
     _L + """, t AS (SELECT DISTINCT src // 32 AS i, dst // 32 AS j FROM l)
         SELECT i AS brow, count(*) AS tiles FROM (SELECT DISTINCT a.i, b.i AS k FROM t a JOIN t b USING (j)) GROUP BY i""",
 )

@@ -105,3 +105,13 @@ def test_ids_far_apart(spark):
     b = [(j, i) for i, j in a]
     want = Counter((i, k) for i, j in a for n, k in b if n == j)
     assert rows(linalg.mxm_masked(frame(spark, a), frame(spark, b), frame(spark, sorted(want)))) == sorted((*k, n) for k, n in want.items())
+
+
+@pytest.mark.parametrize("width", [4, 32])
+def test_symbolic_in_words(spark, width):
+    """Tiles that meet are ORed by words of 64, so no row is made for each tile of the product and what leads to it."""
+    a, b = [(i, j) for i in range(0, 400, 3) for j in (i, i // 2)], [(j, k) for j in range(400) for k in (j, (j * 7) % 300)]
+    tile = {(i // width, j // width) for i, j in a}, {(j // width, k // width) for j, k in b}
+    want = Counter(i for i, _ in {(i, k) for i, j in tile[0] for x, k in tile[1] if x == j})
+    got = linalg.mxm_symbolic(frame(spark, a), frame(spark, b), width)
+    assert rows(got) == sorted(want.items()) and "bit_or" in plan(got)
