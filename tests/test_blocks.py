@@ -107,6 +107,20 @@ def test_ids_far_apart(spark):
     assert rows(linalg.mxm_masked(frame(spark, a), frame(spark, b), frame(spark, sorted(want)))) == sorted((*k, n) for k, n in want.items())
 
 
+@pytest.mark.parametrize("once", [False, True])
+def test_weighted(spark, once):
+    a, b = edges(50, 250, 6), edges(50, 250, 7)
+    left = frame(spark, a).withColumn("weight", (F.col("src") % 3).cast("double"))
+    right = frame(spark, b).withColumn("weight", F.col("dst") * 0.5)
+    want: Counter = Counter()
+    for (i, j), n in (Counter(set(a)) if once else Counter(a)).items():
+        for (x, k), m in (Counter(set(b)) if once else Counter(b)).items():
+            if x == j:
+                want[i, k] += n * m * (i % 3) * k * 0.5
+    got = linalg.mxm_weighted(left, right, once)
+    assert rows(got) == sorted((*k, v) for k, v in want.items()) and made(got) <= 0
+
+
 @pytest.mark.parametrize("width", [4, 32])
 def test_symbolic_in_words(spark, width):
     """Tiles that meet are ORed by words of 64, so no row is made for each tile of the product and what leads to it."""
@@ -115,3 +129,14 @@ def test_symbolic_in_words(spark, width):
     want = Counter(i for i, _ in {(i, k) for i, j in tile[0] for x, k in tile[1] if x == j})
     got = linalg.mxm_symbolic(frame(spark, a), frame(spark, b), width)
     assert rows(got) == sorted(want.items()) and "bit_or" in plan(got)
+
+
+#: Queries that make no row for each pair of edges.
+WHOLE = [
+    "bmm_weighted",
+]
+
+
+@pytest.mark.parametrize("name", WHOLE)
+def test_no_pairs_are_made(spark, name):
+    assert made(queries.QUERIES[name](spark, "/root/testdata/sf0.001")) <= 0
