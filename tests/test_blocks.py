@@ -134,6 +134,7 @@ def test_symbolic_in_words(spark, width):
 #: Queries that make no row for each pair of edges.
 WHOLE = [
     "bmm_weighted",
+    "bmm_bool",
 ]
 
 
