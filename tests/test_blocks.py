@@ -135,6 +135,7 @@ def test_symbolic_in_words(spark, width):
 WHOLE = [
     "bmm_weighted",
     "bmm_bool",
+    "bmm_masked_packed_32",
 ]
 
 
