@@ -1,4 +1,4 @@
-"""Triangle counting on clean undirected edges (both directions present, no loops, no repeats)."""
+"""Triangle counting on undirected edges, both directions present."""
 
 from __future__ import annotations
 
@@ -27,23 +27,27 @@ def oriented(edges: DataFrame) -> DataFrame:
     return out
 
 
+def _lower(edges: DataFrame) -> DataFrame:
+    """The lower triangle without loops, written once; edges may be repeated in it."""
+    return Workspace(edges.sparkSession, "triangles").put(prep.tril(prep.drop_loops(edges)).select("src", "dst"), "lower")
+
+
 def count(edges: DataFrame) -> DataFrame:
-    """One row (triangles): the masked sum of L times its transpose at L's places, each of which walks along the shorter row."""
-    work = Workspace(edges.sparkSession, "triangles")
-    lower = work.put(prep.tril(prep.drop_loops(edges)).select("src", "dst"), "lower")
-    return linalg.mxm_masked_sum(lower, prep.transpose(lower), lower).select(F.col("total").alias("triangles"))
+    """One row (triangles): the masked sum of L times its transpose at L's places, each of which walks along the shorter row.
+
+    Here and below the lower triangle of the edges is enough, and repeated edges count once.
+    """
+    lower = _lower(edges)
+    return linalg.mxm_masked_sum(lower, prep.transpose(lower), lower, once=True).select(F.col("total").alias("triangles"))
 
 
 def count_packed(edges: DataFrame, width: int = 64) -> DataFrame:
-    """The same by AND and population count of packed rows: the masked sum of the oriented matrix times its transpose at
-    its own places.  Orientation keeps the rows short, so that a hub's row meets few places."""
-    up = oriented(edges)
-    return linalg.mxm_masked_sum_packed(up, prep.transpose(up), up, width).select(F.col("total").alias("triangles"))
+    """The same by AND and population count of packed rows, the shorter of the two at each place; a hub's row meets few places."""
+    lower = _lower(edges)
+    return linalg.mxm_masked_sum_packed(lower, prep.transpose(lower), lower, width, once=True).select(F.col("total").alias("triangles"))
 
 
 def per_vertex(edges: DataFrame) -> DataFrame:
     """(v, triangles) of every vertex in at least one."""
-    up = oriented(edges)
-    a, b, c = (up.select(F.col("src").alias(x), F.col("dst").alias(y)) for x, y in (("i", "j"), ("j", "k"), ("i", "k")))
-    closed = a.join(b, "j").join(c, ["i", "k"])
-    return closed.select(F.explode(F.array("i", "j", "k")).alias("v")).groupBy("v").agg(F.count("*").alias("triangles"))
+    lower = _lower(edges)
+    return linalg.mxm_masked_corners(lower, prep.transpose(lower), lower, once=True).select("v", F.col("n").alias("triangles"))

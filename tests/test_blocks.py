@@ -136,6 +136,7 @@ WHOLE = [
     "bmm_weighted",
     "bmm_bool",
     "bmm_masked_packed_32",
+    "triangles_packed",
 ]
 
 
