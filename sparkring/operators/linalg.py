@@ -146,6 +146,11 @@ def mxm_masked_sum_packed(a: DataFrame, b: DataFrame, mask: DataFrame, width: in
     return blocks.masked_total(a, b, mask, check_width(width), once)
 
 
+def mxm_masked_corners(a: DataFrame, b: DataFrame, mask: DataFrame, once: bool = False) -> DataFrame:
+    """(v, n): of how many terms A[i, j] * B[j, k] of the masked product each vertex is i, j or k."""
+    return blocks.masked_corners(a, b, mask, once)
+
+
 def mxm_symbolic(a: DataFrame, b: DataFrame, width: int = 32) -> DataFrame:
     """(brow, tiles): the product's tiles in each block row that its factors' tile pattern allows.
 
