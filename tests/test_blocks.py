@@ -74,7 +74,8 @@ def test_pairs_of_groups(spark):
     assert rows(got) == sorted(want)
 
 
-def test_bmm_masked_makes_no_pairs(spark):
+def test_bmm_masked_makes_no_pairs(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "TARGET", 20_000)
     assert made(queries.QUERIES["bmm_masked"](spark, "/root/testdata/sf0.001")) <= 0
 
 
@@ -136,11 +137,13 @@ WHOLE = [
     "bmm_weighted",
     "bmm_bool",
     "bmm_masked_packed_32",
+    "bmm_masked_packed_64",
     "triangles_per_vertex",
     "triangles_packed",
 ]
 
 
 @pytest.mark.parametrize("name", WHOLE)
-def test_no_pairs_are_made(spark, name):
+def test_no_pairs_are_made(spark, monkeypatch, name):
+    monkeypatch.setattr(blocks, "TARGET", 20_000)
     assert made(queries.QUERIES[name](spark, "/root/testdata/sf0.001")) <= 0
