@@ -138,6 +138,7 @@ WHOLE = [
     "bmm_bool",
     "bmm_masked_packed_32",
     "bmm_masked_packed_64",
+    "bmm_masked_sum",
     "triangles_per_vertex",
     "triangles_packed",
 ]
