@@ -139,6 +139,7 @@ WHOLE = [
     "bmm_masked_packed_32",
     "bmm_masked_packed_64",
     "bmm_masked_sum",
+    "bmm_masked_packed_16",
     "triangles_per_vertex",
     "triangles_packed",
 ]
