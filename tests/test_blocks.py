@@ -140,6 +140,7 @@ WHOLE = [
     "bmm_masked_packed_64",
     "bmm_masked_sum",
     "bmm_masked_packed_16",
+    "bmm_masked_packed_4",
     "triangles_per_vertex",
     "triangles_packed",
 ]
