@@ -141,6 +141,7 @@ WHOLE = [
     "bmm_masked_sum",
     "bmm_masked_packed_16",
     "bmm_masked_packed_4",
+    "bmm_masked_packed_8",
     "triangles_per_vertex",
     "triangles_packed",
 ]
