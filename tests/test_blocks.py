@@ -142,6 +142,7 @@ WHOLE = [
     "bmm_masked_packed_16",
     "bmm_masked_packed_4",
     "bmm_masked_packed_8",
+    "bmm_numeric",
     "triangles_per_vertex",
     "triangles_packed",
 ]
