@@ -143,6 +143,7 @@ WHOLE = [
     "bmm_masked_packed_4",
     "bmm_masked_packed_8",
     "bmm_numeric",
+    "reduce_masked",
     "triangles_per_vertex",
     "triangles_packed",
 ]
