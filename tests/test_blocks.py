@@ -144,6 +144,7 @@ WHOLE = [
     "bmm_masked_packed_8",
     "bmm_numeric",
     "reduce_masked",
+    "triangles",
     "triangles_per_vertex",
     "triangles_packed",
 ]
