@@ -2,11 +2,13 @@
 
 A join makes a row for each pair of edges that share a vertex; here no such pair leaves its task.  What is shuffled are the packed
 edges: a range of A's rows goes to each range of B's columns with which it has places to fill.  For a graph whose neighbours have
-near ids these are few; for one without any order each side is sent once for each range of the other (the power 1.5 of the edges).
+near ids these are few; for one without any order each side is sent once for each range of the other (the square of the edges).
+Masked products send that much in waves, one job after another, so that what lies on disk at once grows with the edges only.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,6 +20,8 @@ from ..workspace import Workspace
 
 #: Edges of a range; ranges at least, if each then has so many edges.
 TARGET, LEAST, SMALL = 1_500_000, 8, 20_000
+#: What a wave of a masked product sends, in times the bytes of its packed edges.
+WAVE = 1.0
 #: Edges sorted at once when they are packed; cells of a dense block of rows; walked entries at once; rows of a batch that is returned.
 PACKED, CELLS, WALKED, BATCH = 2_000_000, 1 << 22, 1 << 20, 1 << 17
 #: Ids that lie within so many are looked up in a table.
@@ -380,6 +384,16 @@ def _meet(sides: list[tuple[DataFrame, list[str]]], pairs: DataFrame, kernel: Ke
     return rows.repartition(n, "i", "k").sortWithinPartitions("i", "k").mapInArrow(run, schema)
 
 
+def _waves(sides: list[tuple[DataFrame, list[str]]], pairs: DataFrame) -> int:
+    """How many waves send the sides to all pairs of ranges, if one sends about WAVE times their own bytes."""
+    own = sent = 0
+    for side, on in sides:
+        size = side.groupBy(*on).agg(F.sum(F.octet_length("body")).alias("size"))
+        got = size.join(pairs.groupBy(*on).agg(F.count("*").alias("times")), on).agg(F.sum("size").alias("own"), F.sum(F.col("size") * F.col("times")).alias("sent")).first()
+        own, sent = own + (got["own"] or 0), sent + (got["sent"] or 0)
+    return max(1, math.ceil(sent / max(1, own * WAVE)))
+
+
 def _masked_product(a: DataFrame, b: DataFrame, mask: DataFrame, kernel: Kernel, packed: int, once: bool, schema: str) -> DataFrame:
     work = Workspace(a.sparkSession, "product")
     (rows,), (cols,) = _ranges(a, "src"), _ranges(b, "dst")
@@ -387,7 +401,14 @@ def _masked_product(a: DataFrame, b: DataFrame, mask: DataFrame, kernel: Kernel,
     right = _side(work, b, "b", "dst", cols, []).withColumnRenamed("blk", "k")
     places = _side(work, mask, "mask", "src", rows, cols, square=True).withColumn("k", F.col("across")[0]).withColumnRenamed("blk", "i")
     pairs = work.put(places.select("i", "k").distinct(), "pairs")
-    return _meet([(left, ["i"]), (right, ["k"]), (places, ["i", "k"])], pairs, kernel, packed, once, schema)
+    sides = [(left, ["i"]), (right, ["k"]), (places, ["i", "k"])]
+    waves = _waves(sides, pairs)
+    if waves == 1:
+        return _meet(sides, pairs, kernel, packed, once, schema)
+    wave = F.pmod(F.xxhash64("i", "k"), F.lit(waves))
+    for w in range(waves):  # each one's shuffle files go before the next
+        out = work.put(_meet(sides, pairs.where(wave == w), kernel, packed, once, schema), "waves", mode="append")
+    return out
 
 
 def masked_counts(a: DataFrame, b: DataFrame, mask: DataFrame, once: bool = False) -> DataFrame:

@@ -53,11 +53,16 @@ class Workspace:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def put(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-        df.write.mode("overwrite").option("compression", codec).parquet(self.path(name))
-        self.spark._jvm.System.gc()  # shuffle files of ended jobs go when the driver collects its garbage
+    def put(self, df: DataFrame, name: str, codec: str = "zstd", mode: str = "overwrite") -> DataFrame:
+        self.sweep()
+        df.write.mode(mode).option("compression", codec).parquet(self.path(name))
+        self.sweep()
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def sweep(self) -> None:
+        """Shuffle files of ended jobs go when the driver collects its garbage, those of the last job often only when the next begins."""
+        self.spark._jvm.System.gc()
+
     def clustered(self, edges: DataFrame, name: str, least: int = 10_000) -> Clustered:
         """Edges (src, ...) written once in buckets by src, so that the rounds of an iteration shuffle only what they carry.
 

@@ -154,3 +154,29 @@ WHOLE = [
 def test_no_pairs_are_made(spark, monkeypatch, name):
     monkeypatch.setattr(blocks, "TARGET", 20_000)
     assert made(queries.QUERIES[name](spark, "/root/testdata/sf0.001")) <= 0
+
+
+#: Queries whose product, on a graph without any order, is sent in waves.
+WAVES = [
+    "bmm_masked_packed_32",
+]
+
+
+@pytest.mark.parametrize("name", WAVES)
+def test_little_is_sent_at_once(spark, monkeypatch, name):
+    """At any time about as much as the packed edges themselves, though each range goes to half of the others."""
+    query, at, held = queries.QUERIES[name], "/root/testdata/sf0.001", []
+    monkeypatch.setattr(blocks, "TARGET", 10**6)
+    want, meet = rows(query(spark, at)), blocks._meet
+
+    def seen(sides, pairs, *rest):
+        size = F.sum(F.octet_length("body"))
+        held.append([sum(df.agg(size).first()[0] or 0 for df in dfs) for dfs in ([x for x, _ in sides], [x.join(pairs, on) for x, on in sides])])
+        return meet(sides, pairs, *rest)
+
+    monkeypatch.setattr(blocks, "TARGET", 1000)
+    monkeypatch.setattr(blocks, "_meet", seen)
+    got = query(spark, at)
+    assert rows(got) == want and want
+    own, sent = (np.array(x) for x in zip(*held, strict=True))
+    assert sent.sum() > 3 * own[0] and sent.max() < 2 * own[0]
