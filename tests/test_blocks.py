@@ -160,6 +160,7 @@ def test_no_pairs_are_made(spark, monkeypatch, name):
 WAVES = [
     "bmm_masked_packed_32",
     "bmm_masked_packed_64",
+    "bmm_masked_sum",
 ]
 
 
