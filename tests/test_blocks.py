@@ -165,6 +165,7 @@ WAVES = [
     "bmm_masked_packed_4",
     "bmm_masked_packed_8",
     "reduce_masked",
+    "triangles",
 ]
 
 
