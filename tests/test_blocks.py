@@ -187,3 +187,25 @@ def test_little_is_sent_at_once(spark, monkeypatch, name):
     assert rows(got) == want and want
     own, sent = (np.array(x) for x in zip(*held, strict=True))
     assert sent.sum() > 3 * own[0] and sent.max() < 2 * own[0]
+
+
+def test_few_ranges_meet_in_vain(spark, monkeypatch):
+    """Ranges of rows and columns that share no vertex are seldom sent to each other, though pieces of a graph do not end where ranges do."""
+    meet, met = blocks._meet, []
+
+    def seen(sides, pairs, *rest):
+        shared = []
+        for side, on in sides:
+            by = {}
+            for r in side.collect():
+                by.setdefault(r[on[0]], set()).update(blocks.parse(bytes(r["body"]))[1].tolist())
+            shared.append(by)
+        met.append((pairs.count(), sum(bool(x & y) for x in shared[0].values() for y in shared[1].values())))
+        return meet(sides, pairs, *rest)
+
+    monkeypatch.setattr(blocks, "_meet", seen)
+    some = [(10 * p + i, 10 * p + j) for p in range(40) for i in range(10) for j in range(i)]
+    got = linalg.mxm(frame(spark, some), prep.transpose(frame(spark, some)))
+    want = Counter((i, k) for i, j in some for k in range(j + 1, i - i % 10 + 10))
+    assert rows(got) == sorted((*k, n) for k, n in want.items())
+    assert met[0][1] <= met[0][0] <= 1.25 * met[0][1], met
