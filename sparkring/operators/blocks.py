@@ -3,7 +3,11 @@
 A join makes a row for each pair of edges that share a vertex; here no such pair leaves its task.  What is shuffled are the packed
 edges: a range of A's rows goes to each range of B's columns with which it has places to fill.  For a graph whose neighbours have
 near ids these are few; for one without any order each side is sent once for each range of the other (the square of the edges).
-Masked products send that much in waves, one job after another, so that what lies on disk at once grows with the edges only.
+
+Masked products cut the vertices between A and B as well: a task holds the places of two ranges, and A's and B's blocks pass it one
+after another.  So only blocks, not whole rows of them, must fit a task; without any order there are then as many ranges as the root
+of the edges, and what is sent grows as their power 1.5.  It goes in waves, one job after another, so that what lies on disk at once
+grows with the edges only.
 """
 
 from __future__ import annotations
@@ -17,18 +21,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..workspace import Workspace
+from . import prep
 
 #: Edges of a range; ranges at least, if each then has so many edges.
 TARGET, LEAST, SMALL = 1_500_000, 8, 20_000
 #: Ranges of the vertices between two sides, so that few ranges of rows and columns meet that share none of them: so many for each range, or FINE.
 FINER, FINE = 8, 512
-#: What a wave of a masked product sends, in times the bytes of its packed edges.
-WAVE = 1.0
+#: What a wave of a masked product sends, in times the bytes of its packed edges; ranges between A and B that one task of a sum walks.
+WAVE, SPAN = 1.0, 3
 #: Edges sorted at once when they are packed; cells of a dense block of rows; walked entries at once; rows of a batch that is returned.
 PACKED, CELLS, WALKED, BATCH = 2_000_000, 1 << 22, 1 << 20, 1 << 17
 #: Ids that lie within so many are looked up in a table.
 NEAR = 1 << 23
-_CHUNKS = "blk long, across array<long>, body binary"
+_CHUNKS = "blk long, across array<long>, n long, body binary"
 Kernel = Callable[..., Iterator[list[np.ndarray]]]
 
 
@@ -85,7 +90,7 @@ def _pack(cuts: np.ndarray, across: np.ndarray, valued: bool, square: bool):
 
     def packed(held: list[list[np.ndarray]]) -> pa.RecordBatch:
         columns = [np.concatenate(x) for x in zip(*held, strict=True)]
-        names, over, bodies = [], [], []
+        names, over, sizes, bodies = [], [], [], []
         parts = [slice(None)]
         if square:
             where = np.searchsorted(across, columns[1], "right")
@@ -97,8 +102,10 @@ def _pack(cuts: np.ndarray, across: np.ndarray, valued: bool, square: bool):
                 if a < b:
                     names.append(blk)
                     over.append(np.unique(np.searchsorted(across, rows[1][a : a + 1 if square else b], "right")).tolist() if len(across) else [0])
+                    sizes.append(int(b - a))
                     bodies.append(dump(rows[0][a:b], rows[1][a:b], rows[2][a:b] if valued else None))
-        return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(over, pa.list_(pa.int64())), pa.array(bodies, pa.binary())], names=["blk", "across", "body"])
+        columns = [pa.array(names, pa.int64()), pa.array(over, pa.list_(pa.int64())), pa.array(sizes, pa.int64()), pa.array(bodies, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=["blk", "across", "n", "body"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -182,12 +189,34 @@ def _common(a: Lines, b: Lines) -> tuple[Lines, Lines, np.ndarray]:
     return *out, shared
 
 
-def _places(bodies: list[bytes], once: bool) -> tuple[np.ndarray, ...] | None:
-    """Rows, columns, and how often each place is in the mask."""
-    if not bodies:
-        return None
+def _numbered(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different ids in order, and each one's place among them."""
+    low, high = ids.min(), ids.max()
+    if int(high) - int(low) >= NEAR:
+        return np.unique(ids, return_inverse=True)
+    seen = np.zeros(high - low + 1, bool)
+    seen[ids - low] = True
+    return np.flatnonzero(seen) + low, (np.cumsum(seen) - 1)[ids - low]
+
+
+def _index(names: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Where ids are among the sorted names; -1: nowhere."""
+    at = np.minimum(np.searchsorted(names, ids), len(names) - 1)
+    return np.where(names[at] == ids, at, -1)
+
+
+class Places:
+    """Rows and columns of the mask, how often each place is in it, and what was summed at it so far."""
+
+    def __init__(self, line: np.ndarray, other: np.ndarray, often: np.ndarray):
+        self.line, self.other, self.often = line, other, often
+        (self.rows, self.row), (self.cols, self.col) = _numbered(line), _numbered(other)
+        self.total = np.zeros(len(line), np.int64)
+
+
+def _places(bodies: list[bytes], once: bool) -> Places:
     x = _lines(bodies, 0, once)
-    return x.line, x.other, np.ones(len(x.other), np.int64) if x.value is None else x.value
+    return Places(x.line, x.other, np.ones(len(x.other), np.int64) if x.value is None else x.value)
 
 
 def _expand(start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -223,39 +252,42 @@ def _walk(flagged: Lines, walked: Lines, width: int, f: np.ndarray, g: np.ndarra
         yield slice(a, b), got, np.cumsum(n) - n, at
 
 
-def _masked(a: Lines, b: Lines, places: tuple[np.ndarray, ...], packed: int) -> Iterator[tuple]:
-    """Products at places (i, k, how often): each walks along the shorter one of A's row and B's column and looks up the other.
+def _masked(a: Lines, b: Lines, places: Places, packed: int) -> Iterator[tuple]:
+    """Products at places: each walks along the shorter one of A's row and B's column and looks up the other.
 
-    Gives flagged and walked side, whether A is the flagged one, the places' lines on both and how often they are wanted, products,
-    the places' first products, and the others walked along.
+    Gives flagged and walked side, the places, their lines on both and how often they are wanted, products, the places' first
+    products, and the others walked along.
     """
     if not len(a.names) or not len(b.names):
         return
     width = int(max(a.other.max(), b.other.max())) + 1
-    i, k = (np.searchsorted(x.names, p) for x, p in ((a, places[0]), (b, places[1])))
-    found = np.flatnonzero((i < len(a.names)) & (k < len(b.names)))
-    found = found[(a.names[i[found]] == places[0][found]) & (b.names[k[found]] == places[1][found])]
-    i, k, often = i[found], k[found], places[2][found]
+    i, k = _index(a.names, places.rows)[places.row], _index(b.names, places.cols)[places.col]
+    found = np.flatnonzero((i >= 0) & (k >= 0))
+    i, k = i[found], k[found]
     by_col = b.length[k] <= a.length[i]
-    for straight, flagged, walked, f, g, own in ((True, a, b, i, k, by_col), (False, b, a, k, i, ~by_col)):
-        f, g, times = f[own], g[own], often[own]
+    for flagged, walked, f, g, own in ((a, b, i, k, by_col), (b, a, k, i, ~by_col)):
+        f, g, place = f[own], g[own], found[own]
         order = np.argsort(f, kind="stable")
-        f, g, times = f[order], g[order], times[order]
+        f, g, place = f[order], g[order], place[order]
         for part, got, first, at in _walk(flagged, walked, width, f, g, packed):
-            yield flagged, walked, straight, f[part], g[part], times[part], got, first, walked.other[at]
+            yield flagged, walked, place[part], f[part], g[part], places.often[place[part]], got, first, walked.other[at]
 
 
-def _counts(a: Lines, b: Lines, places) -> Iterator[list[np.ndarray]]:
+def _counts(a: Lines, b: Lines, places: Places) -> Iterator[list[np.ndarray]]:
+    """Adds to the places' totals, which `_counted` gives in the end."""
     a, b, _ = _common(a, b)
-    for flagged, walked, straight, f, g, often, got, first, _ in _masked(a, b, places, 0):
-        total = np.add.reduceat(got, first, dtype=np.int64) * often
-        keep = total != 0
-        ends = flagged.names[f[keep]], walked.names[g[keep]]
-        yield [*(ends if straight else ends[::-1]), total[keep]]
+    for *_, place, _, _, often, got, first, _ in _masked(a, b, places, 0):
+        places.total[place] += np.add.reduceat(got, first, dtype=np.int64) * often
+    yield from ()
+
+
+def _counted(places: Places) -> Iterator[list[np.ndarray]]:
+    keep = places.total != 0
+    yield [places.line[keep], places.other[keep], places.total[keep]]
 
 
 def _totals(packed: int) -> Kernel:
-    def run(a: Lines, b: Lines, places) -> Iterator[list[np.ndarray]]:
+    def run(a: Lines, b: Lines, places: Places) -> Iterator[list[np.ndarray]]:
         a, b, _ = _common(a, b)
         total = 0
         for *_, often, got, first, _ in _masked(a, b, places, packed):
@@ -266,7 +298,7 @@ def _totals(packed: int) -> Kernel:
     return run
 
 
-def _corners(a: Lines, b: Lines, places) -> Iterator[list[np.ndarray]]:
+def _corners(a: Lines, b: Lines, places: Places) -> Iterator[list[np.ndarray]]:
     a, b, shared = _common(a, b)
     inner, ends = np.zeros(len(shared), np.int64), []
     for flagged, walked, _, f, g, often, got, first, other in _masked(a, b, places, 0):
@@ -336,11 +368,14 @@ def _product(kind: str) -> Kernel:
 # Plans
 
 
-def _side(work: Workspace, edges: DataFrame, name: str, line: str, cuts: list[int], across: list[int], valued: bool = False, square: bool = False) -> DataFrame:
+def _packed(edges: DataFrame, line: str, cuts: list[int], across: list[int], valued: bool = False, square: bool = False) -> DataFrame:
     other = "dst" if line == "src" else "src"
     columns = [F.col(line).cast("long"), F.col(other).cast("long")] + ([F.col("weight").cast("double")] if valued else [])
-    packed = edges.where("src is not null and dst is not null").select(*columns).mapInArrow(_pack(np.array(cuts, np.int64), np.array(across, np.int64), valued, square), _CHUNKS)
-    return work.put(packed, name, "uncompressed")
+    return edges.where("src is not null and dst is not null").select(*columns).mapInArrow(_pack(np.array(cuts, np.int64), np.array(across, np.int64), valued, square), _CHUNKS)
+
+
+def _side(work: Workspace, edges: DataFrame, name: str, line: str, cuts: list[int], across: list[int], valued: bool = False) -> DataFrame:
+    return work.put(_packed(edges, line, cuts, across, valued), name, "uncompressed")
 
 
 def _ranges(edges: DataFrame, name: str, inner: str | None = None) -> list[list[int]]:
@@ -354,68 +389,122 @@ def _ranges(edges: DataFrame, name: str, inner: str | None = None) -> list[list[
     return [sorted({int(x) for x in got[x]}) for x in parts]
 
 
-def _meet(sides: list[tuple[DataFrame, list[str]]], pairs: DataFrame, kernel: Kernel, packed: int, once: bool, schema: str) -> DataFrame:
-    """Each pair of ranges (i, k) in one task: bodies of A (0), of B (1) and of the mask (2)."""
-    masked, names = len(sides) > 2, [f.split()[0] for f in schema.split(", ")]
+def _meet(sides: list[tuple[DataFrame, list[str]]], pairs: DataFrame, kernel: Kernel, packed: int, once: bool, schema: str, last: Callable | None = None) -> DataFrame:
+    """Each pair of ranges (i, k) in one task: bodies of A (0) and of B (1).  Where pairs also say how a body takes part, the mask's
+    (2) come first, and those of A and B by the range j between them; tasks are told apart by g too."""
+    masked, names = "side" in pairs.columns, [f.split()[0] for f in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def blocks() -> Iterator[list[list[bytes]]]:
+        def blocks() -> Iterator[tuple[list[int], list[list[bytes]]]]:
             now, bodies = None, [[], [], []]
             for batch in batches:
-                for i, k, side, body in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
-                    if now not in (None, (i, k)):
-                        yield bodies
+                for *at, side, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if now not in (None, at):
+                        yield now, bodies
                         bodies = [[], [], []]
-                    now = i, k
+                    now = at
                     bodies[side].append(body)
             if now:
-                yield bodies
-
-        for a, b, mask in blocks():
-            if not (a and b) or masked and not mask:
-                continue
-            for columns in kernel(_lines(a, packed, once), _lines(b, packed, once), _places(mask, once)):
-                for s in range(0, len(columns[0]), BATCH):
-                    yield pa.RecordBatch.from_arrays([pa.array(c[s : s + BATCH]) for c in columns], names=names)
-
-    rows = None
+                yield now, bodies
+
+        def results() -> Iterator[list[np.ndarray]]:
+            unit, places = None, None
+            for (*of, _), (a, b, mask) in blocks():
+                if of != unit:
+                    if last and places:
+                        yield from last(places)
+                    unit, places = of, None
+                if mask:
+                    places = _places(mask, once)
+                if a and b and (places or not masked):
+                    yield from kernel(_lines(a, packed, once), _lines(b, packed, once), places)
+            if last and places:
+                yield from last(places)
+
+        for columns in results():
+            for s in range(0, len(columns[0]), BATCH):
+                yield pa.RecordBatch.from_arrays([pa.array(c[s : s + BATCH]) for c in columns], names=names)
+
+    rows, unit = None, ["i", "k", "g"] if masked else ["i", "k"]
     for k, (side, on) in enumerate(sides):
-        part = side.join(pairs, on).select("i", "k", F.lit(k).alias("side"), "body")
+        part = side.join(F.broadcast(pairs) if masked else pairs, on).select(*unit, *(["j", "side"] if masked else [F.lit(0).alias("j"), F.lit(k).alias("side")]), "body")
         rows = part if rows is None else rows.unionByName(part)
-    n = max(1, min(2 * pairs.count(), 100_000))
-    return rows.repartition(n, "i", "k").sortWithinPartitions("i", "k").mapInArrow(run, schema)
-
-
-def _waves(sides: list[tuple[DataFrame, list[str]]], pairs: DataFrame) -> int:
-    """How many waves send the sides to all pairs of ranges, if one sends about WAVE times their own bytes."""
-    own = sent = 0
-    for side, on in sides:
-        size = side.groupBy(*on).agg(F.sum(F.octet_length("body")).alias("size"))
-        got = size.join(pairs.groupBy(*on).agg(F.count("*").alias("times")), on).agg(F.sum("size").alias("own"), F.sum(F.col("size") * F.col("times")).alias("sent")).first()
-        own, sent = own + (got["own"] or 0), sent + (got["sent"] or 0)
-    return max(1, math.ceil(sent / max(1, own * WAVE)))
-
-
-def _masked_product(a: DataFrame, b: DataFrame, mask: DataFrame, kernel: Kernel, packed: int, once: bool, schema: str) -> DataFrame:
+    n = max(1, min(4 * pairs.select(*unit).distinct().count() if masked else 2 * pairs.count(), 100_000))
+    return rows.repartition(n, *unit).sortWithinPartitions(*unit, "j").mapInArrow(run, schema)
+
+
+def _grids(edges: list[tuple[DataFrame, list[list[str]]]], most: int, alike: bool) -> list[list[list[int]]]:
+    """Ids at which ranges begin, for each list of columns of the edges: for as few ranges as blocks of TARGET edges need if there is
+    no order among the ids, and for ranges of TARGET edges themselves, which are enough in any order."""
+    least = max(min(LEAST, most // SMALL), 1)
+    n = max(-(-most // TARGET), least)
+    few = min(n, max(math.ceil(math.sqrt((1 + alike) * most / TARGET)), least))
+    grids: list[list[list[int]]] = [[] for _ in {few, n}]
+    for df, lists in edges:
+        for columns in lists:
+            fine = 1 if len(columns) == 1 else 8
+            parts = [[k / (fine * m) for k in range(1, fine * m)] for m in sorted({few, n})]
+            if n == 1:
+                grids[0].append([])
+                continue
+            asked = sum(parts, [])
+            got = df.agg(*(F.percentile_approx(c, asked, max(1000, 20 * fine * n)).alias(c) for c in columns)).first()
+            at = 0
+            for grid, part, m in zip(grids, parts, sorted({few, n}), strict=True):
+                ids = sorted(int(x) for c in columns for x in (got[c] or [])[at : at + len(part)])
+                at += len(part)
+                grid.append(sorted({ids[len(ids) * k // m] for k in range(1, m)} if fine > 1 else set(ids)) if ids else [])
+    return grids
+
+
+def _masked_product(a: DataFrame, b: DataFrame, mask: DataFrame, kernel: Kernel, packed: int, once: bool, schema: str, last: Callable | None = None) -> DataFrame:
+    """Blocks (r, c) of each table t: A by the ranges i, j, B by k, j, the mask by i, k.  If B is A's transpose and the mask is A, all
+    three are one table."""
     work = Workspace(a.sparkSession, "product")
-    (rows,), (cols,) = _ranges(a, "src"), _ranges(b, "dst")
-    left = _side(work, a, "a", "src", rows, []).withColumnRenamed("blk", "i")
-    right = _side(work, b, "b", "dst", cols, []).withColumnRenamed("blk", "k")
-    places = _side(work, mask, "mask", "src", rows, cols, square=True).withColumn("k", F.col("across")[0]).withColumnRenamed("blk", "i")
-    pairs = work.put(places.select("i", "k").distinct(), "pairs")
-    sides = [(left, ["i"]), (right, ["k"]), (places, ["i", "k"])]
-    waves = _waves(sides, pairs)
-    if waves == 1:
-        return _meet(sides, pairs, kernel, packed, once, schema)
-    wave = F.pmod(F.xxhash64("i", "k"), F.lit(waves))
-    for w in range(waves):  # each one's shuffle files go before the next
-        out = work.put(_meet(sides, pairs.where(wave == w), kernel, packed, once, schema), "waves", mode="append")
+    alike = mask.sameSemantics(a) and prep.transpose(a).sameSemantics(b)
+    tables = [(a, "src")] if alike else [(a, "src"), (b, "dst"), (mask, "src")]
+    most = max(df.count() for df, _ in tables)
+    for name, grid in enumerate(grids := _grids([(a, [["src", "dst"]])] if alike else [(a, [["src"], ["dst"]]), (b, [["dst"]])], most, alike)):
+        i, j, k = grid * 3 if alike else grid
+        for t, ((df, line), own, across) in enumerate(zip(tables, (i, k, i), (j, j, k))):
+            side = _packed(df, line, own, across, square=True).select(F.lit(t).alias("t"), F.col("blk").alias("r"), F.col("across")[0].alias("c"), "n", "body")
+            held = work.put(side, f"packed-{name}", "uncompressed", "append")
+        cells = work.put(held.groupBy("t", "r", "c").agg(F.sum("n").alias("n"), F.sum(F.octet_length("body")).alias("size")), f"cells-{name}")
+        whole = cells.agg(F.max("n").alias("n"), F.sum("size").alias("size")).first()
+        if name + 1 == len(grids) or (whole["n"] or 0) <= 2 * TARGET:
+            break
+        work.drop(f"packed-{name}")  # the ids have an order: blocks are too large
+    of_b, of_mask = (0, 0) if alike else (1, 2)
+    left, right, places = (
+        cells.where(F.col("t") == t).select(F.col("r").alias(r), F.col("c").alias(c), F.col("size").alias(f"size_{x}"))
+        for t, r, c, x in ((0, "i", "j", "a"), (of_b, "k", "j", "b"), (of_mask, "i", "k", "m"))
+    )
+    unit = ["i", "k", "g"]
+    met = left.join(right, "j").join(places, ["i", "k"]).withColumn("g", F.floor(F.col("j") / SPAN) if last is None else F.lit(0).cast("long"))
+    met = work.put(met, "met")
+    ways = [(met, 0, 0, "i", "j", "j", "a"), (met, of_b, 1, "k", "j", "j", "b"), (met.dropDuplicates(unit), of_mask, 2, "i", "k", None, "m")]
+    pairs = None
+    for df, t, side, r, c, at, x in ways:
+        part = df.select(
+            F.lit(t).alias("t"), F.col(r).alias("r"), F.col(c).alias("c"), *unit, (F.col(at) if at else F.lit(-1).cast("long")).alias("j"), F.lit(side).alias("side"), F.col(f"size_{x}").alias("size")
+        )
+        pairs = part if pairs is None else pairs.unionByName(part)
+    ranges = 1 + max(len(x) for x in grid)
+    key = ((F.col("i") * ranges + F.col("k")) * ranges + F.col("g")).alias("key")
+    units = prep.running(pairs.groupBy(key, *unit).agg(F.sum("size").alias("sent")), "key", "sent", "before")
+    most = max(1, math.ceil((whole["size"] or 0) * WAVE))
+    units = work.put(units.select(*unit, "sent", F.floor(F.col("before") / most).alias("wave")), "units")
+    pairs = work.put(pairs.join(units, unit).drop("size", "sent"), "pairs")
+    if units.agg(F.coalesce(F.sum("sent"), F.lit(0))).first()[0] <= most:
+        return _meet([(held, ["t", "r", "c"])], pairs, kernel, packed, once, schema, last)
+    for w in sorted(x[0] for x in units.select("wave").distinct().collect()):  # each one's shuffle files go before the next
+        out = work.put(_meet([(held, ["t", "r", "c"])], pairs.where(F.col("wave") == w), kernel, packed, once, schema, last), "waves", mode="append")
     return out
 
 
 def masked_counts(a: DataFrame, b: DataFrame, mask: DataFrame, once: bool = False) -> DataFrame:
     """(src, dst, val) of the counting product at the mask's places.  once, here and below: a repeated edge counts once."""
-    return _masked_product(a, b, mask, _counts, 0, once, "src long, dst long, val long")
+    return _masked_product(a, b, mask, _counts, 0, once, "src long, dst long, val long", _counted)
 
 
 def masked_total(a: DataFrame, b: DataFrame, mask: DataFrame, packed: int = 0, once: bool = False) -> DataFrame:

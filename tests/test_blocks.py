@@ -189,6 +189,34 @@ def test_little_is_sent_at_once(spark, monkeypatch, name):
     assert sent.sum() > 3 * own[0] and sent.max() < 2 * own[0]
 
 
+#: Queries whose packed edges lie there once, in blocks that are sent to few tasks though the graph has no order.
+BLOCKS = [
+    "bmm_masked_packed_64",
+]
+
+
+@pytest.mark.parametrize("name", BLOCKS)
+def test_blocks_are_sent_to_few_tasks(spark, monkeypatch, name):
+    """As often as the root of the edges asks for; rows by columns, each range would go to half of the others."""
+    query, at, held = queries.QUERIES[name], "/root/testdata/sf0.001", []
+    monkeypatch.setattr(blocks, "TARGET", 10**6)
+    want, meet = rows(query(spark, at)), blocks._meet
+
+    def edges_of(dfs) -> int:
+        return sum(len(blocks.parse(bytes(r["body"]))[0]) for df in dfs for r in df.select("body").collect())
+
+    def seen(sides, pairs, *rest):
+        held.append([edges_of(dfs) for dfs in ([x for x, _ in sides], [x.join(pairs, on) for x, on in sides])])
+        return meet(sides, pairs, *rest)
+
+    monkeypatch.setattr(blocks, "TARGET", 1000)
+    monkeypatch.setattr(blocks, "_meet", seen)
+    assert rows(query(spark, at)) == want and want
+    n = graphs.copart_lower(spark, at).count()
+    assert n > 10 * blocks.TARGET
+    assert held[0][0] == n and sum(sent for _, sent in held) < 8 * n, (n, held)
+
+
 def test_few_ranges_meet_in_vain(spark, monkeypatch):
     """Ranges of rows and columns that share no vertex are seldom sent to each other, though pieces of a graph do not end where ranges do."""
     meet, met = blocks._meet, []
