@@ -192,6 +192,7 @@ def test_little_is_sent_at_once(spark, monkeypatch, name):
 #: Queries whose packed edges lie there once, in blocks that are sent to few tasks though the graph has no order.
 BLOCKS = [
     "bmm_masked_packed_64",
+    "bmm_masked_sum",
 ]
 
 
