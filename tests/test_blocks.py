@@ -194,6 +194,7 @@ BLOCKS = [
     "bmm_masked_packed_64",
     "bmm_masked_sum",
     "bmm_masked_packed_4",
+    "reduce_masked",
 ]
 
 
