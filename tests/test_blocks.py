@@ -195,6 +195,7 @@ BLOCKS = [
     "bmm_masked_sum",
     "bmm_masked_packed_4",
     "reduce_masked",
+    "triangles",
 ]
 
 
