@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import tables
-from .chunks import ChunkEncoder, gather, groups
+from .chunks import ChunkEncoder, gather, groups, runs
 
 #: Bytes 0..255 are the characters U+0100..U+01FF of the model's pieces.
 _SHIFT = {b: 0x100 + b for b in range(256)}
@@ -81,7 +81,7 @@ class Codec:
         self.start = np.cumsum(self.size) - self.size
         self.flat = np.frombuffer(b"".join(self.pieces), dtype=np.uint8)
         self.known: dict[str, bytes] = {}
-        self.encode = ChunkEncoder(self._encode, self._encode, keep=150_000)
+        self.encode = ChunkEncoder(self._encode, lambda xs: runs(self._encode(xs)), keep=150_000)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         find = self.find

@@ -10,6 +10,8 @@ parts in one step.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import repeat
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -70,30 +72,67 @@ def _cores(parts: pa.Array) -> tuple[pa.Array, pa.Array]:
     return _strings(flat, at[:-1], size), _strings(flat, at[:-1] + size, whole - size)
 
 
+def runs(coded: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids in bytes, one after another, and how many each has."""
+    return np.frombuffer(b"".join(coded), dtype="<u4"), np.fromiter(map(len, coded), dtype=np.int64, count=len(coded)) // 4
+
+
+def _split(strings: pa.Array) -> list[str]:
+    """Strings without spaces as Python's."""
+    at, flat = _bytes(strings)
+    return np.insert(flat[at[0] : at[-1]], at[1:-1] - at[0], 32).tobytes().decode().split(" ") if len(strings) else []
+
+
+class Runs(NamedTuple):
+    """flat[start:start + size] are the ids of each; the first one is empty."""
+
+    flat: np.ndarray
+    start: np.ndarray
+    size: np.ndarray
+
+    def more(self, flat: np.ndarray, size: np.ndarray) -> Runs:
+        start = len(self.flat) + np.cumsum(size) - size
+        return Runs(np.append(self.flat, flat), np.append(self.start, start), np.append(self.size, size))
+
+
+_NONE = Runs(np.zeros(0, "<u4"), np.zeros(1, np.int64), np.zeros(1, np.int64))
+
+
 class ChunkEncoder:
-    """Keeps the ids' bytes of short parts, within bounds.
+    """Keeps the ids of short parts, within bounds.
 
-    `whole` encodes each of some texts; `spaced` encodes distinct parts, each with a space or line feed at its begin alone.
+    `whole` encodes each of some texts; `spaced` gives the runs of distinct parts, each with a space or line feed at its begin alone.
     """
 
-    def __init__(self, whole: Callable[[list[str]], list[bytes]], spaced: Callable[[list[str]], list[bytes]], keep: int = _KEEP):
+    def __init__(self, whole: Callable[[list[str]], list[bytes]], spaced: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], keep: int = _KEEP):
         self.whole, self.spaced, self.keep = whole, spaced, keep
-        self.known: dict[str, bytes | None] = {}  # None: the text needs to be encoded whole
+        self.known: dict[str, int] = {}  # which of the runs; 0: the text needs to be encoded whole
+        self.runs = _NONE
 
-    def _look(self, parts: list[str]) -> list[bytes | None]:
-        get = self.known.get
-        found = [get(x, b"?") for x in parts]  # b"?": not known, since ids take four bytes each
-        at = [k for k, x in enumerate(found) if x == b"?"]
+    def _look(self, parts: list[str]) -> tuple[np.ndarray, Runs]:
+        """Which of the runs each of the distinct parts has, 0 as above; runs of long parts are only in those returned."""
+        found = np.fromiter(map(self.known.get, parts, repeat(-1)), dtype=np.int64, count=len(parts))
+        at = np.flatnonzero(found < 0).tolist()
         if len(self.known) + len(at) > self.keep:  # what is in use again stays
-            self.known = {x: y for x, y in zip(parts, found, strict=True) if y != b"?"}
-        good = [k for k in at if _alone(parts[k])]
-        ids = dict.fromkeys(at)
-        ids.update(zip(good, self.spaced([x if x[0] == "\n" else " " + x for x in map(parts.__getitem__, good)]), strict=True))
-        for k, own in ids.items():
-            found[k] = own
-            if len(parts[k]) <= _LONG:
-                self.known[parts[k]] = own
-        return found
+            used = np.flatnonzero(found >= 0)
+            flat, begin = gather(*self.runs, found[used])
+            self.runs = _NONE.more(flat, np.diff(begin))
+            found[used] = np.where(found[used] > 0, np.arange(1, len(used) + 1), 0)
+            self.known = dict(zip(map(parts.__getitem__, used.tolist()), found[used].tolist(), strict=True))
+        held = self.runs
+        for new in ([k for k in at if len(parts[k]) <= _LONG], [k for k in at if len(parts[k]) > _LONG]):
+            if not new:
+                continue
+            good = np.fromiter((_alone(parts[k]) for k in new), dtype=bool, count=len(new))
+            own = np.where(good, np.cumsum(good) + len(held.start) - 1, 0)
+            texts = [x if x[0] == "\n" else " " + x for x in (parts[k] for k, ok in zip(new, good.tolist(), strict=True) if ok)]
+            if texts:
+                held = held.more(*self.spaced(texts))
+            found[new] = own
+            if len(parts[new[0]]) <= _LONG:
+                self.known.update(zip(map(parts.__getitem__, new), own.tolist(), strict=True))
+                self.runs = held
+        return found, held
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and where each text's begin; null counts as empty."""
@@ -108,25 +147,22 @@ class ChunkEncoder:
         del split, coded
         cores, marks = (x.dictionary_encode() for x in _cores(distinct))
         core, mark = (x.indices.to_numpy() for x in (cores, marks))
-        found = self._look(cores.dictionary.to_pylist())
-        bad = np.fromiter((x is None for x in found), dtype=bool, count=len(found))
+        found, held = self._look(_split(cores.dictionary))
         # A text is cut if its parts allow it; its first part has no space before it and is encoded on its own.
-        unsafe = np.logical_or.reduceat(bad[core][which], first[:-1]) & (np.diff(first) > 1)
+        unsafe = np.logical_or.reduceat((found == 0)[core][which], first[:-1]) & (np.diff(first) > 1)
         use = np.repeat(~unsafe, np.diff(first))
         use[first[:-1]] = True
         heads = distinct.take(pa.array(which[first[:-1]])).to_pylist()
         for k in np.flatnonzero(unsafe).tolist():
             heads[k] = texts[k].as_py()
-        # Entries to gather: the cores, the marks, nothing, and the heads; two for each part.
-        ends = self.whole(marks.dictionary.to_pylist())
-        entries = [x or b"" for x in found] + ends + [b""] + self.whole(heads)
+        # Runs to gather: the cores, the marks and the heads; two for each part.
+        n = len(held.start)
+        held = held.more(*runs(self.whole(marks.dictionary.to_pylist()) + self.whole(heads)))
         pairs = np.empty((len(which), 2), dtype=np.int32)
-        pairs[:, 0], pairs[:, 1] = core[which], mark[which] + len(found)
-        pairs[first[:-1], 0] = len(found) + len(ends) + 1 + np.arange(len(texts))
-        pairs[first[:-1], 1] = len(found) + len(ends)
-        size = np.fromiter(map(len, entries), dtype=np.int64, count=len(entries)) // 4
-        flat = np.frombuffer(b"".join(entries), dtype="<u4")
-        ids, begin = gather(flat, np.cumsum(size) - size, size, pairs[use].reshape(-1))
+        pairs[:, 0], pairs[:, 1] = found.astype(np.int32)[core][which], (mark + n)[which]
+        pairs[first[:-1], 0] = n + len(marks.dictionary) + np.arange(len(texts))
+        pairs[first[:-1], 1] = 0
+        ids, begin = gather(*held, pairs[use].reshape(-1))
         return ids, begin[2 * np.append(0, np.cumsum(use))[first]]
 
 

@@ -33,6 +33,8 @@ _HEAD = "<4sIQQQQ"
 VERSION = 2
 #: With shards of two million tokens, files of some 50 MB, which a task reads one at a time.
 FILE_SHARDS = 16
+#: Parts of texts whose ids a worker keeps, some 170 bytes each; bytes of text encoded at once.
+KEEP, STEP = 1_000_000, 16_000_000
 
 #: For each control byte: the lengths of its four codes, and the bytes they take together.
 _LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + 1
@@ -94,17 +96,12 @@ def _tokenizer(path: str) -> ChunkEncoder:
     def whole(xs: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(xs, add_special_tokens=False)]
 
-    def parts(xs: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        joined = ["".join(xs[i : i + 256]) for i in range(0, len(xs), 256)]
-        for e in tokenizer.encode_batch_fast(joined, add_special_tokens=False):
-            ids = np.array(e.ids, dtype="<u4")
-            at = np.append(np.flatnonzero(spaced[ids]), len(ids)) * 4
-            raw = ids.tobytes()
-            out += [raw[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-        return out
+    def parts(xs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        joined = ["".join(xs[i : i + 64]) for i in range(0, len(xs), 64)]
+        ids = np.concatenate([np.array(e.ids, dtype="<u4") for e in tokenizer.encode_batch_fast(joined, add_special_tokens=False)])
+        return ids, np.diff(np.flatnonzero(spaced[ids]), append=len(ids))
 
-    return ChunkEncoder(whole, parts)
+    return ChunkEncoder(whole, parts, KEEP)
 
 
 _kept: dict[str, ChunkEncoder] = {}
@@ -156,7 +153,7 @@ def _blocks(path: str, end_id: int, wide: bool, shard_tokens: int) -> Callable:
         for batch in batches:
             pa.default_memory_pool().release_unused()
             keys, column = batch.column(0).to_pylist(), batch.column(1)
-            for piece in groups(column):
+            for piece in groups(column, STEP):
                 ids, begin = encode(column[piece])
                 ids = ids.astype(dtype)
                 for key, a, b in zip(keys[piece], begin[:-1].tolist(), begin[1:].tolist(), strict=True):
