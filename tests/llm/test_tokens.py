@@ -48,6 +48,28 @@ def test_chunked_encoding_equals_the_library():
             assert flat[begin[k] : begin[k + 1]].tolist() == library.encode(text or "", add_special_tokens=False).ids, repr(text)
 
 
+def test_parts_are_kept_between_calls():
+    """Also long ones, which are not kept, next to others; a vocabulary of 700,000 parts is encoded once."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(JSON)
+    library.encode_special_tokens = True
+    rng = random.Random(6)
+    parts = ["x" * 300, "é" * 400 + "!", "\u3000" * 300, "ab\ncd", "ef.", *(f"w{i}" for i in range(40))]
+    encode = token_files._tokenizer(JSON)
+    encode.keep = 30
+    for _ in range(40):
+        texts = [" ".join(rng.choices(parts, k=9)) for _ in range(4)]
+        flat, begin = encode(pa.array(texts))
+        assert [flat[a:b].tolist() for a, b in zip(begin[:-1], begin[1:], strict=True)] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    encode, given = token_files._tokenizer(JSON), []
+    spaced = encode.spaced
+    encode.spaced = lambda xs: given.append(len(xs)) or spaced(xs)
+    for k in (0, 1, 0):
+        encode(pa.array([" ".join(f"w{i}" for i in range(k * 350_000, (k + 1) * 350_000))]))
+    assert 690_000 < sum(given) <= 700_000
+
+
 def test_serialised_model_equals_the_ranks():
     texts, library = odd_texts(), reference_bpe()
     own = byte_bpe.codec(RANKS, public_tokenizers.PATTERN)
