@@ -243,3 +243,30 @@ def test_few_ranges_meet_in_vain(spark, monkeypatch):
     want = Counter((i, k) for i, j in some for k in range(j + 1, i - i % 10 + 10))
     assert rows(got) == sorted((*k, n) for k, n in want.items())
     assert met[0][1] <= met[0][0] <= 1.25 * met[0][1], met
+
+
+#: Queries whose whole product, on a graph without any order, is not shuffled.
+LYING = [
+    "bmm_symbolic",
+]
+
+
+@pytest.mark.parametrize("name", LYING)
+def test_ranges_are_read_where_they_lie(spark, monkeypatch, name):
+    """Each range meets many others, but no task is sent one; before, each side was sent once for each range of the other."""
+    query, at = queries.QUERIES[name], "/root/testdata/sf0.001"
+    monkeypatch.setattr(blocks, "TARGET", 10**6)
+    want = rows(query(spark, at))
+    monkeypatch.setattr(blocks, "TARGET", 5 if name == "bmm_symbolic" else 5000)
+    got = query(spark, at)
+    ran = got._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in ran and "REPARTITION" not in ran and made(got) <= 0
+    assert rows(got) == want and want
+
+
+def test_borders_of_symbolic_ranges(spark):
+    """Ranges begin within words of 64 columns; each column counts once."""
+    rng = random.Random(8)
+    a, b = ([(rng.randrange(300), rng.randrange(300)) for _ in range(500)] for _ in range(2))
+    want = Counter(i for i, _ in {(i, k) for i, j in a for x, k in b if x == j})
+    assert rows(blocks.product_sizes(frame(spark, a), frame(spark, b))) == sorted(want.items())
