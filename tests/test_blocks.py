@@ -249,6 +249,7 @@ def test_few_ranges_meet_in_vain(spark, monkeypatch):
 LYING = [
     "bmm_symbolic",
     "bmm_bool",
+    "bmm_numeric",
 ]
 
 
