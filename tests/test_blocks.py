@@ -250,6 +250,7 @@ LYING = [
     "bmm_symbolic",
     "bmm_bool",
     "bmm_numeric",
+    "bmm_weighted",
 ]
 
 
